@@ -28,6 +28,11 @@ class Portfolio:
     license_corpus: DataFrame | None = None
 
 
+_AI_LIMIT = authorship.DEFAULT_COMMIT_LIMIT
+_HEALTH_LIMIT = health.DEFAULT_COMMIT_LIMIT
+_CHURN_LIMIT = churn.DEFAULT_COMMIT_LIMIT
+
+
 @dataclass
 class Options:
     """What to analyse, and of which repositories."""
@@ -39,12 +44,12 @@ class Options:
     include_forks: bool = False
     owner: str | None = None
     ai: bool = False
-    ai_commit_limit: int = authorship.DEFAULT_COMMIT_LIMIT
+    ai_commit_limit: int = _AI_LIMIT
     health: bool = False
     health_details: bool = False
-    health_commit_limit: int = health.DEFAULT_COMMIT_LIMIT
+    health_commit_limit: int = _HEALTH_LIMIT
     churn: bool = False
-    churn_limit: int = churn.DEFAULT_COMMIT_LIMIT
+    churn_limit: int = _CHURN_LIMIT
     hotspots: bool = False
     materialize: bool = True
 
