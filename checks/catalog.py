@@ -57,19 +57,19 @@ def repo_filter(s: Standin) -> DataFrame:
 
 @query(
     "repo_lists",
-    """SELECT repo, slug FROM repos WHERE slug IN ('Customer#000000007', 'Customer#000000009', 'Customer#000000010')
-       AND slug NOT IN ('Customer#000000009', 'customer#000000007')""",
+    """SELECT repo, slug FROM repos WHERE slug IN ('Customer-000000007', 'Customer-000000009', 'Customer-000000010')
+       AND slug NOT IN ('Customer-000000009', 'customer-000000007')""",
 )
 def repo_lists(s: Standin) -> DataFrame:
     return selection.select_repos(
-        s.repos(), include=["Customer#000000007", "Customer#000000009", "Customer#000000010"],
-        exclude=["Customer#000000009", "customer#000000007"], include_archived=True, include_forks=True,
+        s.repos(), include=["Customer-000000007", "Customer-000000009", "Customer-000000010"],
+        exclude=["Customer-000000009", "customer-000000007"], include_archived=True, include_forks=True,
     ).select("repo", "slug")
 
 
-@query("owner_scope", "SELECT repo, url FROM repos WHERE owner = 'NATION_07' AND provider <> 'gitlab'")
+@query("owner_scope", "SELECT repo, url FROM repos WHERE owner = 'NATION_7'")
 def owner_scope(s: Standin) -> DataFrame:
-    return selection.in_owner_scope(s.repos(), "NATION_07").select("repo", "url")
+    return selection.in_owner_scope(s.repos(), "NATION_7").select("repo", "url")
 
 
 @query(

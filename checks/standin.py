@@ -26,10 +26,6 @@ CORPUS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -40,20 +36,25 @@ class Standin:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def repos(self) -> DataFrame:
         nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-        url = F.concat(F.lit("https://git.example/"), "n_name", F.lit("/"), "c_name")
+        slug = F.replace("c_name", F.lit("#"), F.lit("-"))
+        url = F.concat(F.lit("https://git.example/"), "n_name", F.lit("/"), slug)
         key = F.col("c_custkey")
+        subgroup = F.concat("n_name", F.lit("/"), "c_mktsegment")
         return self.table("customer").join(nation, "c_nationkey").select(
             text("c_custkey").alias("repo"),
             F.when(key % 3 == 0, "github").when(key % 3 == 1, "gitlab").otherwise("bitbucket").alias("provider"),
-            F.col("c_name").alias("slug"),
+            slug.alias("slug"),
             F.col("c_name").alias("name"),
-            F.col("c_mktsegment").alias("project"),
+            F.when(key % 3 == 1, subgroup).otherwise(F.col("c_mktsegment")).alias("project"),
             url.alias("url"),
             F.concat(url, F.lit(".git")).alias("clone_url"),
             F.lit("").alias("download_url"),
@@ -90,6 +91,13 @@ class Standin:
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), text("o_custkey").alias("repo"))
         return self.table("lineitem").join(orders, "l_orderkey")
 
+    def _spread_lines(self) -> DataFrame:
+        """The same, partitioned for the join whatever its kind: the small tables are one row group each."""
+        orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), text("o_custkey").alias("repo"))
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return lines.repartition(partitions, "l_orderkey").join(orders, "l_orderkey")
+
     def commit_files(self) -> DataFrame:
         return self._lines().select(
             "repo",
@@ -138,7 +146,7 @@ class Standin:
             .when(kind == 2, F.concat(F.repeat(F.lit("<p>\n"), size), F.lit("<!--"), block, F.lit("-->\n")))
             .otherwise(F.concat(F.repeat(F.lit("select 1\n"), size), F.repeat(F.lit("-- note\n"), number)))
         )
-        return self._lines().select(
+        return self._spread_lines().select(
             "repo",
             text("l_orderkey").alias("commit_hash"),
             F.concat(folder, stem, suffix).alias("path"),

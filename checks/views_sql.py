@@ -8,8 +8,9 @@ VIEWS: dict[str, str] = {
     "repos": """
         SELECT c_custkey::VARCHAR AS repo,
                CASE c_custkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END AS provider,
-               c_name AS slug, c_mktsegment AS project,
-               'https://git.example/' || n_name || '/' || c_name AS url, n_name AS owner,
+               replace(c_name, '#', '-') AS slug,
+               CASE c_custkey % 3 WHEN 1 THEN n_name || '/' || c_mktsegment ELSE c_mktsegment END AS project,
+               'https://git.example/' || n_name || '/' || replace(c_name, '#', '-') AS url, n_name AS owner,
                c_acctbal < 0 AS archived, c_custkey % 10 = 0 AS fork
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "commits": """
@@ -182,7 +183,7 @@ VIEWS: dict[str, str] = {
                          length(content) - length(replace(content, chr(10), '')) +
                          CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END) THEN 'filtered'
                     WHEN regexp_matches(array_to_string(list_slice(string_split(content, chr(10)), 1, 40), chr(10)),
-                         'Code generated|@generated\\b|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE')
+                         'Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE')
                          THEN 'filtered'
                     WHEN ends_with(path, '.zzz') THEN 'unknown' ELSE 'counted' END AS status
         FROM sources WHERE NOT starts_with(path, 'vendor/')""",

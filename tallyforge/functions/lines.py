@@ -1,7 +1,6 @@
 """Line, comment and branch counts of one source text.
 
-A text is counted in a few passes of regular expressions that stay inside generated code, without
-exploding lines into rows and without a fold over lines:
+A text is counted where it lies, without exploding its lines into rows:
 
 1. escaped characters go, so that a string ends at its next quote;
 2. strings and comments are replaced by a mark (see ``rules.languages``);
@@ -16,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.rules.languages import MARK
+from tallyforge.rules.languages import MARK, SYNTAXES, branch_rule, token_rule
 
 # A backquote keeps its backslash: in raw strings it ends the string.
 _ESCAPED = r"\\[^\n`]"
-_CODE_LINE = rf"(?dm)^[\s{MARK}&&[^\n]]*+[^\s{MARK}]"
-_BLANK_LINE = r"(?dm)^[\s&&[^\n]]*+$"
+_LINE_SPACE = " \t\r\f\v"
 
 
 def line_breaks(text: Column) -> Column:
@@ -35,30 +33,82 @@ def total_lines(text: Column) -> Column:
     return (line_breaks(text) + unfinished).cast("long")
 
 
-def mark_tokens(text: Column, tokens: Column, replacement: Column) -> Column:
-    """Text with strings and comments replaced; unchanged for a language that has neither."""
-    unescaped = F.regexp_replace(text, _ESCAPED, "")
-    return F.when(tokens.isNull(), text).otherwise(F.regexp_replace(unescaped, tokens, replacement))
+def _literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def raw_string_breaks(text: Column, tokens: Column, raw_quotes: Column, raw_group: Column) -> Column:
+def _by_syntax(syntax: str, results: dict[int, str], otherwise: str) -> Column:
+    """The result for the number of a syntax; each branch has its own literal pattern.
+
+    Written as one SQL expression: building it call by call would take seconds on the driver.
+    """
+    branches = " ".join(f"WHEN {number} THEN {result}" for number, result in results.items())
+    return F.expr(f"CASE {syntax} {branches} ELSE {otherwise} END")
+
+
+def unescape(text: Column) -> Column:
+    """Text without escaped characters; most texts have none."""
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, _ESCAPED, "")).otherwise(text)
+
+
+def mark_tokens(unescaped: str, syntax: str) -> Column:
+    """Text of a column with strings and comments replaced; unchanged for a syntax that has neither."""
+    results = {}
+    for number, rule in enumerate(SYNTAXES):
+        tokens, replacement, _ = token_rule(rule)
+        if tokens:
+            results[number] = f"regexp_replace({unescaped}, {_literal(tokens)}, {_literal(replacement)})"
+    return _by_syntax(syntax, results, unescaped)
+
+
+def raw_string_breaks(unescaped: str, syntax: str) -> Column:
     """Line feeds inside multi-line strings: these lines are code although the mark hides them."""
-    raw = F.regexp_extract_all(F.regexp_replace(text, _ESCAPED, ""), tokens, raw_group)
-    has_raw = F.exists(raw_quotes, lambda q: F.contains(text, q))
-    return F.when(has_raw, line_breaks(F.array_join(raw, "")).cast("long")).otherwise(F.lit(0).cast("long"))
+    results = {}
+    for number, rule in enumerate(SYNTAXES):
+        tokens, _, raw_group = token_rule(rule)
+        if raw_group:
+            quoted = " OR ".join(f"contains({unescaped}, {_literal(quote)})" for quote in rule.raw)
+            raw = f"array_join(regexp_extract_all({unescaped}, {_literal(tokens)}, {raw_group}), '')"
+            breaks = f"octet_length({raw}) - octet_length(replace({raw}, '\\n', ''))"
+            results[number] = f"IF({quoted}, CAST({breaks} AS BIGINT), 0L)"
+    return _by_syntax(syntax, results, "0L")
+
+
+# One number holds both counts of a text, so that its lines are walked once.
+_BLANK_UNIT = 1 << 32
+
+
+def line_kinds(marked: Column) -> Column:
+    """Code and blank lines of a marked text, packed for :func:`code_lines` and :func:`blank_lines`."""
+    pieces = F.split(marked, "\n")
+    zero, one, blank = (F.lit(n).cast("long") for n in (0, 1, _BLANK_UNIT))
+
+    def kind(piece: Column) -> Column:
+        shows_code = F.btrim(piece, F.lit(_LINE_SPACE + MARK)) != ""
+        shows_nothing = F.btrim(piece, F.lit(_LINE_SPACE)) == ""
+        return F.when(shows_code, one).when(shows_nothing, blank).otherwise(zero)
+
+    # The piece after a final line feed is no line.
+    unstarted = F.when((marked == "") | F.endswith(marked, F.lit("\n")), blank).otherwise(zero)
+    return F.aggregate(pieces, zero, lambda total, piece: total + kind(piece)) - unstarted
 
 
-def code_lines(marked: Column) -> Column:
-    """Lines of a marked text that show code."""
-    return F.regexp_count(marked, F.lit(_CODE_LINE)).cast("long")
+def code_lines(kinds: Column) -> Column:
+    """Lines that show code."""
+    return kinds.bitwiseAND(F.lit(_BLANK_UNIT - 1))
 
 
-def blank_lines(marked: Column) -> Column:
-    """Lines of a marked text that show nothing at all."""
-    count = F.regexp_count(marked, F.lit(_BLANK_LINE)).cast("long")
-    return F.when(marked == "", F.lit(0).cast("long")).otherwise(count)
+def blank_lines(kinds: Column) -> Column:
+    """Lines that show nothing at all."""
+    return F.shiftright(kinds, 32)
 
 
-def branch_count(marked: Column, branches: Column) -> Column:
-    """Branch tokens of a marked text, 0 for a language without any."""
-    return F.coalesce(F.regexp_count(marked, branches).cast("long"), F.lit(0).cast("long"))
+def branch_count(marked: str, syntax: str) -> Column:
+    """Branch tokens of a marked text, 0 for a syntax without any."""
+    results = {}
+    for number, rule in enumerate(SYNTAXES):
+        pattern = branch_rule(rule)
+        if pattern:
+            results[number] = f"CAST(regexp_count({marked}, {_literal(pattern)}) AS BIGINT)"
+    return _by_syntax(syntax, results, "0L")

@@ -25,9 +25,14 @@ BINARY = "binary"
 _INTERPRETER = r"\A#![ \t]*(?:\S*/env[ \t]+(?:-\S+[ \t]+)*|\S*/)?([A-Za-z]+)"
 
 
+def file_name(path: Column) -> Column:
+    """Last segment of a path."""
+    return F.substring_index(path, "/", -1)
+
+
 def parent_directory(path: Column) -> Column:
     """Directory of a file with a trailing slash, empty in the root."""
-    return F.regexp_extract(path, r"\A([\s\S]*/)?[^/]*\z", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)))
 
 
 def in_pruned_directory(path: Column) -> Column:
@@ -35,13 +40,12 @@ def in_pruned_directory(path: Column) -> Column:
 
     No directory rule is anchored at its end, so a match in any ancestor is also one in the parent.
     """
-    pruned = P.any_of([P.VCS_DIRECTORY, *P.VENDOR_DIRECTORIES])
-    return parent_directory(path).rlike(pruned)
+    return parent_directory(path).rlike(P.PRUNED_DIRECTORY)
 
 
 def is_vendored(path: Column) -> Column:
     """True for a single file of third-party code."""
-    return path.rlike(P.any_of([*P.VENDOR_FILES, *P.VENDOR_DIRECTORIES]))
+    return path.rlike(P.VENDOR_FILE)
 
 
 def is_generated(path: Column, text: Column) -> Column:
@@ -49,7 +53,11 @@ def is_generated(path: Column, text: Column) -> Column:
     minified = path.rlike(P.MINIFIED_EXTENSION) & (
         F.length(text) > P.MINIFIED_LINE_LENGTH * F.greatest(L.total_lines(text), F.lit(1))
     )
-    return path.rlike(P.any_of(P.GENERATED_PATHS)) | minified | text.rlike(P.GENERATED_HEADER)
+    marked = F.lit(False)
+    for marker in P.GENERATED_MARKERS:
+        marked = marked | F.contains(text, F.lit(marker))
+    # The plain search spares nearly all files the walk through their leading lines.
+    return path.rlike(P.GENERATED_PATH) | minified | (marked & text.rlike(P.GENERATED_HEADER))
 
 
 def is_binary(content: Column) -> Column:
@@ -60,15 +68,13 @@ def is_binary(content: Column) -> Column:
 
 def rule_key(path: Column, text: Column) -> Column:
     """Key into the language rules: whole name, extension, or the interpreter of a script."""
-    name = F.lower(F.element_at(F.split(path, "/"), -1))
-    extension = F.regexp_extract(name, r"(\.[^.]+)\z", 1)
-    long_extension = F.regexp_extract(name, r"(\.[^.]+\.[^.]+)\z", 1)
-    interpreter = F.regexp_extract(text, _INTERPRETER, 1)
-    return (
-        F.when(name.isin(NAME_KEYS), name)
-        .when(long_extension.isin(LONG_EXTENSIONS), long_extension)
-        .when(extension != "", extension)
-        .when(interpreter != "", F.concat(F.lit("#!"), interpreter))
+    name = F.lower(file_name(path))
+    key = F.when(name.isin(NAME_KEYS), name)
+    for extension in LONG_EXTENSIONS:
+        key = key.when(F.endswith(name, F.lit(extension)), F.lit(extension))
+    interpreter = F.nullif(F.regexp_extract(text, _INTERPRETER, 1), F.lit(""))
+    return key.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1))).when(
+        F.startswith(text, F.lit("#!")), F.concat(F.lit("#!"), interpreter)
     )
 
 
@@ -111,17 +117,20 @@ def file_stats(files: DataFrame) -> DataFrame:
             F.when(F.col("status") == COUNTED, F.col("_text")).alias("_text"),
         )
     )
-    body, rule = F.col("_text"), F.col("_rule")
-    marked = classified.withColumn("_marked", L.mark_tokens(body, rule["tokens"], rule["replacement"]))
-    raw_breaks = L.raw_string_breaks(body, rule["tokens"], rule["raw_quotes"], rule["raw_group"])
+    body, syntax = F.col("_text"), "_rule.syntax"
+    marked = (
+        classified.withColumn("_unescaped", L.unescape(body))
+        .withColumn("_marked", L.mark_tokens("_unescaped", syntax))
+        .withColumn("_kinds", L.line_kinds(F.col("_marked")))
+    )
     counted = marked.select(
         *passed,
         "status",
-        rule["language"].alias("language"),
+        F.col("_rule.language").alias("language"),
         L.total_lines(body).alias("lines"),
-        (L.code_lines(F.col("_marked")) + raw_breaks).alias("code"),
-        L.blank_lines(F.col("_marked")).alias("blanks"),
-        F.when(body.isNotNull(), L.branch_count(F.col("_marked"), rule["branches"])).alias("complexity"),
+        (L.code_lines(F.col("_kinds")) + L.raw_string_breaks("_unescaped", syntax)).alias("code"),
+        L.blank_lines(F.col("_kinds")).alias("blanks"),
+        F.when(body.isNotNull(), L.branch_count("_marked", syntax)).alias("complexity"),
     )
     comments = F.col("lines") - F.col("code") - F.col("blanks")
     return counted.select(*passed, "status", "language", "lines", "code", comments.alias("comments"), "blanks", "complexity")

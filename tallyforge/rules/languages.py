@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-# Stands for a removed string or comment in the marked text; a private-use character.
-MARK = "\ue000"
+# Stands for a removed string or comment in the marked text; a control character no source text has.
+MARK = "\x01"
 
 
 @dataclass(frozen=True)
@@ -144,27 +144,14 @@ LANGUAGES: list[Language] = [
 NAME_KEYS = sorted({k for lang in LANGUAGES for k in lang.keys if not k.startswith(".")})
 LONG_EXTENSIONS = sorted({k for lang in LANGUAGES for k in lang.keys if k.count(".") == 2})
 
-LANGUAGE_RULE_SCHEMA = T.StructType(
+# Syntaxes by number: the rule table names one, and the line counter has its patterns as literals, so
+# that each is compiled once per task however files of several languages alternate.
+SYNTAXES = list(dict.fromkeys(lang.syntax for lang in LANGUAGES))
+
+LANGUAGE_RULE_SCHEMA = pa.schema(
     [
-        T.StructField("key", T.StringType(), False),
-        T.StructField(
-            "candidates",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("language", T.StringType(), False),
-                        T.StructField("keyword", T.StringType(), True),
-                        T.StructField("tokens", T.StringType(), True),
-                        T.StructField("replacement", T.StringType(), True),
-                        T.StructField("raw_quotes", T.ArrayType(T.StringType(), False), False),
-                        T.StructField("raw_group", T.IntegerType(), False),
-                        T.StructField("branches", T.StringType(), True),
-                    ]
-                ),
-                False,
-            ),
-            False,
-        ),
+        ("key", pa.string()),
+        ("candidates", pa.list_(pa.struct([("language", pa.string()), ("keyword", pa.string()), ("syntax", pa.int32())]))),
     ]
 )
 
@@ -175,6 +162,12 @@ def _spanning(open_: str, close: str) -> str:
     return rf"{opened}(?:[^\n]*?{closed}|[^\n]*(\n)[\s\S]*?{closed})"
 
 
+def _character_class(characters: set[str]) -> str:
+    return "[" + "".join("\\" + c for c in sorted(characters - {"\t"}) if not c.isalpha()) + "".join(
+        c for c in sorted(characters) if c.isalpha() or c == "\t"
+    ) + "]"
+
+
 def token_rule(syntax: Syntax) -> tuple[str | None, str | None, int]:
     """Pattern of all strings and comments, what each is replaced by, and the group of raw strings.
 
@@ -210,27 +203,31 @@ def token_rule(syntax: Syntax) -> tuple[str | None, str | None, int]:
         alternatives.append(re.escape(mark) + r"[^\n]*+")
     if not alternatives:
         return None, None, 0
-    return "(?dm)" + "|".join(alternatives), MARK + "".join(f"${g}" for g in kept) + MARK, raw_group
+    # The look-ahead rejects most places of a text by one character.
+    starts = {mark[0] for mark in [*syntax.line, *syntax.raw, *syntax.quotes, *(syntax.block or ())[:1]]}
+    starts |= {" ", "\t"} if syntax.docstrings else set()
+    return f"(?dm)(?={_character_class(starts)})(?:" + "|".join(alternatives) + ")", MARK + "".join(f"${g}" for g in kept) + MARK, raw_group
 
 
 def branch_rule(syntax: Syntax) -> str | None:
     """Pattern of one branch token that starts a word."""
     if not syntax.branches:
         return None
-    return r"(?<!\S)(?:" + "|".join(re.escape(b) for b in syntax.branches) + ")"
+    starts = _character_class({b[0] for b in syntax.branches})
+    return f"(?={starts})" + r"(?<!\S)(?:" + "|".join(re.escape(b) for b in syntax.branches) + ")"
 
 
-def _rule_rows() -> list[tuple]:
-    by_key: dict[str, list[tuple]] = {}
+def _candidates() -> dict[str, list[dict]]:
+    by_key: dict[str, list[dict]] = {}
     for lang in LANGUAGES:
-        tokens, replacement, raw_group = token_rule(lang.syntax)
-        raw_quotes = list(lang.syntax.raw)
-        row = (lang.name, lang.keyword, tokens, replacement, raw_quotes, raw_group, branch_rule(lang.syntax))
+        row = {"language": lang.name, "keyword": lang.keyword, "syntax": SYNTAXES.index(lang.syntax)}
         for key in [*lang.keys, *(f"#!{i}" for i in lang.interpreters)]:
             by_key.setdefault(key, []).append(row)
-    return [(key, sorted(rows, key=lambda r: r[1] is None)) for key, rows in sorted(by_key.items())]
+    return {key: sorted(rows, key=lambda r: r["keyword"] is None) for key, rows in sorted(by_key.items())}
 
 
 def language_rules(spark: SparkSession) -> DataFrame:
     """Rule table: one row per file-name key with its candidate languages, best first."""
-    return spark.createDataFrame(_rule_rows(), LANGUAGE_RULE_SCHEMA)
+    rules = _candidates()
+    table = pa.table([list(rules), list(rules.values())], schema=LANGUAGE_RULE_SCHEMA)
+    return spark.createDataFrame(table)

@@ -5,78 +5,81 @@ from __future__ import annotations
 # Directories of version-control systems, at any depth.
 VCS_DIRECTORY = r"(?:^|/)\.(?:git|hg)/"
 
-# Directories of third-party code. Matched against a path; everything below is dropped.
-VENDOR_DIRECTORIES = [
-    r"(?:^|/)cache/",
-    r"^[Dd]ependencies/",
-    r"(?:^|/)dist/",
-    r"^deps/",
-    r"(?:^|/)vendors?/",
-    r"(?:^|/)[Gg]odeps/_workspace/",
-    r"(?:^|/)node_modules/",
-    r"(?:^|/)bower_components/",
-    r"(?:3rd|[Tt]hird)[-_]?[Pp]arty/",
-    r"(?:^|/)extern(?:al)?/",
-    r"(?:^|/)\.github/",
-    r"(?:^|/)\.vscode/",
-    r"(?:^|/)\.yarn/",
-    r"(?:^|/)Carthage/",
-    r"(?:^|/)Pods/",
-    r"(?:^|/)[Ss]ourcemaps?/",
-    r"(?:^|/)testdata/",
-    r"(?:^|/)tests?/fixtures/",
-    r"(?:^|/)specs?/fixtures/",
+# Names of directories of third-party code, at any depth. Everything below is dropped.
+VENDOR_DIRECTORY_NAMES = [
+    "cache",
+    "dist",
+    "vendors?",
+    "[Gg]odeps/_workspace",
+    "node_modules",
+    "bower_components",
+    "extern(?:al)?",
+    r"\.github",
+    r"\.vscode",
+    r"\.yarn",
+    "Carthage",
+    "Pods",
+    "[Ss]ourcemaps?",
+    "testdata",
+    "tests?/fixtures",
+    "specs?/fixtures",
 ]
+# The same, only in the root, or as the end of a longer name.
+VENDOR_ROOT_DIRECTORIES = ["[Dd]ependencies", "deps"]
+VENDOR_DIRECTORY_ENDINGS = ["(?:3rd|[Tt]hird)[-_]?[Pp]arty"]
 
-# Single files of third-party code.
-VENDOR_FILES = [
-    r"^rebar$",
-    r"[.-]min\.(?:js|css)$",
-    r"(?:^|/)jquery(?:[^.]*)\.js$",
-    r"(?:^|/)jquery-\d\.\d+(?:\.\d+)?\.js$",
-    r"(?:^|/)jquery-ui(?:-\d\.\d+(?:\.\d+)?)?(?:\.\w+)?\.(?:js|css)$",
-    r"(?:^|/)bootstrap(?:[^/.]*)(?:\..*)?\.(?:js|css|less|scss|styl)$",
-    r"(?:^|/)angular(?:[^.]*)\.js$",
-    r"(?:^|/)d3(?:\.v\d+)?(?:[^.]*)\.js$",
-    r"(?:^|/)react(?:-[^.]*)?\.js$",
-    r"(?:^|/)modernizr-\d\.\d+(?:\.\d+)?\.js$",
-    r"(?:^|/)font-?awesome\.(?:css|less|scss|styl)$",
-    r"(?:^|/)normalize\.(?:css|less|scss|styl)$",
-    r"(?:^|/)gradlew(?:\.bat)?$",
-    r"(?:^|/)mvnw(?:\.cmd)?$",
-    r"(?:^|/)configure$",
-    r"(?:^|/)config\.(?:guess|sub)$",
-    r"(?:^|/)aclocal\.m4$",
-    r"(?:^|/)libtool\.m4$",
-    r"(?:^|/)\.gitattributes$",
-    r"(?:^|/)\.gitignore$",
-    r"(?:^|/)\.gitmodules$",
+# Names of single files of third-party code.
+VENDOR_FILE_NAMES = [
+    r"jquery(?:[^.]*)\.js",
+    r"jquery-\d\.\d+(?:\.\d+)?\.js",
+    r"jquery-ui(?:-\d\.\d+(?:\.\d+)?)?(?:\.\w+)?\.(?:js|css)",
+    r"bootstrap(?:[^/.]*)(?:\.[^/]*)?\.(?:js|css|less|scss|styl)",
+    r"angular(?:[^.]*)\.js",
+    r"d3(?:\.v\d+)?(?:[^.]*)\.js",
+    r"react(?:-[^.]*)?\.js",
+    r"modernizr-\d\.\d+(?:\.\d+)?\.js",
+    r"font-?awesome\.(?:css|less|scss|styl)",
+    r"normalize\.(?:css|less|scss|styl)",
+    r"gradlew(?:\.bat)?",
+    r"mvnw(?:\.cmd)?",
+    "configure",
+    r"config\.(?:guess|sub)",
+    r"aclocal\.m4",
+    r"libtool\.m4",
+    r"\.gitattributes",
+    r"\.gitignore",
+    r"\.gitmodules",
 ]
+# The same, only in the root, or as the end of a name.
+VENDOR_ROOT_FILES = ["rebar"]
+VENDOR_FILE_ENDINGS = [r"[.-]min\.(?:js|css)"]
 
-# Files that tools write, known by path.
-GENERATED_PATHS = [
-    r"(?:^|/)(?:Gopkg|glide|Cargo|poetry|composer|Pipfile|mix|Podfile)\.lock$",
-    r"(?:^|/)(?:package-lock|npm-shrinkwrap)\.json$",
-    r"(?:^|/)pnpm-lock\.yaml$",
-    r"(?:^|/)yarn\.lock$",
-    r"(?:^|/)go\.sum$",
-    r"(?:^|/)__generated__/",
-    r"\.pb\.(?:go|cc|h)$",
-    r"_pb2(?:_grpc)?\.py$",
-    r"\.designer\.(?:cs|vb)$",
-    r"\.(?:nib|xcworkspacedata|xcuserstate)$",
-    r"\.(?:js|css)\.map$",
+# Names of files that tools write, their endings, and a directory of such files.
+GENERATED_NAMES = [
+    r"(?:Gopkg|glide|Cargo|poetry|composer|Pipfile|mix|Podfile)\.lock",
+    r"(?:package-lock|npm-shrinkwrap)\.json",
+    r"pnpm-lock\.yaml",
+    r"yarn\.lock",
+    r"go\.sum",
 ]
+GENERATED_ENDINGS = [
+    r"\.pb\.(?:go|cc|h)",
+    r"_pb2(?:_grpc)?\.py",
+    r"\.designer\.(?:cs|vb)",
+    r"\.(?:nib|xcworkspacedata|xcuserstate)",
+    r"\.(?:js|css)\.map",
+]
+GENERATED_DIRECTORY = "__generated__"
 
 # Markers of generated code, and the number of leading lines in which they mean it.
 GENERATED_MARKERS = [
-    r"Code generated",
-    r"@generated\b",
-    r"DO NOT EDIT",
-    r"Generated by the protocol buffer compiler",
-    r"Autogenerated by Thrift Compiler",
-    r"This file was automatically generated",
-    r"GENERATED CODE",
+    "Code generated",
+    "@generated",
+    "DO NOT EDIT",
+    "Generated by the protocol buffer compile",
+    "Autogenerated by Thrift Compile",
+    "This file was automatically generated",
+    "GENERATED CODE",
 ]
 GENERATED_HEADER_LINES = 40
 
@@ -91,9 +94,23 @@ BINARY_SCAN_BYTES = 10_000
 LICENSE_FILE = r"(?i)^(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$"
 
 
-def any_of(patterns: list[str]) -> str:
-    """One pattern that matches where any of the given ones does."""
-    return "|".join(f"(?:{p})" for p in patterns)
+def _one(patterns: list[str]) -> str:
+    return "(?:" + "|".join(patterns) + ")"
 
 
-GENERATED_HEADER = rf"\A(?:[^\n]*+\n){{0,{GENERATED_HEADER_LINES - 1}}}[^\n]*?(?:{'|'.join(GENERATED_MARKERS)})"
+# A match inside a directory path that ends in a slash.
+PRUNED_DIRECTORY = "|".join(
+    [
+        VCS_DIRECTORY,
+        f"(?:^|/){_one(VENDOR_DIRECTORY_NAMES)}/",
+        f"^{_one(VENDOR_ROOT_DIRECTORIES)}/",
+        f"{_one(VENDOR_DIRECTORY_ENDINGS)}/",
+    ]
+)
+VENDOR_FILE = "|".join(
+    [f"(?:^|/){_one(VENDOR_FILE_NAMES)}$", f"^{_one(VENDOR_ROOT_FILES)}$", f"{_one(VENDOR_FILE_ENDINGS)}$"]
+)
+GENERATED_PATH = "|".join(
+    [f"(?:^|/){_one(GENERATED_NAMES)}$", f"{_one(GENERATED_ENDINGS)}$", f"(?:^|/){GENERATED_DIRECTORY}/"]
+)
+GENERATED_HEADER = rf"\A(?:[^\n]*+\n){{0,{GENERATED_HEADER_LINES - 1}}}[^\n]*?{_one(GENERATED_MARKERS)}"

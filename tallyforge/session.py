@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Call sites of columns are only for error messages, and cost more than building the columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

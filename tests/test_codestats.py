@@ -1,6 +1,5 @@
 """Line counts, file classes and totals."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import codestats
@@ -17,9 +16,8 @@ def counted(spark, *rows):
     return codestats.file_stats(df)
 
 
-@pytest.mark.parametrize(
-    ("path", "content", "language", "lines", "code", "comments", "blanks", "complexity"),
-    [
+# path, content, language, lines, code, comments, blanks, complexity
+CASES = [
         ("main.go", GO, "Go", 15, 11, 3, 1, 3),
         ("a.py", PYTHON, "Python", 10, 6, 4, 0, 2),
         ("a.py", "x = 'it\\'s # no'  # yes\n", "Python", 1, 1, 0, 0, 0),
@@ -38,13 +36,19 @@ def counted(spark, *rows):
         ("sub/Dockerfile", "# c\nFROM x\n", "Dockerfile", 2, 1, 1, 0, 0),
         ("run", "#!/usr/bin/env bash\necho hi\n", "BASH", 2, 1, 1, 0, 0),
         ("a.sql", "SELECT 1 -- x\n/* y */\n", "SQL", 2, 1, 1, 0, 0),
-    ],
-)
-def test_line_counts(spark, path, content, language, lines, code, comments, blanks, complexity):
-    row = counted(spark, (path, content)).first()
-    assert (row.status, row.language) == ("counted", language)
-    assert (row.lines, row.code, row.comments, row.blanks, row.complexity) == (lines, code, comments, blanks, complexity)
-    assert row.lines == row.code + row.comments + row.blanks
+]
+
+
+def test_line_counts(spark):
+    df = spark.createDataFrame(
+        [(str(i), case[0], case[1].encode()) for i, case in enumerate(CASES)], "repo string, path string, content binary"
+    )
+    rows = {int(r.repo): r for r in codestats.file_stats(df).collect()}
+    for i, (path, content, *expected) in enumerate(CASES):
+        row = rows[i]
+        got = [row.language, row.lines, row.code, row.comments, row.blanks, row.complexity]
+        assert (row.status, got) == ("counted", expected), (path, content)
+        assert row.lines == row.code + row.comments + row.blanks
 
 
 def test_long_lines_do_not_exhaust_the_stack(spark):
