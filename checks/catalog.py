@@ -381,7 +381,7 @@ def _snapshots(s: Standin) -> DataFrame:
 
 
 def _snapshot_languages(s: Standin) -> DataFrame:
-    return trends.snapshot_languages(_snapshots(s), s.trees())
+    return trends.snapshot_languages(_snapshots(s), s.trees(), prune=True)
 
 
 def _trend_repos(s: Standin) -> DataFrame:

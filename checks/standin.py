@@ -381,12 +381,12 @@ class Standin:
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for repo, body in zip(batch.repo, batch.text):
+        for repo, body in zip(batch.repo, batch.text.str.encode("utf-8")):
             packed = io.BytesIO()
-            with tarfile.open(fileobj=packed, mode="w:gz") as archive:
-                for name in ("top-1/src/main.txt", "top-1/../../evil.txt"):
+            with tarfile.open(fileobj=packed, mode="w:gz", compresslevel=1) as archive:
+                for name, content in (("top-1/src/main.txt", body), ("top-1/../../evil.txt", b"evil")):
                     member = tarfile.TarInfo(name)
-                    member.size = len(body.encode())
-                    archive.addfile(member, io.BytesIO(body.encode()))
+                    member.size = len(content)
+                    archive.addfile(member, io.BytesIO(content))
             rows.append((repo, None, packed.getvalue()))
         yield pd.DataFrame(rows, columns=["repo", "commit_hash", "content"])

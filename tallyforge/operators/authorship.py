@@ -20,25 +20,33 @@ def commit_signals(commits: DataFrame) -> DataFrame:
     return commits.withColumn("signals", ai_signals(F.col("author"), F.col("message")))
 
 
+def looked_at(commits: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
+    """First ``limit`` commits, each with ``flagged`` and, only if so, author, first message line and signals.
+
+    Messages are judged where they are read. What the ranking shuffles of most commits is their key.
+    """
+    flagged = F.col("flagged")
+    judged = commits.withColumn("flagged", is_ai_flagged(F.col("author"), F.col("message"))).select(
+        "repo", "hash", "ts", "seq", "flagged",
+        F.when(flagged, F.col("author")).alias("author"),
+        F.when(flagged, first_line(F.col("message"))).alias("message"),
+        F.when(flagged, ai_signals(F.col("author"), F.col("message"))).alias("signals"),
+    )
+    return limit_commits(judged, limit)
+
+
 def flagged_commits(commits: DataFrame, commit_stats: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
-    """Commits with a signal among the first ``limit``, with their statistics where known.
+    """Flagged commits among the first ``limit``, with their statistics where known.
 
-    Commits without a signal are dropped before the join, so only a small part of the statistics is met.
+    Commits without a signal are dropped before the join: they need no statistics.
     """
-    flagged = limit_commits(commits, limit).filter(is_ai_flagged(F.col("author"), F.col("message")))
-    return with_stats(flagged, commit_stats)
+    return with_stats(looked_at(commits, limit).filter("flagged"), commit_stats)
 
 
 def ai_details(commits: DataFrame, commit_stats: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
     """Flagged commits with statistics, one row each, with the first message line."""
-    return (
-        commit_signals(flagged_commits(commits, commit_stats, limit))
-        .filter(F.col("stats_error").isNull())
-        .select(
-            "repo", "hash", "author", first_line(F.col("message")).alias("message"), "signals",
-            "additions", "deletions", "ts", "seq",
-        )
-    )
+    known = flagged_commits(commits, commit_stats, limit).filter(F.col("stats_error").isNull())
+    return known.select("repo", "hash", "author", "message", "signals", "additions", "deletions", "ts", "seq")
 
 
 def ai_partial_errors(commits: DataFrame, commit_stats: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
@@ -52,21 +60,24 @@ def ai_by_repo(
     """Commits, flagged commits, their share and their additions per repository.
 
     A flagged commit without statistics counts as flagged but adds no lines. A repository without
-    commits appears with zeros.
+    commits appears with zeros. The commits are read once: those without a signal pass the join
+    unmatched, by key and flag, so that they spread over all tasks.
     """
-    looked_at = limit_commits(commits, limit)
-    per_repo = looked_at.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_commits"),
-        F.count_if(is_ai_flagged(F.col("author"), F.col("message"))).alias("ai_commits"),
-    )
-    additions = (
-        flagged_commits(commits, commit_stats, limit).groupBy("repo").agg(F.sum("additions").alias("ai_additions"))
+    keyed = looked_at(commits, limit).select("repo", "hash", "flagged")
+    stats = commit_stats.filter(F.col("error").isNull()).select("repo", "hash", "additions", F.lit(True).alias("flagged"))
+    per_repo = (
+        keyed.join(stats, ["repo", "hash", "flagged"], "left")
+        .groupBy("repo")
+        .agg(
+            F.count(F.lit(1)).alias("total_commits"),
+            F.count_if("flagged").alias("ai_commits"),
+            F.sum("additions").alias("ai_additions"),
+        )
     )
     zero = F.lit(0).cast("long")
     return (
         repos.select("repo")
         .join(per_repo, "repo", "left")
-        .join(additions, "repo", "left")
         .select(
             "repo",
             F.coalesce("total_commits", zero).alias("total_commits"),

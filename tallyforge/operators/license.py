@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.rules.paths import LICENSE_FILE
+from tallyforge.session import broadcast_if_small
 
 # Least confidence of a match, words per shingle.
 CONFIDENCE = 0.85
@@ -37,8 +38,8 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     """Licenses similar enough to each candidate (repo, path, content), with their confidence.
 
     Confidence is the Jaccard similarity of the shingle sets. Texts meet by an equi-join on shingles,
-    never pairwise, and only counts are shuffled afterwards. Whether the corpus is broadcast is left
-    to Spark, which knows its size.
+    never pairwise, and only counts are shuffled afterwards. The shingles of the corpus are broadcast
+    if there are few enough, so that a license which most repositories share makes no hot key.
     """
     keys = ["repo", "path"]
     text = F.make_valid_utf8(F.col("content").cast("string"))
@@ -48,7 +49,7 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     right = _shingled(corpus, ["spdx"], F.col("text")).select(
         "spdx", F.size("_all").alias("_m"), F.explode("_all").alias("_shingle")
     )
-    common = left.join(right, "_shingle").groupBy(*keys, "spdx", "_n", "_m").agg(F.count(F.lit(1)).alias("_common"))
+    common = left.join(broadcast_if_small(right), "_shingle").groupBy(*keys, "spdx", "_n", "_m").agg(F.count(F.lit(1)).alias("_common"))
     confidence = F.col("_common") / (F.col("_n") + F.col("_m") - F.col("_common"))
     return (
         common.withColumn("confidence", confidence)

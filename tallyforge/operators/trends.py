@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.calendar import first_period_covering, period_days, period_end, period_label
 from tallyforge.operators.codestats import file_stats, language_stats, languages_only
 from tallyforge.schema import MEASURES
-from tallyforge.session import broadcast_if_small
+from tallyforge.session import skip_other_keys
 
 
 def period_calendar(spark: SparkSession, since: str, until: str, interval: str) -> DataFrame:
@@ -84,7 +84,7 @@ def snapshot_languages(snapshots: DataFrame, files: DataFrame, *, prune: bool =
     """
     wanted = snapshots.select("repo", "commit_hash").distinct()
     if prune:
-        files = files.join(broadcast_if_small(wanted), ["repo", "commit_hash"], "left_semi")
+        files = skip_other_keys(files, wanted)
     by_commit = language_stats(file_stats(files), ["repo", "commit_hash"])
     return snapshots.select("repo", "period_no", "period", "commit_hash").join(by_commit, ["repo", "commit_hash"])
 
@@ -121,11 +121,20 @@ def trend_totals(calendar: DataFrame, by_repo: DataFrame) -> DataFrame:
 def with_code_delta(totals: DataFrame) -> DataFrame:
     """Change of code to the period before, null while that one has none.
 
-    Periods meet their predecessor by number, which needs no sort over all rows.
+    Every row is sent to its own and to the next period number, where both meet: the totals are
+    computed once, and nothing is sorted in a single task.
     """
-    before = totals.select((F.col("period_no") + 1).alias("period_no"), F.col("code").alias("_before"))
-    delta = F.when(F.col("_before") > 0, F.col("code") - F.col("_before"))
-    return totals.join(before, "period_no", "left").withColumn("code_delta", delta).drop("_before")
+    own = F.struct(F.col("period_no"), F.struct(*totals.columns).alias("_row"), F.lit(None).cast("long").alias("_before"))
+    none = F.when(F.lit(False), F.struct(*totals.columns))
+    following = F.struct((F.col("period_no") + 1).alias("period_no"), none.alias("_row"), F.col("code").alias("_before"))
+    met = (
+        totals.select(F.inline(F.array(own, following)))
+        .groupBy("period_no")
+        .agg(F.any_value("_row", True).alias("_row"), F.max("_before").alias("_before"))
+        .filter(F.col("_row").isNotNull())
+    )
+    delta = F.when(F.col("_before") > 0, F.col("_row.code") - F.col("_before"))
+    return met.select("_row.*", delta.alias("code_delta"))
 
 
 def code_matrix(by_period: DataFrame, row: str, periods: Sequence[str]) -> DataFrame:

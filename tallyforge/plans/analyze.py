@@ -12,7 +12,7 @@ from tallyforge.operators import authorship, churn, codestats, health, license,
 from tallyforge.operators.selection import select_repos
 from tallyforge.plans import reports
 from tallyforge.schema import DIAGNOSTICS
-from tallyforge.session import stage
+from tallyforge.session import keep_keys, skip_other_keys, stage
 
 
 @dataclass
@@ -112,7 +112,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     keys = good.select("repo")
 
     need_paths = options.hotspots and options.churn
-    counted = codestats.file_stats(tables.files)
+    files = skip_other_keys(tables.files, keys)
+    counted = codestats.file_stats(files)
     if need_paths:
         counted = keep(counted, "file-stats")
     by_language_all = keep(codestats.language_stats(counted), "language-stats")
@@ -128,11 +129,11 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     diagnostics: list[DataFrame] = []
 
     if tables.license_corpus is not None:
-        candidates = license.license_files(codestats.visible_files(tables.files))
+        candidates = license.license_files(files)
         result.licenses = license.repo_license(candidates, tables.license_corpus)
 
     if options.churn:
-        scanned = tables.commits.join(selected.select("repo"), "repo", "left_semi")
+        scanned = keep_keys(tables.commits, selected.select("repo"))
         file_churn = churn.file_churn(scanned, tables.commit_files, options.churn_limit)
         result.scanned = churn.scanned_commits(scanned, options.churn_limit)
         result.top_files = churn.top_files(file_churn)
@@ -145,7 +146,7 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         unlisted = _stage_failures(failures, "ai-estimate")
         listed = selected.select("repo").join(unlisted, "repo", "left_anti")
         limit = options.ai_commit_limit
-        commits = tables.commits.join(listed, "repo", "left_semi")
+        commits = keep_keys(tables.commits, listed)
         result.ai = keep(authorship.ai_by_repo(listed, commits, tables.commit_stats, limit), "ai-by-repo")
         result.ai_details = authorship.ai_details(commits, tables.commit_stats, limit)
         result.ai_total = authorship.ai_over_all(result.ai.join(keys, "repo", "left_semi"))
@@ -155,7 +156,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
 
     if options.health or options.health_details:
         unlisted = _stage_failures(failures, "health").select("repo", "error")
-        commits = tables.commits.join(selected.select("repo"), "repo", "left_semi").join(unlisted, "repo", "left_anti")
+        listed = selected.select("repo").join(unlisted, "repo", "left_anti")
+        commits = keep_keys(tables.commits, listed)
         limit = options.health_commit_limit if options.health_details else 1
         result.health = keep(
             health.repo_health(selected, commits, now, failures=unlisted, limit=limit), "health"
@@ -207,7 +209,7 @@ def analyze_trends(tables: Portfolio, options: Options, since: str, until: str,
         include_archived=options.include_archived, include_forks=options.include_forks, owner=options.owner,
     )
     good, errors = reports.split_results(selected, _stage_failures(failures, "trends"))
-    commits = tables.commits.join(good.select("repo"), "repo", "left_semi")
+    commits = keep_keys(tables.commits, good.select("repo"))
     calendar = trends.period_calendar(spark, since, until, interval)
     at_periods = trends.commits_at_periods(commits, since, until, interval)
     snapshots = keep(trends.with_tree(at_periods, tables.files), "snapshots")

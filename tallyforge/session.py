@@ -30,16 +30,20 @@ def build_session(app: str = "tallyforge", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches, from ``spark.checkpoint.dir``; a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tallyforge-")
+    return _local_folders[context.applicationId]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +61,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has at most so many rows; counting stops beyond them."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a frame for broadcast only after counting that it is small; otherwise leave it to Spark."""
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose keys (all columns of ``keys``) are wanted.
+
+    A checked broadcast when there are few keys. Beyond that a shuffle join, whose skewed partitions
+    the adaptive execution splits.
+    """
+    return df.join(broadcast_if_small(keys), keys.columns, "left_semi")
+
+
+def skip_other_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose keys are wanted, if that can be told without a shuffle; all rows otherwise.
+
+    For wide rows that must not move, such as file contents: the caller drops other keys later, from
+    the narrow rows that are made of them.
+    """
+    return df.join(F.broadcast(keys), keys.columns, "left_semi") if is_small(keys) else df

@@ -136,10 +136,10 @@ def archive(*members):
 
 def test_archives(spark, tmp_path):
     good = archive(("top-abc/", None), ("top-abc/main.go", b"package main\n"), ("top-abc/sub/x.py", b"x\n"), ("other/y.py", b"y\n"), ("top-abc/link", "main.go"), ("top-abc/../../evil.py", b"z\n"))
-    land(tmp_path, "repo=r1/a.tar.gz", good)
+    land(tmp_path, "repo=r1/a b%20c.tar.gz", good)
     land(tmp_path, "repo=r2/a.tar.gz", good[: len(good) // 2])
     land(tmp_path, "repo=r3/a.tar.gz", b"no archive")
-    expanded = archives.expand_archives(archives.read_archives(spark, str(tmp_path)))
+    expanded = archives.expand_archives(archives.find_archives(spark, str(tmp_path)))
     files = {r.path: bytes(r.content) for r in archives.archive_files(expanded).filter("repo = 'r1'").collect()}
     assert files == {"main.go": b"package main\n", "sub/x.py": b"x\n", "other/y.py": b"y\n"}
     assert {r.repo for r in archives.archive_failures(expanded).collect()} == {"r2", "r3"}
