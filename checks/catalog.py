@@ -657,7 +657,7 @@ def report_sections(s: Standin) -> DataFrame:
 
 # Whole analyses.
 
-ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True, materialize=False)
+ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True)
 
 
 def _analysis(s: Standin, **options):
@@ -752,7 +752,7 @@ def report_head(s: Standin) -> DataFrame:
 def trends_report(s: Standin) -> DataFrame:
     tables_ = s.portfolio()
     tables_.files, tables_.failures = s.trees(), None
-    options = Options(include_archived=True, include_forks=True, materialize=False)
+    options = Options(include_archived=True, include_forks=True)
     totals = analyze_trends(tables_, options, SINCE, UNTIL, MONTHLY).totals
     return totals.select("period_no", "period", "repos", "code", "code_delta")
 

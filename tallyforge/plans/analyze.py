@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tallyforge.operators import authorship, churn, codestats, health, license, trends
 from tallyforge.operators.selection import select_repos
 from tallyforge.plans import reports
-from tallyforge.schema import DIAGNOSTICS
+from tallyforge.plans.tables import report_tables, trend_tables
+from tallyforge.schema import DIAGNOSTICS, REPO_FAILURES
 from tallyforge.session import keep_keys, skip_other_keys, stage
 
 
@@ -79,13 +80,23 @@ class Analysis:
     scanned: DataFrame | None = None
     top_files: DataFrame | None = None
     hotspots: DataFrame | None = None
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """Report tables."""
+        return report_tables(vars(self))
 
 
 def _stage_failures(failures: DataFrame, name: str) -> DataFrame:
     return failures.filter(F.col("stage") == name)
 
 
+def _need(tables: Portfolio, *names: str) -> None:
+    """An analysis without its table cannot run, such as churn where no file changes can be had."""
+    missing = [name for name in names if getattr(tables, name) is None]
+    if missing:
+        raise ValueError(f"this analysis needs the tables {missing}")
+
+
 def _named(diagnostics: DataFrame, repos: DataFrame) -> DataFrame:
     """Diagnostics show the slug."""
     slugs = repos.select("repo", "slug")
@@ -99,11 +110,18 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     written once to the shared folder when ``materialize`` is set; all of them are sums, far smaller
     than their input. Files and commits are each read once per analysis.
     """
+    _need(tables, "files")
+    if options.churn:
+        _need(tables, "commits", "commit_files")
+    if options.ai or options.health_details:
+        _need(tables, "commits", "commit_stats")
+    if options.health:
+        _need(tables, "commits")
     keep = stage if options.materialize else (lambda df, name: df)
     spark = tables.repos.sparkSession
     failures = tables.failures
     if failures is None:
-        failures = spark.createDataFrame([], "repo string, stage string, error string")
+        failures = spark.createDataFrame([], REPO_FAILURES)
     selected = select_repos(
         tables.repos, projects=options.projects, include=options.include, exclude=options.exclude,
         include_archived=options.include_archived, include_forks=options.include_forks, owner=options.owner,
@@ -176,7 +194,10 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     for part in diagnostics:
         result.diagnostics = result.diagnostics.unionByName(_named(part, selected))
     result.rows = reports.repository_rows(good, totals, by_repo_language, licenses=result.licenses, **parts)
-    result.head = reports.report_head(portfolio, by_language, ai=result.ai_total, summary=result.health_summary, **labels)
+    filters = reports.filters_struct(options.projects, options.include, options.exclude)
+    result.head = reports.report_head(
+        portfolio, by_language, ai=result.ai_total, summary=result.health_summary, filters=filters, **labels
+    )
     return result
 
 
@@ -191,19 +212,28 @@ class Trends:
     totals: DataFrame
     errors: DataFrame
     rows: DataFrame
+    repository_rows: DataFrame
+    head: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        """Report tables; collects the labels of the periods."""
+        return trend_tables(vars(self), trends.period_labels(self.calendar))
 
 
-def analyze_trends(tables: Portfolio, options: Options, since: str, until: str, interval: str) -> Trends:
+def analyze_trends(
+    tables: Portfolio, options: Options, since: str, until: str, interval: str, **labels: str
+) -> Trends:
     """Code of every repository at every period end.
 
     The chosen commits and the sums of their trees are written once to the shared folder; the trees
     themselves are read once, in place.
     """
+    _need(tables, "files", "commits")
     keep = stage if options.materialize else (lambda df, name: df)
     spark = tables.repos.sparkSession
     failures = tables.failures
     if failures is None:
-        failures = spark.createDataFrame([], "repo string, stage string, error string")
+        failures = spark.createDataFrame([], REPO_FAILURES)
     selected = select_repos(
         tables.repos, include=options.include, exclude=options.exclude,
         include_archived=options.include_archived, include_forks=options.include_forks, owner=options.owner,
@@ -220,4 +250,9 @@ def analyze_trends(tables: Portfolio, options: Options, since: str, until: str,
     return Trends(
         calendar=calendar, snapshots=snapshots, by_repo=by_repo, by_language=by_language, totals=totals,
         errors=errors, rows=reports.trend_snapshots(totals, by_language),
+        repository_rows=reports.trend_repository_rows(good, by_repo, sums),
+        head=reports.trends_head(
+            calendar, reports.filters_struct((), options.include, options.exclude),
+            since=since, until=until, interval=interval, **labels,
+        ),
     )

@@ -132,18 +132,30 @@ def _fold(parts: Sequence[DataFrame]) -> DataFrame:
     return union.agg(*[F.any_value(c, True).alias(c) for c in union.columns])
 
 
-def _language_list(by_language: DataFrame) -> DataFrame:
+def _language_array() -> Column:
+    """Aggregate: languages as an array, largest code first; as many as there are rules at most."""
     keyed = F.struct((-F.col("code")).alias("k"), F.col("language").alias("name"), *MEASURES)
-    ordered = F.transform(F.array_sort(F.collect_list(keyed)), lambda e: F.struct(e["name"].alias("name"), *[e[m].alias(m) for m in MEASURES]))
-    return by_language.agg(ordered.alias("by_language"))
+    return F.transform(
+        F.array_sort(F.collect_list(keyed)),
+        lambda e: F.struct(e["name"].alias("name"), *[e[m].alias(m) for m in MEASURES]),
+    )
+
+
+def filters_struct(projects: Sequence[str] = (), include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+    """What the repositories were filtered by; empty lists are left out."""
+    lists = {"projects": projects, "repos": include, "exclude": exclude}
+    return F.struct(
+        *[(F.array(*map(F.lit, v)) if v else F.lit(None).cast("array<string>")).alias(k) for k, v in lists.items()]
+    )
 
 
 def report_head(
-    spark_totals: DataFrame,
+    portfolio: DataFrame,
     by_language: DataFrame,
     *,
     ai: DataFrame | None = None,
     summary: DataFrame | None = None,
+    filters: Column | None = None,
     **labels: str,
 ) -> DataFrame:
     """One row over all repositories: labels, totals, languages, AI estimate, health summary.
@@ -152,8 +164,8 @@ def report_head(
     """
     filtered = _zero_to_null("filtered_files").alias("filtered_files")
     parts = [
-        spark_totals.select(F.struct("repos", *MEASURES, filtered).alias("totals")),
-        _language_list(by_language),
+        portfolio.select(F.struct("repos", *MEASURES, filtered).alias("totals")),
+        by_language.agg(_language_array().alias("by_language")),
     ]
     if ai is not None:
         parts.append(ai.select(F.struct("total_commits", "ai_commits", "commit_percent", "ai_additions").alias("ai_estimate")))
@@ -162,16 +174,39 @@ def report_head(
         by_category = summary.groupBy().agg(values.alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 0")
         parts.append(by_category.select(F.struct(*[F.col("m")[c].alias(c) for c in CATEGORIES]).alias("health_summary")))
     head = _fold(parts)
+    return head.select(*_labels(labels, filters), *head.columns)
+
+
+def _labels(labels: dict[str, str], filters: Column | None) -> list[Column]:
     shown = [F.lit(text).alias(name) for name, text in labels.items() if text]
-    return head.select(*shown, *head.columns)
+    return shown if filters is None else [*shown, filters.alias("filters")]
+
+
+def trends_head(calendar: DataFrame, filters: Column | None = None, **labels: str) -> DataFrame:
+    """One row about a trends report, with the labels of its periods in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("period_no", "period"))), lambda e: e["period"])
+    return calendar.agg(ordered.alias("periods")).select(*_labels(labels, filters), "periods")
 
 
 def trend_snapshots(totals: DataFrame, by_language: DataFrame) -> DataFrame:
     """One row per period with its totals and languages; a period without repositories has zeros."""
-    keyed = F.struct((-F.col("code")).alias("k"), F.col("language").alias("name"), *MEASURES)
-    ordered = F.transform(F.array_sort(F.collect_list(keyed)), lambda e: F.struct(e["name"].alias("name"), *[e[m].alias(m) for m in MEASURES]))
-    languages = by_language.groupBy("period_no").agg(ordered.alias("by_language"))
+    languages = by_language.groupBy("period_no").agg(_language_array().alias("by_language"))
     joined = totals.join(languages, "period_no", "left")
     return joined.select(
         "period_no", "period", F.struct("repos", *MEASURES).alias("totals"), "by_language"
     ).orderBy("period_no")
+
+
+def trend_repository_rows(repos: DataFrame, by_repo: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """One row per period and repository, with totals and languages."""
+    arrays = snapshot.groupBy("repo", "period_no").agg(F.sum("filtered_files").alias("filtered_files"))
+    languages = languages_only(snapshot).groupBy("repo", "period_no").agg(_language_array().alias("languages"))
+    joined = (
+        by_repo.join(arrays, ["repo", "period_no"], "left")
+        .join(languages, ["repo", "period_no"], "left")
+        .join(repos.select("repo", "slug", "project", "provider", "url"), "repo")
+    )
+    return joined.select(
+        "period_no", "period", F.col("slug").alias("repository"), blank_to_null(F.col("project")).alias("project"), "provider",
+        "url", "languages", F.struct(*MEASURES).alias("totals"), _zero_to_null("filtered_files").alias("filtered_files"),
+    )

@@ -17,7 +17,7 @@ from tallyforge.functions.text import (
     thousands,
     top_names,
 )
-from tallyforge.operators.trends import code_matrix, largest_over_time
+from tallyforge.operators.trends import code_matrix, largest_over_time, with_code_delta
 
 # Labels, and how many rows the short tables show.
 NOTHING = "—"
@@ -308,3 +308,48 @@ def top_repo_matrix(by_period: DataFrame, periods: Sequence[str], count: int = T
 def names_over_time(by_period: DataFrame, row: str) -> DataFrame:
     """Distinct names in any period, ascending."""
     return by_period.select(row).distinct().orderBy(row)
+
+
+def report_tables(frames: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+    """All tables of a standard report from its frames, those of an analysis or of a report that was read.
+
+    Parts that are absent have no table; a part that is there but empty gives an empty one.
+    """
+    repos, totals = frames["repos"], frames["totals"]
+    shown = {
+        "summary": summary_table(frames["portfolio"]),
+        "languages": language_table(frames["by_language"]),
+        "repositories": repository_table(
+            repos, totals, frames.get("licenses"), frames.get("health"), frames.get("ai")
+        ),
+        "projects": project_table(project_rollup(repos, totals)),
+        "repositories_by_project": repos_by_project(repos, totals),
+        "top_repositories": top_repos(repos, totals),
+        "top_languages": top_language_names(frames["by_language"]),
+        "errors": error_table(frames["errors"]),
+    }
+    if frames.get("ai_total") is not None:
+        shown["ai"] = ai_table(frames["ai_total"])
+    if frames.get("health_summary") is not None:
+        shown["health"] = health_table(frames["health_summary"])
+    if frames.get("windows") is not None:
+        shown["health_details"] = health_details_table(repos, frames["windows"])
+    if frames.get("top_files") is not None:
+        shown["churn"] = churn_table(repos, frames["scanned"], frames["top_files"])
+    if frames.get("hotspots") is not None:
+        shown["hotspots"] = hotspot_table(repos, frames["hotspots"])
+    return shown
+
+
+def trend_tables(frames: dict[str, DataFrame], periods: Sequence[str]) -> dict[str, DataFrame]:
+    """All tables of a trends report from its frames."""
+    totals = frames["totals"]
+    if "code_delta" not in totals.columns:
+        totals = with_code_delta(totals)
+    return {
+        "periods": period_table(totals),
+        "languages": code_matrix(frames["by_language"], "language", periods),
+        "repositories": code_matrix(frames["by_repo"], "repo", periods),
+        "top_languages": top_language_matrix(frames["by_language"], periods),
+        "top_repositories": top_repo_matrix(frames["by_repo"], periods),
+    }

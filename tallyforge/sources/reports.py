@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.health import CATEGORIES
+from tallyforge.schema import MEASURES, repo_key
+
 # Names of the fields in a report.
 _MEASURES = "files bigint, lines bigint, code bigint, comments bigint, blanks bigint, complexity bigint"
 LANGUAGES = f"array<struct<name string, {_MEASURES}>>"
@@ -71,3 +74,83 @@ def report_snapshots(reports: DataFrame) -> DataFrame:
     return trends.select("organization", F.posexplode("snapshots").alias("_place", "s")).select(
         "organization", (F.col("_place") + 1).alias("period_no"), "s.*"
     )
+
+
+def report_frames(reports: DataFrame) -> dict[str, DataFrame]:
+    """Standard reports taken apart into the frames that report tables are made of.
+
+    The key of a repository is made of provider and URL as ever; several reports may be read at once.
+    """
+    standard = reports.filter(F.col("report_type") == "standard")
+    rows = standard.select(F.inline("repositories")).withColumn("repo", repo_key(F.col("provider"), F.col("url")))
+    files = ["path", "changes", "additions", "deletions", "complexity", "hotspot"]
+
+    def ranked(column: str) -> DataFrame:
+        exploded = rows.select("repo", F.posexplode(column).alias("_place", "f"))
+        return exploded.select("repo", (F.col("_place") + 1).alias("rank"), *[F.col("f")[c].alias(c) for c in files])
+
+    windows = rows.select(
+        "repo", F.explode("health_details.churn_by_window").alias("window", "w"), "health_details.authors_by_window"
+    ).select(
+        "repo",
+        "window",
+        F.coalesce(F.try_element_at("authors_by_window", F.col("window")), F.lit(0)).cast("long").alias("authors"),
+        F.col("w.commits").cast("long").alias("commits"),
+        "w.additions",
+        "w.deletions",
+        "w.net_churn",
+    )
+    summary = standard.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("position"), F.lit(c).alias("category"), F.col(f"health_summary.{c}").alias("s"))
+                    for i, c in enumerate(CATEGORIES, start=1)
+                ]
+            )
+        )
+    ).filter(F.col("s").isNotNull())
+    project = F.coalesce("project", F.lit(""))
+    return {
+        "repos": rows.select("repo", F.col("repository").alias("slug"), project.alias("project"), "provider", "url"),
+        "totals": rows.select("repo", *[F.col(f"totals.{m}").alias(m) for m in MEASURES]),
+        "portfolio": standard.select(
+            F.col("totals.repos").alias("repos"),
+            *[F.col(f"totals.{m}").alias(m) for m in MEASURES],
+            F.coalesce("totals.filtered_files", F.lit(0)).alias("filtered_files"),
+        ),
+        "by_language": standard.select(F.inline("by_language")).withColumnRenamed("name", "language"),
+        "licenses": rows.filter(F.col("license").isNotNull()).select("repo", "license"),
+        "ai": rows.filter(F.col("ai_estimate").isNotNull()).select("repo", "ai_estimate.commit_percent", "ai_estimate.ai_additions"),
+        "ai_total": standard.filter(F.col("ai_estimate").isNotNull()).select(
+            *[F.col(f"ai_estimate.{c}").alias(c) for c in ["total_commits", "ai_commits", "commit_percent", "ai_additions"]]
+        ),
+        "health": rows.filter(F.col("health").isNotNull()).select("repo", "health.category", "health.days_since_commit"),
+        "health_summary": summary.select("position", "category", "s.repos", "s.code", "s.code_percent"),
+        "windows": windows,
+        "scanned": rows.filter(F.col("churn").isNotNull()).select("repo", "churn.total_commits"),
+        "top_files": ranked("churn.top_files"),
+        "hotspots": ranked("churn.hotspots"),
+        "errors": standard.select(F.inline("errors")),
+    }
+
+
+def trend_frames(reports: DataFrame) -> dict[str, DataFrame]:
+    """Trends reports taken apart: totals, language sums and repository sums per period."""
+    periods = report_snapshots(reports)
+    by_language = periods.select("period_no", "period", F.inline("by_language")).withColumnRenamed("name", "language")
+    repositories = periods.select("period_no", "period", F.explode("repositories").alias("r"))
+    measures = [F.col(f"totals.{m}").alias(m) for m in MEASURES]
+    return {
+        "totals": periods.select("period_no", "period", F.coalesce("totals.repos", F.lit(0)).alias("repos"), *measures),
+        "by_language": by_language,
+        "by_repo": repositories.select(
+            "period_no", "period", repo_key(F.col("r.provider"), F.col("r.url")).alias("repo"),
+            F.col("r.repository").alias("repository"), *[F.col(f"r.totals.{m}").alias(m) for m in MEASURES],
+        ),
+    }
+
+
+def read_repository_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Repository rows of a report that this package wrote as JSON lines."""
+    return spark.read.schema(REPOSITORY.removeprefix("struct<").removesuffix(">")).json(f"{folder}/repositories")

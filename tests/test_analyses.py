@@ -2,11 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge import schema
 from tallyforge.plans.analyze import Options, Portfolio, analyze, analyze_trends
+from tallyforge.plans.tables import report_tables
 from tallyforge.sinks.reports import write_report, write_trends_report
+from tallyforge.sources import reports as report_source
 
 NOW = "2026-02-23 00:00:00"
 
@@ -111,6 +114,43 @@ def test_trends(spark, tmp_path):
     # By February only "lone" has a commit, "two" since March, "one" since June, "bad" since January 2026.
     # The June commit of "one" has no tree, so that repository is skipped until its next commit.
     assert (rows["2025-02"], rows["2025-03"], rows["2025-06"], rows["2026-02"]) == ((1, 2), (2, 4), (2, 4), (4, 7))
-    write_trends_report(str(tmp_path / "t"), result.calendar, result.rows, result.by_repo, result.errors)
-    first = json.loads(sorted(line for p in (tmp_path / "t/snapshots").glob("part-*") for line in p.read_text().splitlines())[0])
-    assert first["totals"]["repos"] >= 0
+    write_trends_report(str(tmp_path / "t"), result.head, result.rows, result.repository_rows, result.errors)
+
+    def lines(name):
+        return [json.loads(line) for p in (tmp_path / "t" / name).glob("part-*") for line in p.read_text().splitlines()]
+
+    head = lines("head")[0]
+    assert (head["since"], head["interval"], len(head["periods"]), head["periods"][0]) == ("2025-02", "monthly", 13, "2025-02")
+    snapshots = {row["period"]: row for row in lines("snapshots")}
+    assert snapshots["2026-02"]["totals"]["repos"] == 4
+    assert [(e["name"], e["code"]) for e in snapshots["2026-02"]["by_language"]] == [("Python", 4), ("Go", 3)]
+    last = {row["repository"]: row for row in lines("repositories") if row["period"] == "2026-02"}
+    assert (last["one"]["filtered_files"], last["one"]["languages"][0]["name"], last["two"]["totals"]["files"]) == (1, "Go", 2)
+    tables = result.tables()
+    assert [r.delta_label for r in tables["periods"].limit(3).collect()] == ["", "+2", "+0"]
+    assert {r.language: r["2026-02"] for r in tables["languages"].collect()} == {"Go": 3, "Python": 4}
+    assert tables["top_repositories"].count() == 4
+
+
+def test_tables_of_a_read_report_equal_those_of_the_analysis(spark, tmp_path):
+    options = Options(ai=True, health=True, health_details=True, churn=True, hotspots=True)
+    result = analyze(portfolio(spark), options, NOW, provider="bitbucket", workspace="ws")
+    nested = result.head.drop("errors").first().asDict(recursive=True)
+    nested["repositories"] = [r.asDict(recursive=True) for r in result.rows.drop("repo").collect()]
+    nested["errors"] = [r.asDict() for r in result.errors.drop("repo").collect()]
+    (tmp_path / "report.json").write_text(json.dumps(nested))
+    read = report_tables(report_source.report_frames(report_source.read_reports(spark, str(tmp_path / "report.json"))))
+    direct = result.tables()
+    assert set(read) == set(direct)
+    for name, table in direct.items():
+        columns = [c for c in table.columns if c != "repo"]
+        expected = sorted(map(str, table.select(columns).collect()))
+        assert sorted(map(str, read[name].select(columns).collect())) == expected, name
+        assert expected, name
+
+
+def test_missing_tables_are_named(spark):
+    tables = portfolio(spark)
+    tables.commit_files = None
+    with pytest.raises(ValueError, match="commit_files"):
+        analyze(tables, Options(churn=True), NOW)
