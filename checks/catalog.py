@@ -655,9 +655,9 @@ def report_sections(s: Standin) -> DataFrame:
     return tables.sections(s.repos(), ai=ai, health=_health(s), windows=health_windows(s), top_files=churn_top_files(s))
 
 
-# Whole analyses.
+# Whole analyses. The tables are small here, so intermediate results are not written and read back.
 
-ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True)
+ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True, materialize=False)
 
 
 def _analysis(s: Standin, **options):
@@ -752,7 +752,7 @@ def report_head(s: Standin) -> DataFrame:
 def trends_report(s: Standin) -> DataFrame:
     tables_ = s.portfolio()
     tables_.files, tables_.failures = s.trees(), None
-    options = Options(include_archived=True, include_forks=True)
+    options = Options(include_archived=True, include_forks=True, materialize=False)
     totals = analyze_trends(tables_, options, SINCE, UNTIL, MONTHLY).totals
     return totals.select("period_no", "period", "repos", "code", "code_delta")
 

@@ -361,7 +361,9 @@ class Standin:
     def archives(self) -> DataFrame:
         """An archive per document, wrapped in a folder, with one file that tries to leave it."""
         docs = self.table("documents").select(F.concat(F.lit("doc"), text("doc_id")).alias("repo"), "text")
-        return docs.mapInPandas(_pack, "repo string, commit_hash string, content binary")
+        # Packing costs far more than moving the text, and the small tables are one row group each.
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return docs.repartition(partitions, "repo").mapInPandas(_pack, "repo string, commit_hash string, content binary")
 
     def report_texts(self) -> DataFrame:
         """Reports of both kinds, one per hundred customers."""

@@ -38,13 +38,15 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _by_syntax(syntax: str, results: dict[int, str], otherwise: str) -> Column:
-    """The result for the number of a syntax; each branch has its own literal pattern.
+def _by_syntax(text: str, syntax: str, results: dict[int, str], otherwise: str) -> Column:
+    """The result for the number of a syntax, each with its own literal pattern; results speak of the text as ``t``.
 
-    Written as one SQL expression: building it call by call would take seconds on the driver.
+    The choice is made inside a lambda, where only the branch taken is evaluated. Generated code would
+    hold all branches in one method, too large to be compiled to machine code. Written as one SQL
+    expression, because building it call by call takes seconds on the driver.
     """
     branches = " ".join(f"WHEN {number} THEN {result}" for number, result in results.items())
-    return F.expr(f"CASE {syntax} {branches} ELSE {otherwise} END")
+    return F.expr(f"element_at(transform(array({text}), t -> CASE {syntax} {branches} ELSE {otherwise} END), 1)")
 
 
 def unescape(text: Column) -> Column:
@@ -58,8 +60,8 @@ def mark_tokens(unescaped: str, syntax: str) -> Column:
     for number, rule in enumerate(SYNTAXES):
         tokens, replacement, _ = token_rule(rule)
         if tokens:
-            results[number] = f"regexp_replace({unescaped}, {_literal(tokens)}, {_literal(replacement)})"
-    return _by_syntax(syntax, results, unescaped)
+            results[number] = f"regexp_replace(t, {_literal(tokens)}, {_literal(replacement)})"
+    return _by_syntax(unescaped, syntax, results, "t")
 
 
 def raw_string_breaks(unescaped: str, syntax: str) -> Column:
@@ -68,11 +70,11 @@ def raw_string_breaks(unescaped: str, syntax: str) -> Column:
     for number, rule in enumerate(SYNTAXES):
         tokens, _, raw_group = token_rule(rule)
         if raw_group:
-            quoted = " OR ".join(f"contains({unescaped}, {_literal(quote)})" for quote in rule.raw)
-            raw = f"array_join(regexp_extract_all({unescaped}, {_literal(tokens)}, {raw_group}), '')"
+            quoted = " OR ".join(f"contains(t, {_literal(quote)})" for quote in rule.raw)
+            raw = f"array_join(regexp_extract_all(t, {_literal(tokens)}, {raw_group}), '')"
             breaks = f"octet_length({raw}) - octet_length(replace({raw}, '\\n', ''))"
             results[number] = f"IF({quoted}, CAST({breaks} AS BIGINT), 0L)"
-    return _by_syntax(syntax, results, "0L")
+    return _by_syntax(unescaped, syntax, results, "0L")
 
 
 # One number holds both counts of a text, so that its lines are walked once.
@@ -110,5 +112,5 @@ def branch_count(marked: str, syntax: str) -> Column:
     for number, rule in enumerate(SYNTAXES):
         pattern = branch_rule(rule)
         if pattern:
-            results[number] = f"CAST(regexp_count({marked}, {_literal(pattern)}) AS BIGINT)"
-    return _by_syntax(syntax, results, "0L")
+            results[number] = f"CAST(regexp_count(t, {_literal(pattern)}) AS BIGINT)"
+    return _by_syntax(marked, syntax, results, "0L")
