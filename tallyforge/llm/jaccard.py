@@ -113,7 +113,7 @@ def _profiles(parts: int):
 
 def _merge_profiles(table: pa.Table) -> pa.Table:
     """Documents as they are; of the shingles those in at least four documents."""
-    docs = table.filter(pa.compute.is_null(table.column("blob"))).select(["doc_id", "n", "s1", "s2"])
+    docs = table.filter(table.column("blob").is_null()).select(["doc_id", "n", "s1", "s2"])
     keys, counts = [], []
     for blob in table.column("blob"):
         if blob.is_valid:
