@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import jaccard
+from tallyforge.llm import jaccard, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(documents(spark, sf_dir))
+
+
+# A list of words as text is the same for DuckDB and Spark, and each window is one such text.
+@query(
+    "op4_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+    h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM s),
+    o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM h),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM o WHERE n > 1),
+    r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+    t AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id))
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+           sha256(array_to_string(list_filter(w, lambda x, p: NOT list_contains(gone, p)), ' ')) AS kept_sha256 FROM t""",
+)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
