@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, jaccard, lattice, packing, substrings
+from tallyforge.llm import bpe, jaccard, language, lattice, packing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    model = language.fit(docs.where("NOT held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
+    out = language.predict(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(documents(spark, sf_dir))
