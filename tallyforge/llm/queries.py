@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, jaccard, language, lattice, packing, substrings
+from tallyforge.llm import bpe, jaccard, language, lattice, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_score")
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_narrow(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == secrets.ORDER[kind])).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "row.doc_id", *map(count, secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+    )
