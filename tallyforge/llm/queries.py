@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, jaccard, language, lattice, packing, secrets, substrings
+from tallyforge.llm import bpe, chats, jaccard, language, lattice, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,22 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.doc_id", *map(count, secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
     )
+
+
+@query(
+    "op10_chat_format",
+    """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-') || chr(2) AS k,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
+    p AS (SELECT *, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h,
+                 count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+    w AS (SELECT n_turns, h, min(conv_id) AS conv_id FROM p WHERE pos = n_turns GROUP BY n_turns, h),
+    m AS (SELECT conv_id, n_turns FROM w WHERE h NOT IN (SELECT h FROM p WHERE pos < n_turns)),
+    r AS (SELECT m.conv_id, (t.pos - 1) // 1024 AS part, m.n_turns,
+                 string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered, count(*) AS turns
+          FROM m JOIN t USING (conv_id) GROUP BY ALL)
+    SELECT conv_id, part, n_turns, turns, length(rendered)::BIGINT AS n_chars, sha256(rendered) AS sha256 FROM r""",
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chats.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "part", "n_turns", "turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("sha256"))
