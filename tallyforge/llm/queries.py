@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chats, jaccard, language, lattice, packing, secrets, substrings
+from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chats.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return out.select("conv_id", "part", "n_turns", "turns", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("sha256"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprints(documents(spark, sf_dir))
+    kept, edited, following = F.col("kept"), F.col("edited_kept"), F.col("next_kept")
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(kept).alias("fingerprint"), fingerprints.as_text(edited).alias("edited_fingerprint"),
+        fingerprints.likeness(kept, edited).alias("near_edited"), fingerprints.likeness(kept, following).alias("near_next"),
+        fingerprints.containment(kept, edited).alias("kept_in_edited"),
+    )
