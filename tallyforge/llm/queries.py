@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, packing, secrets, substrings
+from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, packing, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(kept, edited).alias("near_edited"), fingerprints.likeness(kept, following).alias("near_next"),
         fingerprints.containment(kept, edited).alias("kept_in_edited"),
     )
+
+
+@query("op3_nearest_vectors")
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
