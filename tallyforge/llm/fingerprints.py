@@ -71,7 +71,7 @@ def id_buckets(docs: DataFrame, steps: int) -> Column:
         step = F.floor((F.col("doc_id").cast("double") - F.get(low, i)) / width)
         return i.cast("long") * steps + F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1))
 
-    return F.coalesce(F.element_at(F.transform(F.array(interval), within), 1), F.lit(-1).cast("long"))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.element_at(F.transform(F.array(interval), within), 1))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
