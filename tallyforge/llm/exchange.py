@@ -23,9 +23,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def range_count(spark: SparkSession) -> int:
-    """Ranges to cut the keys into."""
-    return max(1, RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def range_count(spark: SparkSession, each: int = RANGES_A_PARTITION) -> int:
+    """Ranges to cut the keys into, ``each`` for every shuffle partition."""
+    return max(1, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def range_of(keys: np.ndarray, count: int) -> np.ndarray:

@@ -19,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import exchange
 from tallyforge.llm.words import slices, words_of
 
 WINDOW, ANCHOR = 20, 10
 #: Windows held by a task before it sends them on.
-HELD = 1_200_000
+HELD = 500_000
+#: Ranges of anchors for each shuffle partition; a range is what one task compares at a time.
+RANGES = 8
 
 _U = np.uint64
 _SPANS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("spans", pa.binary()), ("blob", pa.binary())])
@@ -80,14 +83,13 @@ def _windows(parts: int):
         again = np.repeat(length > 1, length)
         some = order[again]
         some = some[np.lexsort((place[some], doc[some], window[some]))]
-        later = np.r_[False, window[some][1:] == window[some][:-1]]
-        later[1:] &= (doc[some][1:] != doc[some][:-1]) | (place[some][1:] != place[some][:-1])
         first = np.ones(len(window), bool)
         # Equal coordinates (a row twice) are neither earlier nor later than each other.
         at, length = exchange.runs(window[some])
-        lead = np.repeat(at, length)
-        later = (doc[some] != doc[some][lead]) | (place[some] != place[some][lead]) if len(some) else later
-        first[some[later]] = False
+        lead = np.repeat(at, length).astype(np.int64)
+        later = (doc[some] != doc[some][lead]) | (place[some] != place[some][lead])
+        first[some] = False  # one record for each place
+        first[some[lead]] = True
         yield from _told(doc[some[later]], place[some[later]], parts)
         keep = np.flatnonzero(first)
         keep = keep[np.lexsort((place[keep], doc[keep], anchor[keep]))]
@@ -213,7 +215,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spark = docs.sparkSession
     exchange.small_batches(spark)
-    parts = exchange.range_count(spark)
+    parts = exchange.range_count(spark, RANGES)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.struct("*").alias("row"))
 
     def without(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
@@ -224,7 +226,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .groupBy("part").applyInArrow(_repeats, "doc_id long, spans binary")
     )
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string, n_words long, n_removed long"
+    schema = T.StructType([rows.schema["row"]]).add("kept", "string").add("n_words", "long").add("n_removed", "long")
     return (
         rows.select(part, "doc_id", "row").groupBy("part")
         .cogroup(spans.select(part, "doc_id", "spans").groupBy("part")).applyInArrow(without, schema)
