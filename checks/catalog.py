@@ -235,10 +235,10 @@ def churn_scanned(s: Standin) -> DataFrame:
     """SELECT * FROM (SELECT t.repo, t.path, changes, additions, deletions, complexity,
               changes::DOUBLE * complexity AS hotspot,
               row_number() OVER (PARTITION BY t.repo ORDER BY changes * complexity DESC, t.path)::INTEGER AS rank
-       FROM top_files t JOIN complexity c ON t.repo = c.repo AND t.path = c.path WHERE complexity > 0) WHERE rank <= 10""",
+       FROM churn t JOIN complexity c ON t.repo = c.repo AND t.path = c.path WHERE complexity > 0) WHERE rank <= 10""",
 )
 def hotspots(s: Standin) -> DataFrame:
-    return churn.hotspots(churn_top_files(s), s.complexity())
+    return churn.hotspots(churn.file_churn(s.commits(), s.commit_files()), s.complexity())
 
 
 # Code statistics.
@@ -309,20 +309,20 @@ def language_report(s: Standin) -> DataFrame:
 # License.
 
 
-@query("license_match", "SELECT repo, spdx, round(confidence, 6) AS confidence FROM matches WHERE confidence >= 0.85")
+@query("license_match", "SELECT repo, spdx, round(confidence, 6) AS confidence FROM matches WHERE confidence >= 0.01")
 def license_match(s: Standin) -> DataFrame:
-    found = license.license_matches(license.license_files(s.license_candidates()), s.corpus())
+    found = license.license_matches(license.license_files(s.license_candidates()), s.corpus(), 0.01)
     return found.select("repo", "spdx", rounded("confidence"))
 
 
 @query(
     "license_repo",
     """SELECT repo, spdx AS license, round(confidence, 6) AS confidence
-       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, spdx) AS n FROM matches WHERE confidence >= 0.85)
+       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, spdx) AS n FROM matches WHERE confidence >= 0.01)
        WHERE n = 1""",
 )
 def license_repo(s: Standin) -> DataFrame:
-    found = license.repo_license(license.license_files(s.license_candidates()), s.corpus())
+    found = license.repo_license(license.license_files(s.license_candidates()), s.corpus(), 0.01)
     return found.select("repo", "license", rounded("confidence"))
 
 
@@ -381,7 +381,7 @@ def _snapshots(s: Standin) -> DataFrame:
 
 
 def _snapshot_languages(s: Standin) -> DataFrame:
-    return trends.snapshot_languages(_snapshots(s), s.trees(), prune=True)
+    return trends.snapshot_languages(_snapshots(s), s.trees())
 
 
 def _trend_repos(s: Standin) -> DataFrame:
@@ -611,7 +611,7 @@ def churn_table(s: Standin) -> DataFrame:
     """SELECT slug AS repository, x.repo, rank, path, changes, complexity, score::VARCHAR AS hotspot_score
        FROM (SELECT t.repo, t.path, changes, complexity, changes * complexity AS score,
                     row_number() OVER (PARTITION BY t.repo ORDER BY changes * complexity DESC, t.path)::INTEGER AS rank
-             FROM top_files t JOIN complexity c ON t.repo = c.repo AND t.path = c.path WHERE complexity > 0) x
+             FROM churn t JOIN complexity c ON t.repo = c.repo AND t.path = c.path WHERE complexity > 0) x
             JOIN repos r ON x.repo = r.repo WHERE rank <= 10""",
 )
 def hotspot_table(s: Standin) -> DataFrame:

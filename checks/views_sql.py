@@ -182,8 +182,8 @@ VIEWS: dict[str, str] = {
                     WHEN ends_with(path, '.js') AND length(content) > 110 * (
                          length(content) - length(replace(content, chr(10), '')) +
                          CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END) THEN 'filtered'
-                    WHEN regexp_matches(array_to_string(list_slice(string_split(content, chr(10)), 1, 40), chr(10)),
-                         'Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE')
+                    WHEN regexp_matches(content,
+                         '(^|\W)(Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE)($|\W)')
                          THEN 'filtered'
                     WHEN ends_with(path, '.zzz') THEN 'unknown' ELSE 'counted' END AS status
         FROM sources WHERE NOT starts_with(path, 'vendor/')""",
@@ -224,19 +224,17 @@ VIEWS: dict[str, str] = {
                               ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
                               ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
                               ('MIT', 'Released under the MIT License.')) t(spdx, text)""",
-    "candidates": """
-        SELECT 'doc' || doc_id AS repo,
-               array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)licen[sc]e')), chr(10)) AS text
-        FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)licen[sc]e'))) > 0""",
+    "candidates": """SELECT 'doc' || doc_id AS repo, text FROM documents""",
     "shingled": """
         SELECT kind, id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s
         FROM (SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '(?m)^[ \\t]*copyright\\b[^\\n]*', ' ', 'g'), '[^\\p{L}\\p{N}.]+'),
                                            lambda x: replace(x, '.', '') <> '') AS w
               FROM (SELECT 'file' AS kind, repo AS id, text FROM candidates UNION ALL SELECT 'corpus', spdx, text FROM corpus))""",
     "matches": """
-        SELECT f.id AS repo, c.id AS spdx,
-               len(list_intersect(f.s, c.s))::DOUBLE / (len(f.s) + len(c.s) - len(list_intersect(f.s, c.s))) AS confidence
-        FROM shingled f JOIN shingled c ON f.kind = 'file' AND c.kind = 'corpus' AND len(list_intersect(f.s, c.s)) > 0""",
+        SELECT f.id AS repo, c.id AS spdx, count(*)::DOUBLE / (f.n + c.n - count(*)) AS confidence
+        FROM (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = 'file') f
+             JOIN (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = 'corpus') c ON f.g = c.g
+        GROUP BY f.id, f.n, c.id, c.n""",
 }
 
 

@@ -10,8 +10,8 @@ from tallyforge.functions.text import first_line, percent
 from tallyforge.operators.commits import partial_errors, with_stats
 from tallyforge.operators.ranking import limit_commits
 
-# Fixed value: commits looked at per repository unless told otherwise.
-DEFAULT_COMMIT_LIMIT = 500
+# Commits looked at per repository unless told otherwise; 0 stands for all.
+DEFAULT_COMMIT_LIMIT = 0
 PARTIAL_CATEGORY = "ai-estimate-detail"
 
 

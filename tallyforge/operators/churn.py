@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.ranking import limit_commits, top_per_key
 
-# Commits scanned, files and hotspots kept per repository.
-DEFAULT_COMMIT_LIMIT = 500
+# Commits scanned (0: all), files and hotspots kept per repository unless told otherwise.
+DEFAULT_COMMIT_LIMIT = 0
 TOP_FILES = 20
 TOP_HOTSPOTS = 10
 
@@ -42,10 +42,13 @@ def scanned_commits(commits: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> Da
 
 
 def hotspots(churn: DataFrame, complexity: DataFrame, count: int = TOP_HOTSPOTS) -> DataFrame:
-    """Files with the highest product of changes and complexity; files without complexity are left out."""
+    """Files with the highest product of changes and complexity; files without complexity are left out.
+
+    ``churn`` should be that of all files: the most changed ones need not be the hottest.
+    """
     known = complexity.filter(F.col("complexity") > 0).select("repo", "path", "complexity")
     scored = churn.join(known, ["repo", "path"]).withColumn(
         "hotspot", F.col("changes").cast("double") * F.col("complexity").cast("double")
     )
     order = [F.col("hotspot").desc(), F.col("path").asc()]
-    return top_per_key(scored.drop("rank"), ["repo"], order, count if count > 0 else TOP_HOTSPOTS, rank_column="rank")
+    return top_per_key(scored, ["repo"], order, count if count > 0 else TOP_HOTSPOTS, rank_column="rank")

@@ -48,22 +48,38 @@ def is_vendored(path: Column) -> Column:
     return path.rlike(P.VENDOR_FILE)
 
 
-def is_generated(path: Column, text: Column) -> Column:
-    """True for a file that a tool wrote, by its path, its header, or its line length."""
-    minified = path.rlike(P.MINIFIED_EXTENSION) & (
-        F.length(text) > P.MINIFIED_LINE_LENGTH * F.greatest(L.total_lines(text), F.lit(1))
-    )
+def is_generated(path: Column, text: Column, minified_line_length: int = P.MINIFIED_LINE_LENGTH) -> Column:
+    """True for a file that a tool wrote: by its path, by a marker anywhere in it, or by the mean length of its lines."""
+    minified = path.rlike(P.MINIFIED_EXTENSION) & (F.length(text) > minified_line_length * F.greatest(L.total_lines(text), F.lit(1)))
     marked = F.lit(False)
     for marker in P.GENERATED_MARKERS:
         marked = marked | F.contains(text, F.lit(marker))
-    # The plain search spares nearly all files the walk through their leading lines.
-    return path.rlike(P.GENERATED_PATH) | minified | (marked & text.rlike(P.GENERATED_HEADER))
+    # The plain search spares nearly all files the one for whole words.
+    return path.rlike(P.GENERATED_PATH) | minified | (marked & text.rlike(P.GENERATED_MARK))
 
 
 def is_binary(content: Column) -> Column:
-    """True when a NUL byte is among the leading bytes."""
-    head = F.substring(content, 1, P.BINARY_SCAN_BYTES)
-    return F.contains(head, F.lit(bytes([0])))
+    """True when there is a NUL byte."""
+    return F.contains(content, F.lit(bytes([0])))
+
+
+def head_trees(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (repo, commit_hash): the present tree of each repository, and the repositories where nothing tells which it is.
+
+    The present tree is the one without a commit hash, else the only one there is.
+    """
+    seen = trees.select("repo", "commit_hash").distinct().groupBy("repo").agg(
+        F.count(F.lit(1)).alias("_trees"), F.count("commit_hash").alias("_hashed"), F.max("commit_hash").alias("_hash")
+    )
+    marked = F.col("_trees") > F.col("_hashed")
+    heads = seen.filter(marked | (F.col("_trees") == 1)).select("repo", F.when(~marked, F.col("_hash")).alias("head"))
+    return heads, seen.filter(~marked & (F.col("_trees") > 1)).select("repo")
+
+
+def of_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (repo, commit_hash, ...) of the present trees, without the hash."""
+    joined = rows.join(heads, "repo").filter(F.col("commit_hash").eqNullSafe(F.col("head")))
+    return joined.select(*[c for c in rows.columns if c != "commit_hash"])
 
 
 def rule_key(path: Column, text: Column) -> Column:
@@ -83,11 +99,12 @@ def visible_files(files: DataFrame) -> DataFrame:
     return files.filter(~in_pruned_directory(F.col("path")))
 
 
-def file_stats(files: DataFrame) -> DataFrame:
+def file_stats(files: DataFrame, *, minified_line_length: int = P.MINIFIED_LINE_LENGTH) -> DataFrame:
     """One row per visible file: what became of it, its language and its counts.
 
     Needs ``path`` and binary ``content``; every other column is passed on. Files of an unknown
-    language and binary files stay as rows with null counts, so that nothing is lost silently.
+    language and binary files stay as rows with null counts, so that nothing is lost silently. Scripts and style sheets
+    whose mean line is longer than ``minified_line_length`` count as minified, which is a filter.
     """
     rules = F.broadcast(language_rules(files.sparkSession))  # fixed size, see the rule table
     passed = [c for c in files.columns if c != "content"]
@@ -101,7 +118,7 @@ def file_stats(files: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.try_element_at(F.col("candidates"), F.lit(1)))
     status = (
-        F.when(is_vendored(F.col("path")) | is_generated(F.col("path"), F.col("_text")), F.lit(FILTERED))
+        F.when(is_vendored(F.col("path")) | is_generated(F.col("path"), F.col("_text"), minified_line_length), F.lit(FILTERED))
         .when(F.col("_rule").isNull(), F.lit(UNKNOWN))
         .when(is_binary(F.col("content")), F.lit(BINARY))
         .otherwise(F.lit(COUNTED))

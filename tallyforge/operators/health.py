@@ -19,8 +19,8 @@ from tallyforge.functions.text import percent
 from tallyforge.operators.commits import partial_errors, with_stats
 from tallyforge.operators.ranking import limit_commits
 
-# Commits read for details, and the categories in report order.
-DEFAULT_COMMIT_LIMIT = 500
+# Commits read for details unless told otherwise (0: all), and the fixed categories in report order.
+DEFAULT_COMMIT_LIMIT = 0
 FAILED = "failed"
 CATEGORIES = ["active", "maintained", "abandoned", FAILED]
 PARTIAL_CATEGORY = "health-details"

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.rules.paths import LICENSE_FILE
-from tallyforge.session import broadcast_if_small
 
 # Least confidence of a match, words per shingle.
 CONFIDENCE = 0.85
@@ -25,21 +24,29 @@ def license_words(text: Column) -> Column:
 
 
 def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
-    """Distinct runs of ``size`` words; a shorter text is one shingle of all its words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")))
+    """Hashes of the distinct runs of ``size`` words; a shorter text is one run of all its words, none has no run.
+
+    Hashes, as Spark finds distinct numbers by hashing but distinct texts by comparing all of them.
+    """
+
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
+        every = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+        return F.when(F.size(words) > 0, every).otherwise(F.array().cast("array<long>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def _shingled(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    return df.select(*keys, shingles(license_words(text)).alias("_all")).filter(F.element_at("_all", 1) != "")
+    return df.select(*keys, shingles(license_words(text)).alias("_all")).filter(F.size("_all") > 0)
 
 
 def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
     """Licenses similar enough to each candidate (repo, path, content), with their confidence.
 
     Confidence is the Jaccard similarity of the shingle sets. Texts meet by an equi-join on shingles,
-    never pairwise, and only counts are shuffled afterwards. The shingles of the corpus are broadcast
-    if there are few enough, so that a license which most repositories share makes no hot key.
+    never pairwise, and only counts are shuffled afterwards. Spark broadcasts the shingles of the corpus
+    if they are small; else a license which most repositories share is a skewed key, which adaptive execution splits.
     """
     keys = ["repo", "path"]
     text = F.make_valid_utf8(F.col("content").cast("string"))
@@ -49,7 +56,7 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     right = _shingled(corpus, ["spdx"], F.col("text")).select(
         "spdx", F.size("_all").alias("_m"), F.explode("_all").alias("_shingle")
     )
-    common = left.join(broadcast_if_small(right), "_shingle").groupBy(*keys, "spdx", "_n", "_m").agg(F.count(F.lit(1)).alias("_common"))
+    common = left.join(right, "_shingle").groupBy(*keys, "spdx", "_n", "_m").agg(F.count(F.lit(1)).alias("_common"))
     confidence = F.col("_common") / (F.col("_n") + F.col("_m") - F.col("_common"))
     return (
         common.withColumn("confidence", confidence)

@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import url_owner
-from tallyforge.session import broadcast_if_small
-
-# Longer lists become a join instead of a literal set.
-_LITERAL_SLUGS = 1_000
-
 
 def _slug_join(repos: DataFrame, slugs: Sequence[str], how: str) -> DataFrame:
     spark = repos.sparkSession
     listed = spark.createDataFrame([(s,) for s in dict.fromkeys(slugs)], "slug string")
-    return repos.join(broadcast_if_small(listed), "slug", how)
+    return repos.join(listed, "slug", how)
 
 
 def in_owner_scope(repos: DataFrame, owner: str) -> DataFrame:
@@ -39,7 +34,7 @@ def select_repos(
 ) -> DataFrame:
     """Repositories left by all filters.
 
-    Slugs match exactly. An excluded slug is out even if included. Projects only restrict the one
+    Slugs match exactly; a missing slug is in no list. An excluded slug is out even if included. Projects only restrict the one
     provider that can filter by project.
     """
     if owner:
@@ -51,15 +46,9 @@ def select_repos(
     if not include_archived:
         repos = repos.filter(~F.col("archived"))
     if include:
-        if len(include) > _LITERAL_SLUGS:
-            repos = _slug_join(repos, include, "left_semi")
-        else:
-            repos = repos.filter(F.col("slug").isin(list(include)))
+        repos = _slug_join(repos, include, "left_semi")
     if exclude:
-        if len(exclude) > _LITERAL_SLUGS:
-            repos = _slug_join(repos, exclude, "left_anti")
-        else:
-            repos = repos.filter(~F.col("slug").isin(list(exclude)))
+        repos = _slug_join(repos, exclude, "left_anti")
     return repos
 
 

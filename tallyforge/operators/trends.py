@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.calendar import first_period_covering, period_days, period_end, period_label
 from tallyforge.operators.codestats import file_stats, language_stats, languages_only
 from tallyforge.schema import MEASURES
-from tallyforge.session import skip_other_keys
+from tallyforge.session import keep_keys
 
 
 def period_calendar(spark: SparkSession, since: str, until: str, interval: str) -> DataFrame:
@@ -75,17 +75,14 @@ def with_tree(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     return snapshots.join(trees, ["repo", "commit_hash"], "left_semi")
 
 
-def snapshot_languages(snapshots: DataFrame, files: DataFrame, *, prune: bool = False) -> DataFrame:
+def snapshot_languages(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     """Language sums of each repository at each period, including filtered files.
 
     The tree of a commit is counted once, however many periods show it, and only its sums are joined.
-    With ``prune`` the trees of other commits are skipped before counting, if the list of wanted
-    commits is small enough to broadcast.
+    Trees of other commits are left out before anything in them is counted.
     """
     wanted = snapshots.select("repo", "commit_hash").distinct()
-    if prune:
-        files = skip_other_keys(files, wanted)
-    by_commit = language_stats(file_stats(files), ["repo", "commit_hash"])
+    by_commit = language_stats(file_stats(keep_keys(files, wanted)), ["repo", "commit_hash"])
     return snapshots.select("repo", "period_no", "period", "commit_hash").join(by_commit, ["repo", "commit_hash"])
 
 

@@ -13,7 +13,7 @@ from tallyforge.operators.selection import select_repos
 from tallyforge.plans import reports
 from tallyforge.plans.tables import report_tables, trend_tables
 from tallyforge.schema import DIAGNOSTICS, REPO_FAILURES
-from tallyforge.session import keep_keys, skip_other_keys, stage
+from tallyforge.session import keep_keys, stage
 
 
 @dataclass
@@ -108,7 +108,9 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
 
     Results that several others read (counts per repository and language, authors per window) are
     written once to the shared folder when ``materialize`` is set; all of them are sums, far smaller
-    than their input. Files and commits are each read once per analysis.
+    than their input. Of the trees of a repository in ``files`` only the present one is in
+    the results: the one without a commit hash, else the only one; a repository of which neither holds is an error row.
+    Contents are read where they lie, also of other trees and unselected repositories, whose sums are dropped.
     """
     _need(tables, "files")
     if options.churn:
@@ -126,16 +128,18 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         tables.repos, projects=options.projects, include=options.include, exclude=options.exclude,
         include_archived=options.include_archived, include_forks=options.include_forks, owner=options.owner,
     )
-    good, errors = reports.split_results(selected, _stage_failures(failures, "files"))
-    keys = good.select("repo")
-
-    need_paths = options.hotspots and options.churn
-    files = skip_other_keys(tables.files, keys)
+    files = tables.files if "commit_hash" in tables.files.columns else tables.files.withColumn("commit_hash", F.lit(None).cast("string"))
     counted = codestats.file_stats(files)
+    need_paths = options.hotspots and options.churn
     if need_paths:
         counted = keep(counted, "file-stats")
-    by_language_all = keep(codestats.language_stats(counted), "language-stats")
-    by_repo_language = by_language_all.join(keys, "repo", "left_semi")
+    by_tree = keep(codestats.language_stats(counted, ["repo", "commit_hash"]), "language-stats")
+    heads, unclear = codestats.head_trees(by_tree)
+    failed = _stage_failures(failures, "files").select("repo", "error")
+    failed = failed.unionByName(unclear.join(failed, "repo", "left_anti").withColumn("error", F.lit("several trees, none of them marked as present")))
+    good, errors = reports.split_results(selected, failed)
+    keys = good.select("repo")
+    by_repo_language = codestats.of_heads(by_tree, heads).join(keys, "repo", "left_semi")
     totals = codestats.repo_totals(keys, by_repo_language)
     by_language = codestats.portfolio_languages(by_repo_language)
     portfolio = codestats.portfolio_totals(totals)
@@ -147,8 +151,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     diagnostics: list[DataFrame] = []
 
     if tables.license_corpus is not None:
-        candidates = license.license_files(files)
-        result.licenses = license.repo_license(candidates, tables.license_corpus)
+        candidates = codestats.of_heads(license.license_files(files), heads)
+        result.licenses = license.repo_license(candidates, tables.license_corpus).join(keys, "repo", "left_semi")
 
     if options.churn:
         scanned = keep_keys(tables.commits, selected.select("repo"))
@@ -156,8 +160,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         result.scanned = churn.scanned_commits(scanned, options.churn_limit)
         result.top_files = churn.top_files(file_churn)
         if need_paths:
-            per_path = counted.filter(F.col("complexity") > 0).groupBy("repo", "path").agg(F.sum("complexity").alias("complexity"))
-            result.hotspots = churn.hotspots(result.top_files, per_path)
+            per_path = codestats.of_heads(counted, heads).filter(F.col("complexity") > 0).groupBy("repo", "path").agg(F.sum("complexity").alias("complexity"))
+            result.hotspots = churn.hotspots(file_churn, per_path)
         parts["churn"] = reports.churn_structs(result.scanned, result.top_files, result.hotspots)
 
     if options.ai:
@@ -168,7 +172,7 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         result.ai = keep(authorship.ai_by_repo(listed, commits, tables.commit_stats, limit), "ai-by-repo")
         result.ai_details = authorship.ai_details(commits, tables.commit_stats, limit)
         result.ai_total = authorship.ai_over_all(result.ai.join(keys, "repo", "left_semi"))
-        parts["ai_estimate"] = reports.ai_structs(result.ai, result.ai_details if limit > 0 else None)
+        parts["ai_estimate"] = reports.ai_structs(result.ai)
         diagnostics.append(authorship.ai_partial_errors(commits, tables.commit_stats, limit))
         diagnostics.append(unlisted.select(F.lit("ai-estimate").alias("category"), "repo", F.col("error").alias("message")))
 
@@ -243,7 +247,7 @@ def analyze_trends(
     calendar = trends.period_calendar(spark, since, until, interval)
     at_periods = trends.commits_at_periods(commits, since, until, interval)
     snapshots = keep(trends.with_tree(at_periods, tables.files), "snapshots")
-    sums = keep(trends.snapshot_languages(snapshots, tables.files, prune=options.materialize), "snapshot-languages")
+    sums = keep(trends.snapshot_languages(snapshots, tables.files), "snapshot-languages")
     by_repo = trends.trend_repos(snapshots, sums)
     by_language = trends.trend_languages(sums)
     totals = trends.trend_totals(calendar, by_repo)

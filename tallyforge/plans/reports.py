@@ -53,22 +53,13 @@ def churn_structs(scanned: DataFrame, top_files: DataFrame, hotspots: DataFrame
     return joined.select("repo", F.struct(*columns).alias("churn"))
 
 
-def ai_structs(ai: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """AI estimate of each repository.
-
-    Details are nested only when given, which should be done only for a commit limit above 0: the
-    limit bounds their number. They are a table of their own in any case.
-    """
+def ai_structs(ai: DataFrame) -> DataFrame:
+    """AI estimate of each repository. Flagged commits are a table of their own, as nothing bounds their number."""
     zero = F.lit(0).cast("long")
     columns = [
         F.col("total_commits"), F.col("ai_commits"), F.col("commit_percent"), zero.alias("total_additions"),
         F.col("ai_additions"), F.lit(0.0).alias("addition_percent"),
     ]
-    if details is not None:
-        fields = ["hash", "author", "message", "signals", "additions", "deletions"]
-        order = [F.coalesce("seq", F.lit(2**62)).alias("seq"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("ts"), "hash"]
-        ai = ai.join(_nested(details, fields, order, "details"), "repo", "left")
-        columns.append(F.col("details"))
     return ai.select("repo", F.struct(*columns).alias("ai_estimate"))
 
 

@@ -78,6 +78,20 @@ _PLAIN = Syntax()
 _JSON = Syntax((), None, '"')
 _HCL = Syntax(("#", "//"), ("/*", "*/"), '"')
 
+_POWERSHELL = Syntax(("#",), ("<#", "#>"), "\"'", branches=("for ", "foreach ", "while ", "if ", "if(", "elseif ", "else ", "switch "))
+_BATCH = Syntax(("REM ", "rem ", "::"), None, '"', branches=("if ", "IF ", "for ", "FOR "))
+_BASIC = Syntax(("'",), None, '"', branches=("For ", "While ", "If ", "ElseIf ", "Else ", "Select "))
+_OCAML_SLASH = Syntax(("//",), ("(*", "*)"), '"', branches=_ML_BRANCHES)
+_ZIG = Syntax(("//",), None, '"', branches=("for ", "while ", "if ", "else ", "switch ", "or ", "and ", "!= ", "== "))
+_ASSEMBLY = Syntax((";", "#"), None, '"')
+_FORTRAN = Syntax(("!",), None, "\"'", branches=("do ", "if ", "else ", "select ", "where "))
+_PASCAL = Syntax(("//",), ("{", "}"), "'", branches=("for ", "while ", "if ", "else ", "case ", "repeat "))
+_ADA = Syntax(("--",), None, '"', branches=("for ", "while ", "if ", "elsif ", "else ", "case ", "or ", "and "))
+_NIX = Syntax(("#",), ("/*", "*/"), '"', branches=("if ", "else ", "|| ", "&& ", "!= ", "== "))
+_VIM = Syntax(('"',), None, "'", branches=("for ", "while ", "if ", "elseif ", "else "))
+_PHP_LIKE = Syntax(("//", "#"), ("/*", "*/"), "\"'")
+_TEX = Syntax(("%",))
+
 # Languages and the file-name keys that lead to them. A key that starts with a dot is
 # an extension, any other a whole file name. Of several languages with one key, the one whose
 # keyword occurs is taken, else the one without keyword.
@@ -138,6 +152,48 @@ LANGUAGES: list[Language] = [
     Language("CSS", _CSS, (".css",)),
     Language("Sass", _SCSS, (".scss", ".sass")),
     Language("LESS", _SCSS, (".less",)),
+    Language("Powershell", _POWERSHELL, (".ps1", ".psm1", ".psd1")),
+    Language("Batch", _BATCH, (".bat", ".cmd")),
+    Language("Visual Basic", _BASIC, (".vb", ".vbs")),
+    Language("F#", _OCAML_SLASH, (".fs", ".fsi", ".fsx")),
+    Language("Zig", _ZIG, (".zig",)),
+    Language("Solidity", _C, (".sol",)),
+    Language("Assembly", _ASSEMBLY, (".s", ".asm")),
+    Language("FORTRAN Modern", _FORTRAN, (".f90", ".f95", ".f03", ".f08")),
+    Language("Pascal", _PASCAL, (".pas", ".dpr")),
+    Language("Ada", _ADA, (".ada", ".adb", ".ads")),
+    Language("D", _C, (".d",)),
+    Language("Nim", _HASH, (".nim",)),
+    Language("Nix", _NIX, (".nix",)),
+    Language("Crystal", _RB, (".cr",)),
+    Language("VHDL", _ADA, (".vhd", ".vhdl")),
+    Language("SystemVerilog", _C, (".sv", ".svh")),
+    Language("Verilog", _C, (".v", ".vh")),
+    Language("TCL", _HASH, (".tcl",), interpreters=("tclsh",)),
+    Language("Vim Script", _VIM, (".vim", ".vimrc")),
+    Language("Scheme", _LISP, (".scm", ".ss")),
+    Language("Racket", _LISP, (".rkt",)),
+    Language("Lisp", _LISP, (".lisp", ".lsp")),
+    Language("Fish", _SH, (".fish",), interpreters=("fish",)),
+    Language("AWK", _SH, (".awk",), interpreters=("awk", "gawk")),
+    Language("Thrift", _PHP_LIKE, (".thrift",)),
+    Language("Bazel", _PY, (".bzl", "build.bazel", "workspace")),
+    Language("Puppet", _HASH, (".pp",)),
+    Language("HCL", _HCL, (".hcl",)),
+    Language("XAML", _MARKUP, (".xaml",)),
+    Language("MSBuild", _MARKUP, (".csproj", ".vbproj", ".fsproj", ".props", ".targets")),
+    Language("Svelte", _MARKUP, (".svelte",)),
+    Language("Handlebars", _MARKUP, (".hbs", ".handlebars")),
+    Language("LaTeX", _TEX, (".tex",)),
+    Language("ReStructuredText", _PLAIN, (".rst",)),
+    Language("AsciiDoc", _PLAIN, (".adoc", ".asciidoc")),
+    Language("Jupyter", _JSON, (".ipynb",)),
+    Language("CSV", _PLAIN, (".csv",)),
+    Language("CoffeeScript", _HASH, (".coffee",)),
+    Language("Elm", _HASKELL, (".elm",)),
+    Language("PureScript", _HASKELL, (".purs",)),
+    Language("Cuda", _C, (".cu", ".cuh")),
+    Language("GLSL", _C, (".glsl", ".vert", ".frag")),
 ]
 
 # Whole file names that are keys, and extensions of two parts.

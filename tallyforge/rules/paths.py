@@ -71,25 +71,21 @@ GENERATED_ENDINGS = [
 ]
 GENERATED_DIRECTORY = "__generated__"
 
-# Markers of generated code, and the number of leading lines in which they mean it.
+# Markers of generated code, whole words.
 GENERATED_MARKERS = [
     "Code generated",
     "@generated",
     "DO NOT EDIT",
-    "Generated by the protocol buffer compile",
-    "Autogenerated by Thrift Compile",
+    "Generated by the protocol buffer compiler",
+    "Autogenerated by Thrift Compiler",
     "This file was automatically generated",
     "GENERATED CODE",
 ]
-GENERATED_HEADER_LINES = 40
 
 # Scripts and style sheets whose lines are longer than this on average were minified.
 MINIFIED_EXTENSION = r"\.(?:js|css)$"
 MINIFIED_LINE_LENGTH = 110
 
-# Fixed value: a NUL byte among this many leading bytes marks a binary file.
-BINARY_SCAN_BYTES = 10_000
-
 # Fixed value: files in the root of a repository that may hold its license.
 LICENSE_FILE = r"(?i)^(?:un)?(?:licen[cs]e|copying|copyright)[^/]*$"
 
@@ -113,4 +109,4 @@ VENDOR_FILE = "|".join(
 GENERATED_PATH = "|".join(
     [f"(?:^|/){_one(GENERATED_NAMES)}$", f"{_one(GENERATED_ENDINGS)}$", f"(?:^|/){GENERATED_DIRECTORY}/"]
 )
-GENERATED_HEADER = rf"\A(?:[^\n]*+\n){{0,{GENERATED_HEADER_LINES - 1}}}[^\n]*?{_one(GENERATED_MARKERS)}"
+GENERATED_MARK = rf"(?<!\w){_one(GENERATED_MARKERS)}(?!\w)"

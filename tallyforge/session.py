@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # UTC is required for results; the rest are defaults a cluster may override.
 SETTINGS = {
@@ -57,33 +56,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# A side of at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most so many rows; counting stops beyond them."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame for broadcast only after counting that it is small; otherwise leave it to Spark."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose keys (all columns of ``keys``) are wanted.
 
-    A checked broadcast when there are few keys. Beyond that a shuffle join, whose skewed partitions
-    the adaptive execution splits.
-    """
-    return df.join(broadcast_if_small(keys), keys.columns, "left_semi")
-
-
-def skip_other_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose keys are wanted, if that can be told without a shuffle; all rows otherwise.
-
-    For wide rows that must not move, such as file contents: the caller drops other keys later, from
-    the narrow rows that are made of them.
+    A semi join without hints: Spark broadcasts the keys if they are small in bytes, else both sides are shuffled, and
+    adaptive execution splits skewed partitions. The rows that are kept are the same either way.
     """
-    return df.join(F.broadcast(keys), keys.columns, "left_semi") if is_small(keys) else df
+    return df.join(keys, keys.columns, "left_semi")

@@ -71,7 +71,9 @@ def test_analyze(spark, tmp_path):
     assert one["churn"]["hotspots"][0]["hotspot"] == 4.0
     estimate = one["ai_estimate"]
     assert (estimate["total_commits"], estimate["ai_commits"], estimate["commit_percent"], estimate["ai_additions"]) == (2, 1, 50.0, 100)
-    assert estimate["details"] == [{"hash": "c1", "author": "Jo <jo@x>", "message": "feat", "signals": ["co-author"], "additions": 100, "deletions": 10}]
+    assert "details" not in estimate
+    found = result.ai_details.where("repo = 'one'").select("hash", "author", "message", "signals", "additions", "deletions").collect()
+    assert [tuple(r) for r in found] == [("c1", "Jo <jo@x>", "feat", ["co-author"], 100, 10)]
     assert one["health"] == {"category": "active", "last_commit_date": "2026-02-13T00:00:00Z", "days_since_commit": 10}
     assert one["health_details"]["authors_by_window"] == {"0-6mo": 1, "6-12mo": 1}
     assert one["health_details"]["churn_by_window"]["6-12mo"] == {"additions": 5, "deletions": 5, "net_churn": 0, "commits": 1}
@@ -99,6 +101,36 @@ def test_analyze(spark, tmp_path):
     }
 
 
+def test_only_the_present_tree_counts(spark):
+    tables = portfolio(spark)
+    text = b"x = 1\n"
+    trees = [("one", None, "a.py", text), ("one", "c0", "a.py", text), ("one", "c1", "a.py", text), ("two", "c2", "a.py", text), ("empty", "c7", "a.py", text), ("empty", "c8", "a.py", text)]
+    tables.files = spark.createDataFrame(trees, schema.FILES)
+    result = analyze(tables, Options(), NOW)
+    assert {r.repo: (r.files, r.code) for r in result.totals.collect() if r.files} == {"one": (1, 1), "two": (1, 1)}
+    assert {r.repository: r.error for r in result.errors.collect()} == {"bad": "clone failed", "empty": "several trees, none of them marked as present"}
+
+
+def test_nothing_is_cut_without_being_asked(spark):
+    tables = portfolio(spark)
+    ts = F.timestamp_seconds(F.lit(1_770_000_000) - F.col("id"))
+    many = spark.range(1200).select(
+        F.lit("one").alias("repo"), F.concat(F.lit("h"), "id").alias("hash"), F.lit("bot[bot]").alias("author"), F.lit("x").alias("message"),
+        ts.alias("ts"), ts.alias("committer_ts"), "id",
+    ).withColumnRenamed("id", "seq")
+    tables.commits = many
+    tables.commit_stats = many.select("repo", "hash", F.lit(1).cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"), F.lit(None).cast("string").alias("error"))
+    changed = many.select("repo", "hash", F.concat(F.lit("f"), F.format_string("%02d", F.pmod("seq", F.lit(25))), F.lit(".py")).alias("path"), F.lit(1).cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    tables.commit_files = changed.unionByName(changed.filter("path <> 'f00.py'"))
+    body = {i: b"if x == 1:\n  y\n" * (100 if i == 0 else 1) for i in range(25)}
+    tables.files = spark.createDataFrame([("one", None, f"f{i:02d}.py", b) for i, b in body.items()], schema.FILES)
+    result = analyze(tables, Options(ai=True, churn=True, hotspots=True), NOW)
+    assert [r.total_commits for r in result.ai.where("repo = 'one'").collect()] == [1200]
+    assert result.top_files.where("path = 'f00.py'").count() == 0
+    assert result.hotspots.where("rank = 1").first().path == "f00.py"
+    assert [r.total_commits for r in analyze(tables, Options(ai=True, ai_commit_limit=700), NOW).ai.where("repo = 'one'").collect()] == [700]
+
+
 def test_plain_analysis_has_no_optional_parts(spark):
     result = analyze(portfolio(spark), Options(include_forks=True), NOW)
     assert {"churn", "ai_estimate", "health", "health_details"} & set(result.rows.columns) == set()

@@ -82,7 +82,7 @@ def test_file_classes(spark):
     assert rows == {
         "main.go": "counted",
         "generated.go": "filtered",
-        "late.go": "counted",
+        "late.go": "filtered",
         "made.zzz": "filtered",
         "go.sum": "filtered",
         "app.min.js": "filtered",

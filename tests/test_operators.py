@@ -279,10 +279,9 @@ def test_snapshots(spark):
         [("r", "c1", "a.py", b"x\n"), ("r", "c2", "a.py", b"x\ny\n"), ("r", "c2", "vendor/a.py", b"x\n"), ("r", "c9", "a.py", b"x\n")], schema.FILES
     )
     kept = trends.with_tree(at, files)
-    for prune in (False, True):
-        sums = trends.snapshot_languages(kept, files, prune=prune)
-        by_repo = trends.trend_repos(kept, sums)
-        assert {(r.period, r.code) for r in by_repo.collect()} == {("p1", 1), ("p2", 1), ("p3", 2)}
+    sums = trends.snapshot_languages(kept, files)
+    by_repo = trends.trend_repos(kept, sums)
+    assert {(r.period, r.code) for r in by_repo.collect()} == {("p1", 1), ("p2", 1), ("p3", 2)}
     calendar_ = spark.createDataFrame([(i, f"p{i}") for i in range(1, 6)], "period_no int, period string")
     rows = trends.trend_totals(calendar_, by_repo).orderBy("period_no").collect()
     assert [(r.repos, r.code, r.code_delta) for r in rows] == [(1, 1, None), (1, 1, 0), (1, 2, 1), (0, 0, -2), (0, 0, None)]
