@@ -13,7 +13,8 @@ PROVIDER = "github"
 # Names of the fields in the responses.
 REPO_PAGE = "array<struct<name string, full_name string, html_url string, clone_url string, archived boolean, fork boolean>>"
 COMMIT_PAGE = (
-    "array<struct<sha string, commit struct<author struct<name string, email string, date string>, message string>>>"
+    "array<struct<sha string, commit struct<author struct<name string, email string, date string>,"
+    " committer struct<date string>, message string>>>"
 )
 COMMIT_DETAIL = (
     "struct<stats struct<additions bigint, deletions bigint>,"
@@ -42,7 +43,7 @@ def repos(pages: DataFrame) -> DataFrame:
 
 
 def commits(pages: DataFrame) -> DataFrame:
-    """Commits: author as name and e-mail, author date."""
+    """Commits: author as name and e-mail, author date, and the committer's date where it is given."""
     items = listed(pages, F.from_json("value", COMMIT_PAGE), ["repo"])
     commit = F.col("item")["commit"]
     author = commit["author"]
@@ -53,7 +54,7 @@ def commits(pages: DataFrame) -> DataFrame:
         F.format_string("%s <%s>", or_blank(author["name"]), or_blank(author["email"])).alias("author"),
         or_blank(commit["message"]).alias("message"),
         ts.alias("ts"),
-        ts.alias("committer_ts"),
+        F.coalesce(instant(commit["committer"]["date"]), ts).alias("committer_ts"),
         "seq",
     )
 

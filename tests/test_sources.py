@@ -44,6 +44,9 @@ def test_github(spark, tmp_path):
         ("c3", "github:https://h/o/a", "Jo <jo@x>", "None"),
         ("c4", "github:https://h/o/a", "Jo <jo@x>", "2025-01-01 00:00:00"),
     ]
+    two = {"sha": "z", "commit": {"author": {"date": "2025-01-01T00:00:00Z"}, "committer": {"date": "2025-03-01T00:00:00Z"}}}
+    clocks = github.commits(as_pages(spark, [two], repo="r")).first()
+    assert (str(clocks.ts), str(clocks.committer_ts)) == ("2025-01-01 00:00:00", "2025-03-01 00:00:00")
     detail = {"stats": {"additions": 150, "deletions": 30}, "files": [{"filename": "main.go", "additions": 100, "deletions": 20}, {"filename": "util.go", "additions": 50, "deletions": 10}]}
     land(tmp_path, f"details/{key}/hash=c1/1.json", detail)
     details = pages.read_pages(spark, str(tmp_path / "details"))
