@@ -89,7 +89,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     firsts = docs.withColumn("bucket", id_buckets(docs, steps))
     least = firsts.groupBy("bucket").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(least.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    few = F.broadcast(least.withColumnRenamed("bucket", "b"))  # a row an interval, whose number follows the settings, not the data
+    firsts = firsts.join(few, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")))
     firsts = firsts.groupBy("bucket").agg(F.min("text").alias("text")).withColumn("hashes", shingle_hashes(F.col("text")))
     firsts = firsts.select("bucket", F.struct(F.col("text").alias("next_text"), sketch(F.col("hashes")).alias("next_kept")).alias("head"))
     # One row for each interval, whose number is bounded by the shuffle partitions: what precedes each, the last before the first.
