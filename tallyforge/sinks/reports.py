@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import stage
+
 
 def write_report(folder: str, head: DataFrame, repositories: DataFrame, errors: DataFrame, mode: str = "errorifexists") -> None:
     """Standard report: ``head``, ``repositories`` and ``errors`` below one folder."""
@@ -34,7 +36,8 @@ def diagnostic_lines(diagnostics: DataFrame) -> DataFrame:
 
 
 def write_diagnostics(folder: str, diagnostics: DataFrame, mode: str = "errorifexists") -> bool:
-    """Write the log lines if there are any; tells whether there were."""
+    """Write the log lines if there are any; tells whether there were. They are computed once, in the shared folder."""
+    diagnostics = stage(diagnostics, "diagnostics")
     if diagnostics.isEmpty():
         return False
     diagnostic_lines(diagnostics).write.mode(mode).text(folder)
