@@ -114,6 +114,22 @@ def ai_estimate_repo(s: Standin) -> DataFrame:
     return by_repo.withColumn("commit_percent", F.round("commit_percent", 6))
 
 
+def _hot(rows: DataFrame) -> DataFrame:
+    """Every third repository folded into one, which then has a third of all rows."""
+    return rows.withColumn("repo", F.when(F.col("repo").cast("long") % 3 == 0, "hot").otherwise(F.col("repo")))
+
+
+@query(
+    "ai_estimate_hot",
+    """SELECT CASE WHEN s.repo::BIGINT % 3 = 0 THEN 'hot' ELSE s.repo END AS repo, count(*) AS total_commits,
+              count(*) FILTER (signals <> '') AS ai_commits, coalesce(sum(additions) FILTER (signals <> ''), 0)::BIGINT AS ai_additions
+       FROM signals s LEFT JOIN commit_stats x ON s.repo = x.repo AND s.hash = x.hash GROUP BY 1""",
+)
+def ai_estimate_hot(s: Standin) -> DataFrame:
+    commits = _hot(s.commits())
+    return authorship.ai_by_repo(commits.select("repo").distinct(), commits, _hot(s.commit_stats())).drop("commit_percent")
+
+
 @query(
     "ai_estimate_limited",
     """SELECT repo, count(*) AS total_commits, count(*) FILTER (signals <> '') AS ai_commits,
@@ -225,6 +241,27 @@ def churn_top_files(s: Standin) -> DataFrame:
     return churn.top_files(churn.file_churn(s.commits(), s.commit_files()))
 
 
+@query(
+    "churn_hot",
+    """SELECT CASE WHEN repo::BIGINT % 3 = 0 THEN 'hot' ELSE repo END AS repo, path, count(*) AS changes,
+              sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM commit_files GROUP BY 1, 2""",
+)
+def churn_hot(s: Standin) -> DataFrame:
+    return churn.file_churn(_hot(s.commits()), _hot(s.commit_files()))
+
+
+@query(
+    "hotspots_beyond_top_files",
+    """SELECT * FROM (SELECT c.repo, c.path, changes, complexity, row_number() OVER (PARTITION BY c.repo ORDER BY changes * complexity DESC, c.path)::INTEGER AS rank
+       FROM (SELECT 'hot' AS repo, path, count(*) AS changes FROM commit_files WHERE repo::BIGINT % 3 = 0 GROUP BY path) c
+            JOIN (SELECT path, sum(complexity)::BIGINT AS complexity FROM complexity WHERE repo::BIGINT % 3 = 0 GROUP BY path) x USING (path)
+       WHERE complexity > 0) WHERE rank <= 40""",
+)
+def hotspots_beyond_top_files(s: Standin) -> DataFrame:
+    per_path = _hot(s.complexity()).where("repo = 'hot'").groupBy("repo", "path").agg(F.sum("complexity").alias("complexity"))
+    return churn.hotspots(churn_hot(s), per_path, 40).select("repo", "path", "changes", "complexity", "rank")
+
+
 @query("churn_scanned", "SELECT repo, count(*) AS total_commits FROM commits GROUP BY repo")
 def churn_scanned(s: Standin) -> DataFrame:
     return churn.scanned_commits(s.commits())

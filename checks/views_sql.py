@@ -183,7 +183,7 @@ VIEWS: dict[str, str] = {
                          length(content) - length(replace(content, chr(10), '')) +
                          CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END) THEN 'filtered'
                     WHEN regexp_matches(content,
-                         '(^|\W)(Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE)($|\W)')
+                         '(^|\\W)(Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE)($|\\W)')
                          THEN 'filtered'
                     WHEN ends_with(path, '.zzz') THEN 'unknown' ELSE 'counted' END AS status
         FROM sources WHERE NOT starts_with(path, 'vendor/')""",
