@@ -335,8 +335,9 @@ def linked(queries: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tup
 
 
 def _links_inside(table: pa.Table) -> pa.Table:
-    """Links of a group or part, as few as keep its components."""
+    """Every member of a group or part with one it is connected to by links inside; the middle of the group, if it can be."""
     docs = table.column("doc_id").to_numpy()
+    family = table.column("family")[0].as_py()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
     above = list(range(len(docs)))
 
@@ -346,14 +347,13 @@ def _links_inside(table: pa.Table) -> pa.Table:
             x = above[x]
         return x
 
-    out = []
     for q, others in linked(sets, sets):
         for m in others:
-            x, y = top(q), top(int(m))
-            if x != y:
-                above[x] = y
-                out.append((docs[q], docs[m]))
-    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+            above[top(q)] = top(int(m))
+    root = np.array([top(i) for i in range(len(docs))])
+    for middle in np.flatnonzero(docs == family)[:1]:
+        root[root == root[middle]] = middle
+    return pa.table({"a": pa.array(docs, pa.int64()), "b": pa.array(docs[root], pa.int64()), "family": pa.array(np.full(len(docs), family), pa.int64())})
 
 
 def _links_across(key, asking: pa.Table, part: pa.Table) -> pa.Table:
@@ -409,13 +409,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     middles = placed.where("large AND doc_id = family").groupBy("family").agg(F.min_by("doc_id", "tokens").alias("doc_id"), F.min("tokens").alias("tokens"))
     joined = placed.where("large").select("family", "large", "level", "part").distinct().join(middles, "family").select(placed.columns)
     inside = stage(
-        placed.unionByName(joined).groupBy("family", "level", "part").applyInArrow(_links_inside, "a long, b long"), "shingle-links"
+        placed.unionByName(joined).groupBy("family", "level", "part").applyInArrow(_links_inside, "a long, b long, family long"),
+        "shingle-links",
     )
-    # Parts of large groups: sets not linked to the middle so far query the parts of fitting size.
-    label = components(inside, "shingle-linked").withColumnRenamed("node", "doc_id")
-    known = placed.where("large").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    middle = known.where("doc_id = family").select("family", F.col("label").alias("middle")).distinct()
-    asking = known.join(middle, "family").where("label <> middle").select("doc_id", "family", F.col("level").alias("own"), "tokens")
+    # Parts of large groups: sets not linked to the middle inside their part query the parts of fitting size.
+    linked_to_middle = inside.where("b = family").select(F.col("a").alias("doc_id")).distinct()
+    asking = placed.where("large").join(linked_to_middle, "doc_id", "left_anti").select("doc_id", "family", F.col("level").alias("own"), "tokens")
     reach = int(np.ceil(np.log(DENOMINATOR / NUMERATOR) / np.log(SIZE_STEP)))
     targets = placed.where("large").groupBy("family", "level", "part").agg(F.count("*").alias("members"))
     asked = asking.join(targets, "family").where(F.abs(F.col("own") - F.col("level")) <= reach)
@@ -428,8 +427,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         asked.groupBy(*key)
         .cogroup(salted.select(*key, "doc_id", "tokens").groupBy(*key)).applyInArrow(_links_across, "a long, b long")
     )
-    known_links = label.select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
-    final = components(known_links.unionByName(across), "shingle-components")
+    final = components(inside.select("a", "b").unionByName(across), "shingle-components")
     return (
         sets.join(classes, ["s1", "s2"], "left")
         .join(final.withColumnRenamed("node", "rep"), "rep", "left")
