@@ -33,7 +33,7 @@ WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles held by a task before it sends them on.
-HELD = 1_500_000
+HELD = 800_000
 #: Most frequent shingles that are put last; bounds what is broadcast (9 bytes each).
 FREQUENT = 1 << 18
 #: Sets with a token in common up to which they are counted in pairs; beyond, they form a star.
