@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, packing, secrets, substrings
+from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, packing, periods, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,51 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text expression of characters up to U+00FF, bit by bit, as DuckDB has no function for it."""
+    code = "unicode(ch)"
+    utf8 = f"CASE WHEN {code} < 128 THEN [{code}] ELSE [194 + {code} // 192, 128 + {code} % 64] END"
+    bits = f"flatten(list_transform(flatten(list_transform(string_split({text}, ''), lambda ch: {utf8})), lambda b: [b::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, e: {step}), 4294967295)"
+
+
+# Every run matches itself 16 words long, so all pairs of equal 16 words, in stretches of one lag, hold every run.
+@query(
+    "op13_period_runs",
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+    k AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM d),
+    m AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM k),
+    g AS (SELECT doc_id, i, sha256(array_to_string(w[i + 1:i + 16], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(len(w) - 15)) AS i FROM m WHERE len(w) >= 16)),
+    e AS (SELECT y.doc_id, y.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+    s AS (SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e),
+    r AS (SELECT doc_id, min(i) - q AS start, count(*) + 15 + q AS length, q FROM s GROUP BY doc_id, q, stretch),
+    o AS (SELECT doc_id, start, length, min(q) AS period FROM r WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+    f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text,
+                 first(struct_pack(start, length, period) ORDER BY (length::DECIMAL(38, 18) / period) DESC, start, period) AS best FROM o GROUP BY doc_id),
+    x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS pos FROM o) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+           (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(f.text, '')) AS runs_sha256,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda t, j: NOT list_contains(gone, j - 1)) END, ' ')) AS collapsed_sha256
+    FROM m LEFT JOIN f USING (doc_id) LEFT JOIN x USING (doc_id)""",
+)
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # Words from a on repeat with period p, in the documents that the contract chooses.
+    planted = F.expr("transform(w, (x, i) -> IF(i < a, x, w[CAST(a + (i - a) % p AS INT)]))")
+    chosen = (
+        documents(spark, sf_dir).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+        .withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+        .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+        .select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    )
+    out = periods.periodic_runs(chosen).withColumn("best", periods.most_repeated(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return out.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
