@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, packing, periods, secrets, substrings
+from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, notices, packing, periods, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -184,3 +184,41 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _notice_sql() -> str:
+    """Templates as rows, and the same choice of rare words, intersection and check by joins."""
+    words = ", ".join(f"({i}, {at}, '{w}')" for i, t in enumerate(notices.TEMPLATES) for at, w in enumerate(t.words))
+    kinds = ", ".join(
+        f"({i}, '{t.label}', {t.base}, {len(t.words)}, {t.phrase_at}, {t.phrase_at + len(t.phrase.split())}, {t.text == t.phrase})"
+        for i, t in enumerate(notices.TEMPLATES)
+    )
+    return rf"""WITH tw(t, rel, word) AS (VALUES {words}), tk(t, label, base, n, a, b, whole) AS (VALUES {kinds}),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{notices.WORD.replace("x00", "x{0}")}') AS w FROM documents),
+    u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+    p AS (SELECT * FROM u WHERE word IN (SELECT word FROM tw)),
+    f AS (SELECT word, count(DISTINCT doc_id) AS c FROM p GROUP BY word),
+    l AS (SELECT t, word, min(rel) AS rel FROM tw GROUP BY t, word),
+    r AS (SELECT t, l.word, rel, row_number() OVER (PARTITION BY t ORDER BY coalesce(c, 0), rel) AS place, least({notices.RARE}, count(*) OVER (PARTITION BY t)) AS k
+          FROM l LEFT JOIN f ON l.word = f.word),
+    s AS (SELECT doc_id, r.t, i - rel AS start FROM p JOIN r ON p.word = r.word JOIN tk ON r.t = tk.t WHERE place <= {notices.RARE}
+          GROUP BY doc_id, r.t, start, k, whole HAVING count(*) >= CASE WHEN whole OR k < 3 THEN k ELSE 2 END),
+    v AS (SELECT s.doc_id, s.t, s.start, label, base, count(p.word) / any_value(n)::DOUBLE AS share, count(p.word) FILTER (rel >= a AND rel < b) AS held, any_value(b - a) AS need
+          FROM s JOIN tw ON s.t = tw.t JOIN tk ON s.t = tk.t LEFT JOIN p ON p.doc_id = s.doc_id AND p.i = s.start + rel AND p.word = tw.word GROUP BY ALL),
+    m AS (SELECT * FROM v WHERE held = need AND share >= {notices.LEAST}),
+    o AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                 array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+          FROM m GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN o USING (doc_id)"""
+
+
+@query("op12_license_notices", _notice_sql())
+def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = notices.find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.transform(F.filter("notices", lambda m: m["template"].isin([i for i, t in enumerate(notices.TEMPLATES) if t.base])), lambda m: m["start"].cast("long"))
+    return out.select("row.doc_id", "n_words", "notices", base.alias("places")).select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        notices.labels(F.col("notices"), base=True).alias("base_labels"), notices.labels(F.col("notices")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("notices", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
