@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, notices, packing, periods, secrets, substrings
+from tallyforge.llm import bpe, chats, fingerprints, jaccard, language, lattice, neighbours, notices, packing, periods, secrets, spelling, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -222,3 +222,26 @@ def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         notices.labels(F.col("notices"), base=True).alias("base_labels"), notices.labels(F.col("notices")).alias("labels"),
         F.coalesce(F.array_max(F.transform("notices", lambda m: m["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+# Deleting one code point gives the words themselves (insertions), or what two words have in common (replacements, at the same place).
+@query(
+    "op11_spelling_variants",
+    rf"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+    c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+    h AS (SELECT run, n, {crc32_sql("(doc_id::VARCHAR || ':' || run)")} AS h FROM c),
+    e AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    k AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+    p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.rest = w.word
+          UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.rest = w.word),
+    s AS (SELECT word, count(*) AS n_near, first(struct_pack(near, near_n) ORDER BY near_n DESC, near) AS best FROM p GROUP BY word),
+    f AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.near_n >= 5 * n THEN best.near END AS form,
+                 CASE WHEN best.near_n >= 5 * n THEN best.near_n END AS form_n FROM w LEFT JOIN s USING (word)),
+    t AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON t.up = f.word)
+    SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON f.word = t.word WHERE t.up IS NULL""",
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), planted=199))
