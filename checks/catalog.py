@@ -346,23 +346,33 @@ def language_report(s: Standin) -> DataFrame:
 # License.
 
 
-@query("license_match", "SELECT repo, spdx, round(confidence, 6) AS confidence FROM matches WHERE confidence >= 0.01")
+@query("license_match", "SELECT repo, spdx, round(confidence, 6) AS confidence FROM matches WHERE confidence >= 0.85")
 def license_match(s: Standin) -> DataFrame:
-    found = license.license_matches(license.license_files(s.license_candidates()), s.corpus(), 0.01)
+    found = license.license_matches(license.license_files(s.license_candidates()), s.corpus())
     return found.select("repo", "spdx", rounded("confidence"))
 
 
 @query(
     "license_repo",
     """SELECT repo, spdx AS license, round(confidence, 6) AS confidence
-       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, spdx) AS n FROM matches WHERE confidence >= 0.01)
+       FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, spdx) AS n FROM matches WHERE confidence >= 0.85)
        WHERE n = 1""",
 )
 def license_repo(s: Standin) -> DataFrame:
-    found = license.repo_license(license.license_files(s.license_candidates()), s.corpus(), 0.01)
+    found = license.repo_license(license.license_files(s.license_candidates()), s.corpus())
     return found.select("repo", "license", rounded("confidence"))
 
 
+@query(
+    "license_mentions",
+    """SELECT repo, spdx, round(confidence, 6) AS confidence FROM mentions WHERE confidence >= 0.01 AND repo LIKE 'doc%'""",
+)
+def license_mentions(s: Standin) -> DataFrame:
+    """A low threshold, at which hardly anything can be left out beforehand."""
+    found = license.license_matches(s.document_files(), s.notices(), 0.01)
+    return found.select("repo", "spdx", rounded("confidence"))
+
+
 # Trends.
 
 
@@ -435,6 +445,16 @@ def trend_language_totals(s: Standin) -> DataFrame:
     return trends.trend_languages(_snapshot_languages(s))
 
 
+@query(
+    "trend_pruned",
+    f"SELECT 1::INTEGER AS period_no, period, language, {MEASURES} FROM trend_lang WHERE period = '2000-03'",
+)
+def trend_pruned(s: Standin) -> DataFrame:
+    """One period, so about nine of ten trees are of no interest."""
+    snapshots = trends.with_tree(trends.commits_at_periods(s.commits(), "2000-03", "2000-03", MONTHLY), s.trees())
+    return trends.trend_languages(trends.snapshot_languages(snapshots, s.trees()))
+
+
 def _trend_totals(s: Standin) -> DataFrame:
     return trends.trend_totals(trends.period_calendar(s.spark, SINCE, UNTIL, MONTHLY), _trend_repos(s))
 
@@ -582,16 +602,18 @@ def top_language_names(s: Standin) -> DataFrame:
 
 @query(
     "repo_report",
-    """SELECT r.repo, slug AS repository, url, project, '—' AS license, files, code, comments, t.complexity,
+    """SELECT r.repo, slug AS repository, url, project, coalesce(license, '—') AS license, files, code, comments, t.complexity,
               CASE WHEN category = 'failed' THEN 'Failed (error)'
                    WHEN days_since_commit >= 0 THEN upper(category[1]) || category[2:] || ' (' || days_since_commit || 'd)'
                    ELSE upper(category[1]) || category[2:] || ' (no commits)' END AS health,
               printf('%.1f%%', floor(commit_percent * 10 + 0.5) / 10) AS ai_commits, ai_additions::VARCHAR AS ai_additions
-       FROM repos r JOIN totals t ON r.repo = t.repo LEFT JOIN health h ON r.repo = h.repo LEFT JOIN ai ON r.repo = ai.repo""",
+       FROM repos r JOIN totals t ON r.repo = t.repo LEFT JOIN health h ON r.repo = h.repo LEFT JOIN ai ON r.repo = ai.repo
+            LEFT JOIN licenses k ON r.repo = k.repo""",
 )
 def repo_report(s: Standin) -> DataFrame:
     ai = authorship.ai_by_repo(s.repos(), s.commits(), s.commit_stats())
-    return tables.repository_table(s.repos(), _totals(s), health=_health(s), ai=ai)
+    licenses = license.repo_license(license.license_files(s.license_files()), s.corpus())
+    return tables.repository_table(s.repos(), _totals(s), licenses=licenses, health=_health(s), ai=ai)
 
 
 @query(
@@ -728,10 +750,10 @@ def diagnostic_counts(s: Standin) -> DataFrame:
 
 @query(
     "report_rows",
-    """SELECT r.repo, slug AS repository, t.files, t.code, t.filtered_files, l.languages, n.total_commits AS scanned,
+    """SELECT r.repo, slug AS repository, k.license, t.files, t.code, t.filtered_files, l.languages, n.total_commits AS scanned,
               f.paths AS top_files, a.total_commits, a.ai_commits, h.category, w.windows,
               CASE WHEN w.repo IS NOT NULL THEN round(b.bus_factor, 6) END AS bus_factor
-       FROM repos r JOIN totals t ON r.repo = t.repo
+       FROM repos r JOIN totals t ON r.repo = t.repo LEFT JOIN licenses k ON r.repo = k.repo
             LEFT JOIN (SELECT repo, string_agg(language, ',' ORDER BY code DESC, language) AS languages FROM repo_languages
                        WHERE language IS NOT NULL GROUP BY repo) l ON r.repo = l.repo
             LEFT JOIN (SELECT repo, string_agg(path, ',' ORDER BY rank) AS paths FROM top_files GROUP BY repo) f ON r.repo = f.repo
@@ -755,7 +777,7 @@ def report_rows(s: Standin) -> DataFrame:
         ),
     )
     return rows.select(
-        "repo", "repository", "totals.files", "totals.code", F.coalesce("filtered_files", F.lit(0)).alias("filtered_files"),
+        "repo", "repository", "license", "totals.files", "totals.code", F.coalesce("filtered_files", F.lit(0)).alias("filtered_files"),
         F.nullif(F.array_join("languages.name", ","), F.lit("")).alias("languages"),
         F.col("churn.total_commits").alias("scanned"), F.array_join("churn.top_files.path", ",").alias("top_files"),
         "ai_estimate.total_commits", "ai_estimate.ai_commits", "health.category",

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.licenses import TEXTS
 from tallyforge.plans.analyze import Portfolio
 
 NOW = "2001-08-31 10:00:00"  # a 31st, so that six months before runs over into March
@@ -187,14 +188,34 @@ class Standin:
         return docs.unionByName(pages)
 
     def license_candidates(self) -> DataFrame:
-        """Every document as the license file of a repository of its own."""
+        """License files, and every document as the license file of a repository of its own."""
+        return self.license_files().unionByName(self.document_files())
+
+    def document_files(self) -> DataFrame:
         return self.table("documents").select(
             F.concat(F.lit("doc"), text("doc_id")).alias("repo"), F.lit("LICENSE").alias("path"), F.col("text").cast("binary").alias("content")
         )
 
-    def corpus(self) -> DataFrame:
+    def notices(self) -> DataFrame:
+        """One sentence for each license."""
         return self.spark.createDataFrame(CORPUS, "spdx string, text string")
 
+    def corpus(self) -> DataFrame:
+        """Full texts of licenses."""
+        return self.spark.createDataFrame(list(TEXTS.items()), "spdx string, text string")
+
+    def license_files(self) -> DataFrame:
+        """A license for each repository, signed by it; in most of them every so many words are replaced."""
+        key = F.col("c_custkey")
+        every = F.when(key % 4 == 0, F.lit(10**9)).otherwise(12 + (key * 37) % 150)
+        signed = F.replace("text", F.lit("<owner>"), F.col("c_name"))
+        words = F.transform(F.split(signed, " "), lambda w, i: F.when((i + key) % every == every - 1, F.lower("c_mktsegment")).otherwise(w))
+        texts = self.spark.createDataFrame([(i, text) for i, text in enumerate(TEXTS.values())], "kind int, text string")
+        return (
+            self.table("customer").withColumn("kind", (key % len(TEXTS)).cast("int")).join(texts, "kind")
+            .select(text("c_custkey").alias("repo"), F.lit("LICENSE").alias("path"), F.array_join(words, " ").cast("binary").alias("content"))
+        )
+
     def failures(self) -> DataFrame:
         """Some repositories whose files, commits or history could not be had."""
         key = F.col("c_custkey")
@@ -212,8 +233,9 @@ class Standin:
         )
 
     def portfolio(self) -> Portfolio:
+        license_files = self.license_files().withColumn("commit_hash", F.lit(None).cast("string"))
         return Portfolio(
-            repos=self.repos(), files=self.head_files(), commits=self.commits(), commit_stats=self.commit_stats(),
+            repos=self.repos(), files=self.head_files().unionByName(license_files), license_corpus=self.corpus(), commits=self.commits(), commit_stats=self.commit_stats(),
             commit_files=self.commit_files(), failures=self.failures(),
         )
 

@@ -4,6 +4,19 @@ from __future__ import annotations
 
 import re
 
+from checks.licenses import TEXTS
+
+_MATCHED = """
+        SELECT f.id AS repo, c.id AS spdx, count(*)::DOUBLE / (f.n + c.n - count(*)) AS confidence
+        FROM (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = 'file') f
+             JOIN (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = '{}') c ON f.g = c.g
+        GROUP BY f.id, f.n, c.id, c.n"""
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 VIEWS: dict[str, str] = {
     "repos": """
         SELECT c_custkey::VARCHAR AS repo,
@@ -219,22 +232,32 @@ VIEWS: dict[str, str] = {
                                    WHEN lang = 'HTML' THEN regexp_replace(shown, '<!--.*$', '') ELSE shown END AS visible
                     FROM source_blocks))
         GROUP BY ALL""",
-    "corpus": """
+    "notices": """
         SELECT * FROM (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
                               ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
                               ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
                               ('MIT', 'Released under the MIT License.')) t(spdx, text)""",
-    "candidates": """SELECT 'doc' || doc_id AS repo, text FROM documents""",
+    "corpus": f"""
+        SELECT spdx, text, (row_number() OVER (ORDER BY spdx) - 1) AS kind
+        FROM (VALUES {", ".join("(" + _literal(spdx) + ", " + _literal(text) + ")" for spdx, text in TEXTS.items())}) t(spdx, text)""",
+    "license_files": """
+        SELECT c_custkey::VARCHAR AS repo, array_to_string(list_transform(string_split(replace(text, '<owner>', c_name), ' '), lambda w, i:
+                   CASE WHEN (i - 1 + c_custkey) % every = every - 1 THEN lower(c_mktsegment) ELSE w END), ' ') AS text
+        FROM (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 1000000000 ELSE 12 + (c_custkey * 37) % 150 END AS every FROM customer) c
+             JOIN corpus ON c_custkey % (SELECT count(*) FROM corpus) = kind""",
+    "document_files": """SELECT 'doc' || doc_id AS repo, text FROM documents""",
+    "candidates": """SELECT 'doc' || doc_id AS repo, text FROM documents UNION ALL SELECT repo, text FROM license_files""",
     "shingled": """
         SELECT kind, id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s
         FROM (SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '(?m)^[ \\t]*copyright\\b[^\\n]*', ' ', 'g'), '[^\\p{L}\\p{N}.]+'),
                                            lambda x: replace(x, '.', '') <> '') AS w
-              FROM (SELECT 'file' AS kind, repo AS id, text FROM candidates UNION ALL SELECT 'corpus', spdx, text FROM corpus))""",
-    "matches": """
-        SELECT f.id AS repo, c.id AS spdx, count(*)::DOUBLE / (f.n + c.n - count(*)) AS confidence
-        FROM (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = 'file') f
-             JOIN (SELECT id, len(s) AS n, unnest(s) AS g FROM shingled WHERE kind = 'corpus') c ON f.g = c.g
-        GROUP BY f.id, f.n, c.id, c.n""",
+              FROM (SELECT 'file' AS kind, repo AS id, text FROM candidates UNION ALL SELECT 'corpus', spdx, text FROM corpus
+                    UNION ALL SELECT 'notice', spdx, text FROM notices))""",
+    "matches": f"""{_MATCHED.format("corpus")}""",
+    "licenses": """
+        SELECT repo, spdx AS license FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, spdx) AS n
+                                           FROM matches WHERE confidence >= 0.85) WHERE n = 1""",
+    "mentions": f"""{_MATCHED.format("notice")}""",
 }
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tallyforge.operators.setsim import similar_sets
 from tallyforge.rules.paths import LICENSE_FILE
 
 # Least confidence of a match, words per shingle.
@@ -37,39 +40,44 @@ def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
     return F.element_at(F.transform(F.array(words), runs), 1)
 
 
-def _shingled(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    return df.select(*keys, shingles(license_words(text)).alias("_all")).filter(F.size("_all") > 0)
+def _fitting(words: Column, sizes: Row, threshold: float) -> tuple[Column, Column]:
+    """Whether a text may have as many shingles as a similar license, told by its words; and whether its shingles are as many."""
+    most = F.greatest(F.size(words) - SHINGLE_WORDS + 1, F.lit(1))
+    least = F.lit(int(math.ceil(sizes["least"] * threshold - 1e-9)))
+    n = F.size("members")
+    return (F.size(words) > 0) & (most >= least), n.between(least, F.lit(int(sizes["most"] / threshold + 1e-9)))
 
 
 def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
-    """Licenses similar enough to each candidate (repo, path, content), with their confidence.
+    """Licenses similar enough to each candidate, with their confidence: the Jaccard similarity of the shingle sets.
 
-    Confidence is the Jaccard similarity of the shingle sets. Texts meet by an equi-join on shingles,
-    never pairwise, and only counts are shuffled afterwards. Spark broadcasts the shingles of the corpus
-    if they are small; else a license which most repositories share is a skewed key, which adaptive execution splits.
+    Candidates have a ``content`` and any key columns, which are passed on; the corpus has ``spdx`` and ``text``. The size of the sets is bounded first: a text
+    with too few words is dropped before it is taken apart, one with too few or too many shingles before any of them moves. Most
+    repositories share a handful of license texts, so equal texts become one, told by a digest of their words, and each distinct text is compared
+    once (:func:`similar_sets`). Only digests meet the candidates again. The least and the largest size in the corpus are fetched beforehand.
     """
-    keys = ["repo", "path"]
+    keys = [c for c in candidates.columns if c != "content"]
+    known = corpus.select(F.col("spdx").alias("id"), shingles(license_words(F.col("text"))).alias("members")).where(F.size("members") > 0)
+    sizes = known.agg(F.min(F.size("members")).alias("least"), F.max(F.size("members")).alias("most")).first()
+    if sizes["least"] is None:
+        return candidates.select(*keys, F.lit("").alias("spdx"), F.lit(0.0).alias("confidence")).limit(0)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    left = _shingled(candidates, keys, text).select(
-        *keys, F.size("_all").alias("_n"), F.explode("_all").alias("_shingle")
-    )
-    right = _shingled(corpus, ["spdx"], F.col("text")).select(
-        "spdx", F.size("_all").alias("_m"), F.explode("_all").alias("_shingle")
-    )
-    common = left.join(right, "_shingle").groupBy(*keys, "spdx", "_n", "_m").agg(F.count(F.lit(1)).alias("_common"))
-    confidence = F.col("_common") / (F.col("_n") + F.col("_m") - F.col("_common"))
-    return (
-        common.withColumn("confidence", confidence)
-        .filter(F.col("confidence") >= threshold)
-        .select(*keys, "spdx", "confidence")
+    enough, fits = _fitting(F.col("_words"), sizes, threshold)
+    worded = candidates.select(*keys, license_words(text).alias("_words")).where(enough)
+    digested = worded.select(*keys, F.sha2(F.array_join("_words", " "), 256).alias("_digest"), shingles(F.col("_words")).alias("members")).where(fits)
+    distinct = digested.groupBy(F.col("_digest").alias("id")).agg(F.any_value("members").alias("members"))
+    found = similar_sets(distinct, known, threshold)
+    return digested.select(*keys, "_digest").join(found, F.col("_digest") == F.col("left_id")).select(
+        *keys, F.col("right_id").alias("spdx"), F.col("similarity").alias("confidence")
     )
 
 
-def repo_license(candidates: DataFrame, corpus: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
+def best_license(matches: DataFrame) -> DataFrame:
     """Best license of each repository that has one; equal confidence goes to the first id."""
     best = F.min_by("spdx", F.struct(-F.col("confidence"), "spdx"))
-    return (
-        license_matches(candidates, corpus, threshold)
-        .groupBy("repo")
-        .agg(best.alias("license"), F.max("confidence").alias("confidence"))
-    )
+    return matches.groupBy("repo").agg(best.alias("license"), F.max("confidence").alias("confidence"))
+
+
+def repo_license(candidates: DataFrame, corpus: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
+    """Best license of each repository among its candidates (repo, path, content)."""
+    return best_license(license_matches(candidates, corpus, threshold))

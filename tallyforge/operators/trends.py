@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.calendar import first_period_covering, period_days, period_end, period_label
 from tallyforge.operators.codestats import file_stats, language_stats, languages_only
+from tallyforge.operators.keyfilter import possible
 from tallyforge.schema import MEASURES
-from tallyforge.session import keep_keys
 
 
 def period_calendar(spark: SparkSession, since: str, until: str, interval: str) -> DataFrame:
@@ -79,10 +79,11 @@ def snapshot_languages(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     """Language sums of each repository at each period, including filtered files.
 
     The tree of a commit is counted once, however many periods show it, and only its sums are joined.
-    Trees of other commits are left out before anything in them is counted.
+    Trees of other commits are left out before anything in them is counted: a filter of the wanted keys, which is small whatever
+    their number, passes all wanted trees and few others, whose sums then meet no snapshot. Contents never move.
     """
     wanted = snapshots.select("repo", "commit_hash").distinct()
-    by_commit = language_stats(file_stats(keep_keys(files, wanted)), ["repo", "commit_hash"])
+    by_commit = language_stats(file_stats(possible(files, wanted)), ["repo", "commit_hash"])
     return snapshots.select("repo", "period_no", "period", "commit_hash").join(by_commit, ["repo", "commit_hash"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import authorship, churn, codestats, health, license, trends
+from tallyforge.operators.keyfilter import possible
 from tallyforge.operators.selection import select_repos
 from tallyforge.plans import reports
 from tallyforge.plans.tables import report_tables, trend_tables
@@ -110,7 +111,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     written once to the shared folder when ``materialize`` is set; all of them are sums, far smaller
     than their input. Of the trees of a repository in ``files`` only the present one is in
     the results: the one without a commit hash, else the only one; a repository of which neither holds is an error row.
-    Contents are read where they lie, also of other trees and unselected repositories, whose sums are dropped.
+    Which trees these are is told from keys alone; a filter of their keys then passes their files and few others, whose sums are
+    dropped. Contents are read where they lie and never move.
     """
     _need(tables, "files")
     if options.churn:
@@ -129,17 +131,19 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         include_archived=options.include_archived, include_forks=options.include_forks, owner=options.owner,
     )
     files = tables.files if "commit_hash" in tables.files.columns else tables.files.withColumn("commit_hash", F.lit(None).cast("string"))
-    counted = codestats.file_stats(files)
-    need_paths = options.hotspots and options.churn
-    if need_paths:
-        counted = keep(counted, "file-stats")
-    by_tree = keep(codestats.language_stats(counted, ["repo", "commit_hash"]), "language-stats")
-    heads, unclear = codestats.head_trees(by_tree)
+    heads, unclear = codestats.head_trees(keep(files.select("repo", "commit_hash").distinct(), "trees"))
     failed = _stage_failures(failures, "files").select("repo", "error")
     failed = failed.unionByName(unclear.join(failed, "repo", "left_anti").withColumn("error", F.lit("several trees, none of them marked as present")))
     good, errors = reports.split_results(selected, failed)
     keys = good.select("repo")
-    by_repo_language = codestats.of_heads(by_tree, heads).join(keys, "repo", "left_semi")
+    heads = keep(heads.join(keys, "repo", "left_semi"), "heads")
+    present = possible(files, heads.select("repo", F.col("head").alias("commit_hash")))
+    counted = codestats.file_stats(present)
+    need_paths = options.hotspots and options.churn
+    if need_paths:
+        counted = keep(counted, "file-stats")
+    by_tree = keep(codestats.language_stats(counted, ["repo", "commit_hash"]), "language-stats")
+    by_repo_language = codestats.of_heads(by_tree, heads)
     totals = codestats.repo_totals(keys, by_repo_language)
     by_language = codestats.portfolio_languages(by_repo_language)
     portfolio = codestats.portfolio_totals(totals)
@@ -151,8 +155,8 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     diagnostics: list[DataFrame] = []
 
     if tables.license_corpus is not None:
-        candidates = codestats.of_heads(license.license_files(files), heads)
-        result.licenses = license.repo_license(candidates, tables.license_corpus).join(keys, "repo", "left_semi")
+        found = license.license_matches(license.license_files(present), tables.license_corpus)
+        result.licenses = license.best_license(codestats.of_heads(found, heads))
 
     if options.churn:
         scanned = keep_keys(tables.commits, selected.select("repo"))
