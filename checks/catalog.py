@@ -100,6 +100,23 @@ def commit_limit(s: Standin) -> DataFrame:
     return ranking.limit_commits(s.commits(), 5).select("repo", "hash")
 
 
+_LISTED = "(hash::BIGINT * 7919) % 100003"
+
+
+@query(
+    "commit_limit_large",
+    f"""SELECT repo, hash FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq NULLS LAST, ts DESC, hash) AS n
+                                FROM (SELECT CASE WHEN repo::BIGINT % 3 = 1 THEN 'hot' ELSE repo END AS repo, hash, ts,
+                                             CASE WHEN hash::BIGINT % 5 > 0 THEN {_LISTED} // 40 END AS seq FROM commits))
+        WHERE n <= 2000""",
+)
+def commit_limit_large(s: Standin) -> DataFrame:
+    """One repository with a third of all commits or more, listed in an order that is not that of time, and in part in none."""
+    seq = F.when(F.col("hash").cast("long") % 5 > 0, F.expr(f"({_LISTED.replace('::BIGINT', '')}) div 40".replace("hash", "CAST(hash AS BIGINT)")))
+    commits = s.commits().withColumn("seq", seq).withColumn("repo", F.when(F.col("repo").cast("long") % 3 == 1, "hot").otherwise(F.col("repo")))
+    return ranking.limit_commits(commits, 2000).select("repo", "hash")
+
+
 @query("ai_signals", "SELECT repo, hash, signals FROM signals")
 def ai_signals(s: Standin) -> DataFrame:
     return authorship.commit_signals(s.commits()).select("repo", "hash", F.array_join("signals", ",").alias("signals"))

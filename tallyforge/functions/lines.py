@@ -19,7 +19,6 @@ from tallyforge.rules.languages import MARK, SYNTAXES, branch_rule, token_rule
 
 # A backquote keeps its backslash: in raw strings it ends the string.
 _ESCAPED = r"\\[^\n`]"
-_LINE_SPACE = " \t\r\f\v"
 
 
 def line_breaks(text: Column) -> Column:
@@ -77,33 +76,20 @@ def raw_string_breaks(unescaped: str, syntax: str) -> Column:
     return _by_syntax(unescaped, syntax, results, "0L")
 
 
-# One number holds both counts of a text, so that its lines are walked once.
-_BLANK_UNIT = 1 << 32
+# From the first character of a line that shows to the end of the line, so that a line matches once; no line is taken apart.
+_SPACES = r" \t\r\f\x0B"
+_SHOWS_CODE = rf"[^{_SPACES}\n{MARK}][^\n]*+"
+_SHOWS_ANYTHING = rf"[^{_SPACES}\n][^\n]*+"
 
 
-def line_kinds(marked: Column) -> Column:
-    """Code and blank lines of a marked text, packed for :func:`code_lines` and :func:`blank_lines`."""
-    pieces = F.split(marked, "\n")
-    zero, one, blank = (F.lit(n).cast("long") for n in (0, 1, _BLANK_UNIT))
+def code_lines(marked: Column) -> Column:
+    """Lines of a marked text that show code."""
+    return F.regexp_count(marked, F.lit(_SHOWS_CODE)).cast("long")
 
-    def kind(piece: Column) -> Column:
-        shows_code = F.btrim(piece, F.lit(_LINE_SPACE + MARK)) != ""
-        shows_nothing = F.btrim(piece, F.lit(_LINE_SPACE)) == ""
-        return F.when(shows_code, one).when(shows_nothing, blank).otherwise(zero)
 
-    # The piece after a final line feed is no line.
-    unstarted = F.when((marked == "") | F.endswith(marked, F.lit("\n")), blank).otherwise(zero)
-    return F.aggregate(pieces, zero, lambda total, piece: total + kind(piece)) - unstarted
-
-
-def code_lines(kinds: Column) -> Column:
-    """Lines that show code."""
-    return kinds.bitwiseAND(F.lit(_BLANK_UNIT - 1))
-
-
-def blank_lines(kinds: Column) -> Column:
-    """Lines that show nothing at all."""
-    return F.shiftright(kinds, 32)
+def blank_lines(marked: Column) -> Column:
+    """Lines of a marked text that show nothing at all, not even a mark."""
+    return total_lines(marked) - F.regexp_count(marked, F.lit(_SHOWS_ANYTHING))
 
 
 def branch_count(marked: str, syntax: str) -> Column:

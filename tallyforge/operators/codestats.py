@@ -138,15 +138,14 @@ def file_stats(files: DataFrame, *, minified_line_length: int = P.MINIFIED_LINE_
     marked = (
         classified.withColumn("_unescaped", L.unescape(body))
         .withColumn("_marked", L.mark_tokens("_unescaped", syntax))
-        .withColumn("_kinds", L.line_kinds(F.col("_marked")))
     )
     counted = marked.select(
         *passed,
         "status",
         F.col("_rule.language").alias("language"),
         L.total_lines(body).alias("lines"),
-        (L.code_lines(F.col("_kinds")) + L.raw_string_breaks("_unescaped", syntax)).alias("code"),
-        L.blank_lines(F.col("_kinds")).alias("blanks"),
+        (L.code_lines(F.col("_marked")) + L.raw_string_breaks("_unescaped", syntax)).alias("code"),
+        L.blank_lines(F.col("_marked")).alias("blanks"),
         F.when(body.isNotNull(), L.branch_count("_marked", syntax)).alias("complexity"),
     )
     comments = F.col("lines") - F.col("code") - F.col("blanks")

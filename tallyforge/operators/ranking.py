@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.first_rows import By, first_per_key
+
 SPREAD_BUCKETS = 200
 
 
@@ -42,13 +44,24 @@ def top_per_key(
     return ranked if rank_column else ranked.drop(rank)
 
 
+#: Order of a provider's commit listing: its position, else newest first; the hash breaks ties.
+LISTING = [By("seq"), By("ts", "instant", descending=True), By("hash", "text")]
+#: Limits up to which Spark itself drops rows before a ranking's shuffle (its default threshold).
+PRUNED = 1000
+
+
 def listing_order() -> list[Column]:
-    """Order of a provider's commit listing: its position, else newest first; the hash breaks ties."""
-    return [F.col("seq").asc_nulls_last(), F.col("ts").desc_nulls_last(), F.col("hash").asc()]
+    """Sort columns of a provider's commit listing."""
+    return [by.sort() for by in LISTING]
 
 
 def limit_commits(commits: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` commits of each repository in listing order; 0 keeps all."""
+    """First ``limit`` commits of each repository in listing order; 0 keeps all.
+
+    A small limit is ranked in buckets, one beyond ``PRUNED`` is selected by counting; the result is the same.
+    """
     if limit <= 0:
         return commits
+    if limit > PRUNED:
+        return first_per_key(commits, ["repo"], LISTING, limit)
     return top_per_key(commits, ["repo"], listing_order(), limit, spread=["hash"])
