@@ -28,7 +28,11 @@ KINDS = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 24
 #: Words one of which every assignment holds, in lower case.
 HINTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# A whole run of at least 20 characters none of which is marked as part of a known form.
+_MARK = "\x01"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_={_MARK}-])[A-Za-z0-9+/_=-]{{20,}}+(?!{_MARK})"
+#: Rows of an array that are walked through before their results are put together.
+BLOCK = 128
 # Alphabets by name: a pattern of all their strings, and their characters in order.
 ALPHABETS = {
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -41,26 +45,72 @@ FALSE = 0.05
 STEPS, LENGTHS = 20, (20, 28, 40, 64, 128)
 
 
-def spans(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches as (start, end, found), in code points, end exclusive; those with a short group go.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    Between the matches lie the pieces that splitting by the pattern leaves, so their lengths add up to the places.
+
+def _walk(rows: Column, begin: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(state, row)``, a pair of the next state and an entry of type ``kind``, gives for each row of an array.
+
+    In blocks, as an array that grows by one entry a step is copied at every step: so the copies add up to little more than the rows.
     """
+
+    def block(state: Column, rows: Column) -> Column:
+        def add(s: Column, row: Column) -> Column:
+            following, entry = step(s["state"], row)
+            return F.struct(following.alias("state"), F.concat(s["out"], F.array(entry)).alias("out"))
+
+        return F.aggregate(rows, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), add)
+
+    def blocks(rows: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            done = block(s["state"], F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)))
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+        numbers = F.sequence(F.lit(0), ((F.size(rows) - 1) / BLOCK).cast("int"))
+        start = F.struct(begin.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(numbers, start, add, lambda s: s["out"]))
+
+    return let(rows, blocks)
+
+
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """Pieces between the matches, each with the match that follows it (null after the last) and the group that decides."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     decides = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,size:int>>").alias("out"))
+    return F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("found"), decides.alias("decides"))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["piece"])
-        end = start + F.length(row["found"])
-        entry = F.struct(start.alias("start"), end.alias("end"), row["found"].alias("found"), F.length(row["decides"]).alias("size"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
 
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found"), decides.alias("decides"))
-    every = F.aggregate(rows, begin, step, lambda s: s["out"])
-    kept = F.transform(F.filter(every, lambda s: s["size"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+def _spans_of(matches: Column, least: int) -> Column:
+    """Places of matches: the lengths of the pieces and matches before them, added up."""
+
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        start = at + F.length(row["piece"])
+        end = start + F.coalesce(F.length(row["found"]), F.lit(0))
+        return end, F.struct(start.alias("start"), end.alias("end"), row["found"].alias("found"), F.length(row["decides"]).alias("size"))
+
+    every = _walk(matches, F.lit(0), "struct<start:int,end:int,found:string,size:int>", step)
+    return F.transform(F.filter(every, lambda s: s["size"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+
+
+def spans(text: Column, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches as (start, end, found), in code points, end exclusive; those with a short group go.
+
+    Between the matches lie the pieces that splitting by the pattern leaves, so their lengths add up to the places, in time proportional
+    to the text and its matches.
+    """
+    return F.when(text.rlike(pattern), _spans_of(_matches(text, pattern, group), least)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+
+
+def masked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """Text with a mark in place of each character of the matches that ``spans`` reports."""
+
+    def shown(row: Column) -> Column:
+        found = F.when(F.length(row["decides"]) >= least, F.repeat(F.lit(_MARK), F.length(row["found"]))).otherwise(F.coalesce(row["found"], F.lit("")))
+        return F.concat(row["piece"], found)
+
+    return F.when(text.rlike(pattern), F.array_join(F.transform(_matches(text, pattern, group), shown), "")).otherwise(text)
 
 
 def normal_above(z: Column) -> Column:
@@ -68,11 +118,6 @@ def normal_above(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression over a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda s, v: s + v)
 
@@ -151,22 +196,29 @@ ORDER = {kind: i for i, kind in enumerate([*KINDS, "random"])}
 
 
 def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``row`` (all columns as a struct), ``known`` (spans of the known forms), ``random`` (candidates with their p values)."""
+    """``row`` (all columns as a struct), ``known`` (spans of the known forms), ``random`` (candidates with their p values).
+
+    A candidate that meets a known form is none. That is told by marking the known forms in the text before candidates are looked for, so
+    no two lists of spans are compared.
+    """
     rows = docs.select(F.struct("*").alias("row"))
     text = F.coalesce(F.col("row")[text_column], F.lit(""))
     low, hinted = F.lower(text), F.lit(False)
     for hint in HINTS:
         hinted = hinted | low.contains(hint)
     empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    found = {kind: spans(text, *how) for kind, how in KINDS.items()}
-    found["assign"] = F.when(hinted, found["assign"]).otherwise(empty)
-    found["access"] = F.when(text.contains("AKIA"), found["access"]).otherwise(empty)
+    present = {"assign": hinted, "access": text.contains("AKIA"), "hex": F.lit(True)}
 
     def placed(kind: str) -> Column:
-        return F.transform(found[kind], lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER[kind]).alias("kind"), s["end"].alias("end")))
+        found = F.when(present[kind], spans(text, *KINDS[kind])).otherwise(empty)
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER[kind]).alias("kind"), s["end"].alias("end")))
 
-    scanned = rows.select("row", F.concat(*(placed(kind) for kind in KINDS)).alias("known"), spans(text, CANDIDATE, 0, 0).alias("candidates"))
-    free = F.filter("candidates", lambda s: ~F.exists("known", lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])))
+    def hidden(kind: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(present[kind], masked(t, *KINDS[kind])).otherwise(t)
+
+    rest = F.translate(text, _MARK, " ")
+    for kind in KINDS:
+        rest = let(rest, hidden(kind))
 
     def tested(s: Column) -> Column:
         return let(
@@ -177,13 +229,15 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
             ),
         )
 
-    return scanned.select("row", "known", F.transform(free, tested).alias("random"))
+    candidates = let(rest, lambda t: spans(t, CANDIDATE, 0, 0))
+    return rows.select("row", F.concat(*(placed(kind) for kind in KINDS)).alias("known"), F.transform(candidates, tested).alias("random"))
 
 
 def thresholds(scanned: DataFrame) -> dict[tuple[str, int], float]:
     """Least p value that is reported, for each encoding and class of lengths that has one; over all candidates."""
     step = F.least(F.floor(F.col("s.p") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")
-    tested = scanned.select(F.explode("random").alias("s")).groupBy("s.encoding", "s.length_class", step).count()
+    # The outer form keeps Spark from making the array once more to filter by it.
+    tested = scanned.select(F.explode_outer("random").alias("s")).where("s IS NOT NULL").groupBy("s.encoding", "s.length_class", step).count()
     counts: dict[tuple[str, int], list[int]] = {}
     for encoding, length, at, n in tested.collect():  # encodings x lengths x steps rows at most
         counts.setdefault((encoding, length), [0] * STEPS)[at] = n
@@ -219,14 +273,20 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """Text with a mark in place of each span; overlapping spans share one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # Four bytes a character, so that a piece is cut out without walking through the text before it.
+    data = F.encode(text, "UTF-32")
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        apart = F.struct(at.alias("start"), s["start"].alias("end"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, apart)
 
-    def step(state: Column, s: Column) -> Column:
-        apart = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], apart).otherwise(state["out"]).alias("out"))
+    def pieces(data: Column) -> Column:
+        last = F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), (F.octet_length(data) / 4).cast("int").alias("end")))
+        kept = F.concat(F.filter(_walk(spans, F.lit(0), "struct<start:int,end:int>", step), lambda p: p.isNotNull()), last)
+        cut = lambda p: F.decode(F.substring(data, 4 * p["start"] + 1, 4 * (p["end"] - p["start"])), "UTF-32")
+        return F.array_join(F.transform(kept, cut), mark)
 
-    done = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(data, pieces)).otherwise(text)
 
 
 def find(docs: DataFrame, text_column: str = "text") -> DataFrame:

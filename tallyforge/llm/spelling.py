@@ -142,7 +142,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     """
     numbered = with_nodes(words, F.col("word"), "rank", "before")
     numbered = stage(with_nodes(numbered, F.reverse("word"), "back", "after"), "words")
-    length = F.length("word")
+    length = F.size("before") - 1  # told without walking through the word for each of its positions
     # (place, prefix node, code points of the suffix, suffix node, whether cut, whether also an insertion)
     skipped = F.transform(
         F.sequence(F.lit(0), length - 1),
@@ -155,7 +155,8 @@ def neighbours(words: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), length),
         lambda i: F.struct(i.alias("i"), F.get("before", i).alias("p"), (length - i).alias("j"), F.get("after", length - i).alias("s"), F.lit(True).alias("cut"), F.lit(False).alias("first")),
     )
-    pairs = numbered.withColumn("letters", F.split("word", "")).select("rank", "n", F.inline(F.concat(skipped, cut)))
+    # Never empty; the outer form keeps Spark from filtering by the array first, which would make it twice.
+    pairs = numbered.withColumn("letters", F.split("word", "")).select("rank", "n", F.inline_outer(F.concat(skipped, cut)))
     member = F.struct((-F.col("n")).alias("less"), "rank", "cut", "first")
     groups = pairs.groupBy("i", "p", "j", "s").agg(F.array_sort(F.collect_list(member)).alias("all")).where(F.size("all") > 1)
 

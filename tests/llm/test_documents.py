@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -246,3 +247,65 @@ def test_packed_digest_is_of_32_bit_ids(spark):
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(f"doc_id = {row.doc_id}").first().text
     ids = bpe.Coder(WORDS_BPE).library.encode(text, add_special_tokens=False).ids + [1]
     assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    rng = np.random.default_rng(8)
+    lines = [f"id {x} api_key = k{i}abcdef {'q' * (i % 30)}é\n" for i, x in enumerate(bytes(rng.integers(0, 256, 12 * 50_000, dtype=np.uint8)).hex(" ", 12).split())]
+    text = "".join(lines)
+    docs = table(spark, [(1, text, *[None] * 9), (2, "\x01" + "A1b2C3d4E5f6G7h8I9j0K1l2", *[None] * 9)])
+    started = time.perf_counter()
+    found = secrets.find(docs).select("row.doc_id", "spans", secrets.redacted(secrets.F.col("row.text"), secrets.F.col("spans")).alias("clean"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert time.perf_counter() - started < 60
+    assert [tuple(s) for s in got[1].spans if s["kind"] < 3] == _base_spans(text) and len(got[1].spans) == 100_000
+    assert got[1].clean == "".join(f"id [SECRET] [SECRET] {'q' * (i % 30)}é\n" for i in range(len(lines)))
+
+
+def _plain_p(value, encoding):
+    """p value of one string by the definitions of the three tests."""
+    alphabet = secrets.ALPHABETS[encoding][1]
+    body = value.replace("-", "+").replace("_", "/").replace("=", "")
+    x = [alphabet.index(c) for c in (body.lower() if encoding == "hex" else body) if c in alphabet]
+    n, k = len(x), len(alphabet)
+    if n <= 2:
+        return 0.0
+    above = lambda z: 1 / (1 + math.exp(min(max(1.5976 * z + 0.07056 * z**3, -700), 700)))
+    chi = sum(c * c for c in Counter(x).values()) * k / n - n
+    p_chi = above((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)))
+    upper = [v >= k / 2 for v in x]
+    ones, changes = sum(upper), sum(a != b for a, b in zip(upper, upper[1:]))
+    expected = 2 * ones * (n - ones) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    p_runs = 2 * above(abs((changes + 1 - expected) / math.sqrt(spread) if spread > 0 else 9.0))
+    c = [v - sum(x) / n for v in x]
+    squares = sum(v * v for v in c)
+    p_serial = 2 * above(abs((sum(a * b for a, b in zip(c, c[1:])) / squares + 1 / n) * math.sqrt(n) if squares > 0 else 9.0))
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def test_p_values_and_thresholds_equal_plain_python(spark):
+    rng = np.random.default_rng(5)
+    values = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "A" * 40, "ABAB" * 10, "zyxwvutsrqponmlkjihgfedcba", "MFRGGZDFMZTWQ2LK" * 2 + "==", "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ=", "hello-world-hello_world-again"]
+    for name, (_, letters) in secrets.ALPHABETS.items():
+        if name != "hex":
+            values += ["".join(rng.choice(list(letters), int(n))) for n in rng.integers(20, 150, 60)]
+    docs = table(spark, [(i, f"<{v}>", *[None] * 9) for i, v in enumerate(values)])
+    scanned = secrets.scan(docs)
+    steps = Counter()
+    for r in scanned.select("row.doc_id", "random").collect():
+        (s,) = r.random
+        value = values[r.doc_id]
+        encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) else "base32" if re.fullmatch("[A-Z2-7]+=*", value) else "base64"
+        assert (s["start"], s["end"], s["encoding"]) == (1, 1 + len(value), encoding)
+        assert math.isclose(s["p"], _plain_p(value, encoding), rel_tol=1e-9, abs_tol=1e-12)
+        steps[encoding, s["length_class"], min(int(s["p"] * secrets.STEPS), secrets.STEPS - 1)] += 1
+    expected = {}
+    for key in {k[:2] for k in steps}:
+        n = [steps[(*key, i)] for i in range(secrets.STEPS)]
+        passing = min(sum(n), 2 * sum(n[secrets.STEPS // 2 :]))
+        for at in range(1, secrets.STEPS):
+            if sum(n[at:]) and 1 - passing * (1 - at / secrets.STEPS) / sum(n[at:]) <= secrets.FALSE:
+                expected[key] = at / secrets.STEPS
+                break
+    assert secrets.thresholds(scanned) == expected and expected
