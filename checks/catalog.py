@@ -183,7 +183,7 @@ def ai_estimate_org(s: Standin) -> DataFrame:
 # Health.
 
 
-def _health(s: Standin, limit: int = 1) -> DataFrame:
+def _health(s: Standin, limit: int = health.DEFAULT_COMMIT_LIMIT) -> DataFrame:
     failed = s.failures().filter(F.col("stage") == "health").select("repo", "error")
     return health.repo_health(s.repos(), s.commits(), NOW, failures=failed, limit=limit)
 
@@ -193,6 +193,29 @@ def health_repo(s: Standin) -> DataFrame:
     return _health(s)
 
 
+def _listed(commits: DataFrame) -> DataFrame:
+    """Commits listed in an order that is not that of time, some of them without a place in it."""
+    number = F.col("hash").cast("long")
+    return commits.withColumn("seq", F.when(number % 5 > 0, number * 7919 % 100003))
+
+
+@query(
+    "health_listed",
+    """SELECT r.repo, CASE WHEN f.error IS NOT NULL THEN 'failed' WHEN last IS NULL THEN 'abandoned' WHEN days < 180 THEN 'active'
+                           WHEN days < 365 THEN 'maintained' ELSE 'abandoned' END AS category,
+              CASE WHEN f.error IS NOT NULL OR last IS NULL THEN -1 ELSE days END AS days_since_commit
+       FROM repos r LEFT JOIN (SELECT repo, ts AS last, greatest(floor(epoch(now - ts) / 86400), 0)::INTEGER AS days
+                               FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN nr % 5 > 0 THEN nr * 7919 % 100003 END NULLS LAST, ts DESC, hash) AS n
+                                     FROM commits) x JOIN now_ ON n = 1) c ON r.repo = c.repo
+            LEFT JOIN (SELECT * FROM failures WHERE stage = 'health') f ON r.repo = f.repo""",
+)
+def health_listed(s: Standin) -> DataFrame:
+    """The first listed commit alone speaks, whatever its date."""
+    failed = s.failures().filter(F.col("stage") == "health").select("repo", "error")
+    found = health.repo_health(s.repos(), _listed(s.commits()), NOW, failures=failed, limit=1)
+    return found.select("repo", "category", "days_since_commit")
+
+
 @query("health_repo_details", "SELECT repo, category, last_commit_date, days_since_commit, error FROM health")
 def health_repo_details(s: Standin) -> DataFrame:
     return _health(s, health.DEFAULT_COMMIT_LIMIT)
@@ -930,6 +953,22 @@ def source_bitbucket_commits(s: Standin) -> DataFrame:
     return _commit_rows(bitbucket.commits(s.commit_pages("bitbucket")))
 
 
+def _asof_sql(provider: str, author: str, committer: str) -> str:
+    return f"""SELECT '{provider}' AS provider, repo, period_no, period, arg_max(hash, strftime({committer}, '%Y-%m-%dT%H:%M:%S.%f') || '#' || hash) AS commit_hash
+        FROM periods JOIN (SELECT o_custkey::VARCHAR AS repo, o_orderkey::VARCHAR AS hash, date_trunc('second', o_orderdate)::TIMESTAMP AS day,
+                                  to_days((o_orderkey % 5 * 40)::INTEGER) AS apart FROM orders WHERE o_orderkey % 17 <> 0) c ON {author} <= period_end GROUP BY ALL"""
+
+
+@query("asof_from_pages", _asof_sql("github", "day", "day + apart") + " UNION ALL " + _asof_sql("gitlab", "day - apart", "day"))
+def asof_from_pages(s: Standin) -> DataFrame:
+    """Landed commits whose two dates disagree."""
+    found = [
+        trends.commits_at_periods(source.commits(s.commit_pages(source.PROVIDER)), SINCE, UNTIL, MONTHLY).drop("period_end").withColumn("provider", F.lit(source.PROVIDER))
+        for source in (github, gitlab)
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query("source_github_stats", "SELECT repo, hash, additions, deletions FROM commit_stats")
 def source_github_stats(s: Standin) -> DataFrame:
     return github.commit_stats(s.detail_pages()).drop("error")

@@ -333,15 +333,21 @@ class Standin:
             F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
         )
         message = F.concat(F.lit("Change\n"), "o_orderpriority")
+
+        def moved(sign: int) -> Column:
+            """The other clock."""
+            days = F.make_dt_interval((F.col("o_orderkey") % 5 * 40 * sign).cast("int"))
+            return F.when(F.col("o_orderkey") % 17 > 0, F.date_format(F.col("o_orderdate").cast("timestamp") + days, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
         if provider == "github":
             author = F.struct(name.alias("name"), email.alias("email"), date.alias("date"))
             element = F.struct(
-                text("o_orderkey").alias("sha"), F.struct(author.alias("author"), message.alias("message")).alias("commit")
+                text("o_orderkey").alias("sha"), F.struct(author.alias("author"), F.struct(moved(1).alias("date")).alias("committer"), message.alias("message")).alias("commit")
             )
         elif provider == "gitlab":
             element = F.struct(
                 text("o_orderkey").alias("id"), name.alias("author_name"), email.alias("author_email"),
-                message.alias("message"), date.alias("committed_date"),
+                message.alias("message"), date.alias("committed_date"), moved(-1).alias("authored_date"),
             )
         else:
             raw = F.struct(F.concat(name, F.lit(" <"), email, F.lit(">")).alias("raw"))

@@ -27,7 +27,7 @@ PARTIAL_CATEGORY = "health-details"
 FAILURE_CATEGORY = "health"
 
 
-def last_commits(commits: DataFrame, limit: int = 1) -> DataFrame:
+def last_commits(commits: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
     """Newest instant per repository among the first ``limit`` listed commits (0: all).
 
     With a limit of 1 only the first listed commit speaks, whatever its date; that is an aggregate
@@ -47,7 +47,7 @@ def repo_health(
     now: Column | str,
     *,
     failures: DataFrame | None = None,
-    limit: int = 1,
+    limit: int = DEFAULT_COMMIT_LIMIT,
 ) -> DataFrame:
     """Category, last commit and age per repository.
 

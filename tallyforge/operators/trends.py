@@ -39,17 +39,19 @@ def period_labels(calendar: DataFrame) -> list[str]:
 def commits_at_periods(commits: DataFrame, since: str, until: str, interval: str) -> DataFrame:
     """Newest commit of each repository at each period end, as far as there is one.
 
-    A commit qualifies by its author time; of those that do, the one with the latest committer time
-    is taken (as-of join with two clocks). Each commit first goes to the first period it qualifies
+    A commit qualifies by its author time (``author_ts`` where there is such a column, else ``ts``); of those that do, the one with the latest
+    committer time is taken (as-of join with two clocks). Each commit first goes to the first period it qualifies
     for, by calendar arithmetic; there only the latest survives, which is combined before the shuffle.
     What remains are at most as many rows per repository as periods, over which a running maximum
     carries the winner on. No repository, however large, meets in one task with all its commits.
     """
+    written = F.coalesce("author_ts", "ts") if "author_ts" in commits.columns else F.col("ts")
     days = period_days(F.lit(since), F.lit(until), interval)
     last_no = F.coalesce(F.size(days), F.lit(0))
     newest = (
-        commits.select(
-            "repo", "hash", "committer_ts", first_period_covering(F.col("ts"), F.lit(since), interval).alias("_no")
+        commits.filter(written.isNotNull())  # a commit without a date is in no period
+        .select(
+            "repo", "hash", "committer_ts", first_period_covering(written, F.lit(since), interval).alias("_no")
         )
         .filter(F.col("_no") <= last_no)
         .groupBy("repo", "_no")

@@ -184,7 +184,7 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         unlisted = _stage_failures(failures, "health").select("repo", "error")
         listed = selected.select("repo").join(unlisted, "repo", "left_anti")
         commits = keep_keys(tables.commits, listed)
-        limit = options.health_commit_limit if options.health_details else 1
+        limit = options.health_commit_limit
         result.health = keep(
             health.repo_health(selected, commits, now, failures=unlisted, limit=limit), "health"
         )

@@ -18,7 +18,8 @@ REPO_PAGE = (
 )
 SUBGROUP_PAGE = "array<struct<id bigint, path string, full_path string, name string>>"
 COMMIT_PAGE = (
-    "array<struct<id string, author_name string, author_email string, message string, committed_date string>>"
+    "array<struct<id string, author_name string, author_email string, message string,"
+    " authored_date string, committed_date string>>"
 )
 COMMIT_DETAIL = "struct<stats struct<additions bigint, deletions bigint>>"
 
@@ -50,7 +51,7 @@ def subgroups(pages: DataFrame) -> DataFrame:
 
 
 def commits(pages: DataFrame) -> DataFrame:
-    """Commits: author as name and e-mail, committed date."""
+    """Commits: author as name and e-mail, committed date; ``author_ts`` is when it was written, which decides when history has it."""
     items = listed(pages, F.from_json("value", COMMIT_PAGE), ["repo"])
     item = F.col("item")
     ts = instant(item["committed_date"])
@@ -61,6 +62,7 @@ def commits(pages: DataFrame) -> DataFrame:
         or_blank(item["message"]).alias("message"),
         ts.alias("ts"),
         ts.alias("committer_ts"),
+        F.coalesce(instant(item["authored_date"]), ts).alias("author_ts"),
         "seq",
     )
 
