@@ -326,6 +326,11 @@ def file_flags(s: Standin) -> DataFrame:
     return codestats.file_stats(s.documents()).select("repo", "path", "status")
 
 
+@query("file_rules", "SELECT repo, path, status FROM ruled")
+def file_rules(s: Standin) -> DataFrame:
+    return codestats.file_stats(s.ruled_files()).select("repo", "path", "status")
+
+
 @query("line_stats", "SELECT repo, path, language, lines, code, comments, blanks, complexity FROM source_counts")
 def line_stats(s: Standin) -> DataFrame:
     return codestats.file_stats(s.documents()).filter(F.col("status") == codestats.COUNTED).drop("status")
@@ -754,9 +759,9 @@ def report_sections(s: Standin) -> DataFrame:
     return tables.sections(s.repos(), ai=ai, health=_health(s), windows=health_windows(s), top_files=churn_top_files(s))
 
 
-# Whole analyses. The tables are small here, so intermediate results are not written and read back.
+# Whole analyses, as a user runs them: what several results read is written to the shared folder.
 
-ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True, materialize=False)
+ALL = dict(ai=True, health=True, health_details=True, churn=True, hotspots=True)
 
 
 def _analysis(s: Standin, **options):
@@ -847,11 +852,26 @@ def report_head(s: Standin) -> DataFrame:
     )
 
 
+@query(
+    "report_heading",
+    """SELECT 'a workspace' AS title, 'a group' AS organization, format('{:,}', repos) AS repositories, format('{:,}', lines) AS lines, format('{:,}', code) AS code,
+              format('{:,}', comments) AS comments, format('{:,}', blanks) AS blanks,
+              printf('%.1f%%', floor(CASE WHEN comments + code = 0 THEN 0 ELSE comments::DOUBLE / (comments + code) * 100 END * 10 + 0.5) / 10) AS comment_ratio,
+              format('{:,}', complexity) AS complexity,
+              (SELECT string_agg(language, ', ' ORDER BY code DESC, language) FROM (SELECT language, code FROM languages ORDER BY code DESC, language LIMIT 7)) AS top_languages,
+              '2001-08-31' AS generated FROM portfolio""",
+)
+def report_heading(s: Standin) -> DataFrame:
+    organization = T.report_organization(F.lit("an org"), F.lit("a user"), F.lit("a group"))
+    head = reports.report_head(portfolio_totals(s), language_report(s), generated_at="2001-08-31T10:00:00Z", workspace="a workspace")
+    return tables.heading_table(head.withColumn("organization", organization))
+
+
 @query("trends_report", "SELECT period_no, period, repos, code, code_delta FROM trend_delta")
 def trends_report(s: Standin) -> DataFrame:
     tables_ = s.portfolio()
     tables_.files, tables_.failures = s.trees(), None
-    options = Options(include_archived=True, include_forks=True, materialize=False)
+    options = Options(include_archived=True, include_forks=True)
     totals = analyze_trends(tables_, options, SINCE, UNTIL, MONTHLY).totals
     return totals.select("period_no", "period", "repos", "code", "code_delta")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.licenses import TEXTS
+from checks.ruled_paths import CASES
 from tallyforge.plans.analyze import Portfolio
 
 NOW = "2001-08-31 10:00:00"  # a 31st, so that six months before runs over into March
@@ -187,6 +188,14 @@ class Standin:
         )
         return docs.unionByName(pages)
 
+    def ruled_files(self) -> DataFrame:
+        """Every document as a file of a repository of its own, in a place that the rules of file classes speak of."""
+        cases = self.spark.createDataFrame([(i, path, added) for i, (path, added, _) in enumerate(CASES)], "kind long, path string, added string")
+        docs = self.table("documents").select("doc_id", "text", (F.col("doc_id") % len(CASES)).alias("kind"))
+        return docs.join(F.broadcast(cases), "kind").select(
+            F.concat(F.lit("doc"), text("doc_id")).alias("repo"), "path", F.concat("text", "added").cast("binary").alias("content")
+        )
+
     def license_candidates(self) -> DataFrame:
         """License files, and every document as the license file of a repository of its own."""
         return self.license_files().unionByName(self.document_files())

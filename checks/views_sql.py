@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from checks.licenses import TEXTS
+from checks.ruled_paths import CASES
 
 _MATCHED = """
         SELECT f.id AS repo, c.id AS spdx, count(*)::DOUBLE / (f.n + c.n - count(*)) AS confidence
@@ -17,6 +18,9 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Whole words that tell a generated file.
+_MARKED = "(^|\\W)(Code generated|@generated|DO NOT EDIT|Generated by the protocol buffer compiler|Autogenerated by Thrift Compiler|This file was automatically generated|GENERATED CODE)($|\\W)"
+
 VIEWS: dict[str, str] = {
     "repos": """
         SELECT c_custkey::VARCHAR AS repo,
@@ -232,6 +236,10 @@ VIEWS: dict[str, str] = {
                                    WHEN lang = 'HTML' THEN regexp_replace(shown, '<!--.*$', '') ELSE shown END AS visible
                     FROM source_blocks))
         GROUP BY ALL""",
+    "ruled": f"""
+        SELECT 'doc' || doc_id AS repo, path, CASE WHEN status <> 'filtered' AND regexp_matches(text, '{_MARKED}') THEN 'filtered' ELSE status END AS status
+        FROM documents JOIN (VALUES {", ".join(f"({i}, {_literal(path)}, {_literal(status) if status else 'NULL'})" for i, (path, _, status) in enumerate(CASES))}) t(kind, path, status)
+             ON doc_id % {len(CASES)} = kind WHERE status IS NOT NULL""",
     "notices": """
         SELECT * FROM (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
                               ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),

@@ -36,16 +36,25 @@ def parent_directory(path: Column) -> Column:
 
 
 def in_pruned_directory(path: Column) -> Column:
-    """True below a version-control or vendored directory.
-
-    No directory rule is anchored at its end, so a match in any ancestor is also one in the parent.
-    """
-    return parent_directory(path).rlike(P.PRUNED_DIRECTORY)
+    """True below a version-control or vendored directory: any of its ancestors has a name that the rules have, or meets one of the few patterns."""
+    rules, folder = P.PRUNED_INDEX, parent_directory(path)
+    segments = F.split(folder, "/", -1)
+    named = F.arrays_overlap(segments, F.array(*map(F.lit, sorted(rules.directories))))
+    return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.other_directories)
 
 
 def is_vendored(path: Column) -> Column:
-    """True for a single file of third-party code."""
-    return path.rlike(P.VENDOR_FILE)
+    """True for a single file of third-party code.
+
+    Names are looked up whole. Patterns are looked up by extension, so a path meets those of its own extension alone, of which most have none.
+    """
+    rules, name = P.VENDOR_INDEX, file_name(path)
+    matched = F.lit(False)
+    for pattern in dict.fromkeys(rules.by_extension.values()):
+        own = [extension for extension, held in rules.by_extension.items() if held == pattern]
+        matched = F.when(F.substring_index(name, ".", -1).isin(*own), path.rlike(pattern)).otherwise(matched)
+    named = name.isin(*sorted(rules.names)) | path.isin(*sorted(rules.root_names)) | matched
+    return named | path.rlike(rules.other_files) if rules.other_files else named
 
 
 def is_generated(path: Column, text: Column, minified_line_length: int = P.MINIFIED_LINE_LENGTH) -> Column:

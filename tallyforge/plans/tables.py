@@ -12,7 +12,9 @@ from tallyforge.functions.text import (
     blank_to_null,
     capitalize,
     comment_ratio,
+    date_part,
     percent_label,
+    report_title,
     signed,
     thousands,
     top_names,
@@ -56,6 +58,25 @@ def summary_table(totals: DataFrame) -> DataFrame:
     return totals.select(F.inline(rows)).filter(shown).orderBy("position")
 
 
+def heading_table(head: DataFrame) -> DataFrame:
+    """What a report says at its head, one row: title, sizes, comment ratio, languages and the day it was made. Labels that are left out are blank."""
+
+    def label(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit("")) if name in head.columns else F.lit("")
+
+    totals = F.col("totals")
+    sizes = {"repositories": "repos", "lines": "lines", "code": "code", "comments": "comments", "blanks": "blanks"}
+    return head.select(
+        report_title(label("workspace"), label("organization")).alias("title"),
+        label("organization").alias("organization"),
+        *[thousands(totals[c]).alias(name) for name, c in sizes.items()],
+        percent_label(comment_ratio(totals["comments"], totals["code"])).alias("comment_ratio"),
+        thousands(totals["complexity"]).alias("complexity"),
+        top_names(F.col("by_language"), TOP_LANGUAGE_NAMES).alias("top_languages"),
+        date_part(label("generated_at")).alias("generated"),
+    )
+
+
 def language_table(by_language: DataFrame) -> DataFrame:
     """Languages in report order."""
     columns = ["language", "files", "code", "comments", "blanks", "complexity"]

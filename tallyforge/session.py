@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,10 +32,11 @@ def build_session(app: str = "tallyforge", master: str | None = None, **extra: s
 
 
 _local_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor reaches, from ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """Folder every executor reaches, from ``spark.checkpoint.dir``; in local mode only a temporary one, which goes with the process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -41,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tallyforge-")
+        folder = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_folders[context.applicationId] = folder
     return _local_folders[context.applicationId]
 
 
@@ -52,10 +57,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that this application has staged so far, and tell how many; to be called when all results that read them are written."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    hadoop, context = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = hadoop.Path(text)
+        path.getFileSystem(context).delete(path, True)
+    return len(paths)
+
+
 def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose keys (all columns of ``keys``) are wanted.
 
