@@ -45,7 +45,12 @@ def flagged_commits(commits: DataFrame, commit_stats: DataFrame, limit: int = DE
 
 def ai_details(commits: DataFrame, commit_stats: DataFrame, limit: int = DEFAULT_COMMIT_LIMIT) -> DataFrame:
     """Flagged commits with statistics, one row each, with the first message line."""
-    known = flagged_commits(commits, commit_stats, limit).filter(F.col("stats_error").isNull())
+    return details_of(flagged_commits(commits, commit_stats, limit))
+
+
+def details_of(judged: DataFrame) -> DataFrame:
+    """The flagged ones with statistics among judged commits."""
+    known = judged.filter(F.col("flagged") & F.col("stats_error").isNull())
     return known.select("repo", "hash", "author", "message", "signals", "additions", "deletions", "ts", "seq")
 
 
@@ -65,14 +70,14 @@ def ai_by_repo(
     """
     keyed = looked_at(commits, limit).select("repo", "hash", "flagged")
     stats = commit_stats.filter(F.col("error").isNull()).select("repo", "hash", "additions", F.lit(True).alias("flagged"))
-    per_repo = (
-        keyed.join(stats, ["repo", "hash", "flagged"], "left")
-        .groupBy("repo")
-        .agg(
-            F.count(F.lit(1)).alias("total_commits"),
-            F.count_if("flagged").alias("ai_commits"),
-            F.sum("additions").alias("ai_additions"),
-        )
+    return sums_of(repos, keyed.join(stats, ["repo", "hash", "flagged"], "left"))
+
+
+def sums_of(repos: DataFrame, judged: DataFrame) -> DataFrame:
+    """The same from judged commits, read once."""
+    flagged = F.col("flagged")
+    per_repo = judged.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("total_commits"), F.count_if(flagged).alias("ai_commits"), F.sum(F.when(flagged, F.col("additions"))).alias("ai_additions")
     )
     zero = F.lit(0).cast("long")
     return (

@@ -86,19 +86,16 @@ def author_windows(commits: DataFrame, commit_stats: DataFrame, now: Column | st
     Everything below adds up these rows, so the commits are joined and shuffled once. A commit without
     statistics stays, with no changed lines.
     """
-    now = as_instant(now)
     known = with_stats(limit_commits(commits, limit), commit_stats)
-    return (
-        known.groupBy(
-            "repo",
-            commit_window(F.col("ts"), now).alias("window"),
-            author_identity(F.col("author")).alias("author"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("commits"),
-            F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"),
-            F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"),
-        )
+    return windows_of(known.withColumns({"window": commit_window(F.col("ts"), as_instant(now)), "identity": author_identity(F.col("author"))}))
+
+
+def windows_of(judged: DataFrame) -> DataFrame:
+    """The same from judged commits."""
+    return judged.groupBy("repo", "window", F.col("identity").alias("author")).agg(
+        F.count(F.lit(1)).alias("commits"),
+        F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"),
+        F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"),
     )
 
 

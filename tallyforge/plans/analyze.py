@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import authorship, churn, codestats, health, license, trends
+from tallyforge.operators.commits import partial_errors
+from tallyforge.operators.judged import among_first, judged_commits, widest
 from tallyforge.operators.keyfilter import possible
 from tallyforge.operators.selection import select_repos
 from tallyforge.plans import reports
@@ -107,9 +109,9 @@ def _named(diagnostics: DataFrame, repos: DataFrame) -> DataFrame:
 def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: str) -> Analysis:
     """Code statistics, license and, as asked for, AI authorship, health and churn.
 
-    Results that several others read (counts per repository and language, authors per window) are
-    written once to the shared folder when ``materialize`` is set; all of them are sums, far smaller
-    than their input. Of the trees of a repository in ``files`` only the present one is in
+    Results that several others read (counts per repository and language, judged commits, authors per window) are
+    written once to the shared folder when ``materialize`` is set; all of them are far smaller than their input. Commits and their statistics are
+    read once, whatever is asked for. Of the trees of a repository in ``files`` only the present one is in
     the results: the one without a commit hash, else the only one; a repository of which neither holds is an error row.
     Which trees these are is told from keys alone; a filter of their keys then passes their files and few others, whose sums are
     dropped. Contents are read where they lie and never move.
@@ -158,10 +160,22 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
         found = license.license_matches(license.license_files(present), tables.license_corpus)
         result.licenses = license.best_license(codestats.of_heads(found, heads))
 
+    limits = []  # of the analyses asked for
+    if options.ai:
+        limits.append(options.ai_commit_limit)
+    if options.health or options.health_details:
+        limits.append(options.health_commit_limit)
+    if options.churn:
+        limits.append(options.churn_limit)
+    if limits:
+        within = widest(*limits)
+        stats = tables.commit_stats if options.ai or options.health_details else None
+        judged = keep(judged_commits(keep_keys(tables.commits, selected.select("repo")), stats, now, within, options.ai), "judged-commits")
+
     if options.churn:
-        scanned = keep_keys(tables.commits, selected.select("repo"))
-        file_churn = churn.file_churn(scanned, tables.commit_files, options.churn_limit)
-        result.scanned = churn.scanned_commits(scanned, options.churn_limit)
+        scanned = among_first(judged, options.churn_limit, within)
+        file_churn = churn.file_churn(scanned, tables.commit_files)
+        result.scanned = churn.scanned_commits(scanned)
         result.top_files = churn.top_files(file_churn)
         if need_paths:
             per_path = codestats.of_heads(counted, heads).filter(F.col("complexity") > 0).groupBy("repo", "path").agg(F.sum("complexity").alias("complexity"))
@@ -171,33 +185,29 @@ def analyze(tables: Portfolio, options: Options, now: Column | str, **labels: st
     if options.ai:
         unlisted = _stage_failures(failures, "ai-estimate")
         listed = selected.select("repo").join(unlisted, "repo", "left_anti")
-        limit = options.ai_commit_limit
-        commits = keep_keys(tables.commits, listed)
-        result.ai = keep(authorship.ai_by_repo(listed, commits, tables.commit_stats, limit), "ai-by-repo")
-        result.ai_details = authorship.ai_details(commits, tables.commit_stats, limit)
+        commits = among_first(keep_keys(judged, listed), options.ai_commit_limit, within)
+        result.ai = keep(authorship.sums_of(listed, commits), "ai-by-repo")
+        result.ai_details = authorship.details_of(commits)
         result.ai_total = authorship.ai_over_all(result.ai.join(keys, "repo", "left_semi"))
         parts["ai_estimate"] = reports.ai_structs(result.ai)
-        diagnostics.append(authorship.ai_partial_errors(commits, tables.commit_stats, limit))
+        diagnostics.append(partial_errors(commits.filter("flagged"), authorship.PARTIAL_CATEGORY))
         diagnostics.append(unlisted.select(F.lit("ai-estimate").alias("category"), "repo", F.col("error").alias("message")))
 
     if options.health or options.health_details:
         unlisted = _stage_failures(failures, "health").select("repo", "error")
         listed = selected.select("repo").join(unlisted, "repo", "left_anti")
-        commits = keep_keys(tables.commits, listed)
-        limit = options.health_commit_limit
-        result.health = keep(
-            health.repo_health(selected, commits, now, failures=unlisted, limit=limit), "health"
-        )
+        commits = among_first(keep_keys(judged, listed), options.health_commit_limit, within)
+        result.health = keep(health.repo_health(selected, commits, now, failures=unlisted), "health")
         result.health_summary = health.health_summary(result.health.join(keys, "repo", "left_semi"), totals)
         parts["health"] = reports.health_structs(result.health)
         diagnostics.append(health.failure_diagnostics(unlisted))
         if options.health_details:
-            authors = keep(health.author_windows(commits, tables.commit_stats, now, limit), "author-windows")
+            authors = keep(health.windows_of(commits), "author-windows")
             result.windows = health.window_details(authors)
             result.bus_factor = health.bus_factor(authors)
             result.velocity = health.velocity(authors)
             parts["health_details"] = reports.health_detail_structs(result.windows, result.bus_factor, result.velocity)
-            diagnostics.append(health.health_partial_errors(commits, tables.commit_stats, limit))
+            diagnostics.append(partial_errors(commits, health.PARTIAL_CATEGORY))
 
     for part in diagnostics:
         result.diagnostics = result.diagnostics.unionByName(_named(part, selected))

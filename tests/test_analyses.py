@@ -186,3 +186,36 @@ def test_missing_tables_are_named(spark):
     tables.commit_files = None
     with pytest.raises(ValueError, match="commit_files"):
         analyze(tables, Options(churn=True), NOW)
+
+
+def test_commits_and_statistics_are_read_once(spark):
+    from datetime import datetime, timedelta
+
+    counts = {name: spark.sparkContext.accumulator(0) for name in ("commits", "commit_stats")}
+
+    def watched(name, rows, columns):
+        def seen(batches):
+            for batch in batches:
+                counts[name].add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, columns).mapInArrow(seen, columns)
+
+    start = datetime(2001, 1, 1)
+    commits = [(f"r{i % 3}", f"h{i}", f"Dev {i % 4} <d{i % 4}@e.com>", "AI-generated fix" if i % 5 == 0 else "work", start - timedelta(days=i), start, i) for i in range(90)]
+    stats = [(c[0], c[1], 10, 1, None) for c in commits if int(c[1][1:]) % 7]
+    tables = Portfolio(
+        repos=spark.createDataFrame([(f"r{i}", "github", f"s{i}", f"s{i}", "", f"https://h/o/s{i}", "", "", "", False, False) for i in range(3)], schema.REPOS),
+        files=spark.createDataFrame([(f"r{i}", None, "a.py", b"if x:\n  pass\n") for i in range(3)], schema.FILES),
+        commits=watched("commits", commits, schema.COMMITS), commit_stats=watched("commit_stats", stats, schema.COMMIT_STATS),
+        commit_files=spark.createDataFrame([(c[0], c[1], "a.py", 1, 1) for c in commits], schema.COMMIT_FILES),
+    )
+    result = analyze(tables, Options(ai=True, health=True, health_details=True, churn=True, hotspots=True, ai_commit_limit=20, churn_limit=10), "2001-01-02 00:00:00")
+    rows = {r.repo: r for r in result.rows.collect()}
+    for frame in (result.diagnostics, result.ai_details, result.windows, result.bus_factor, result.velocity, result.head, result.top_files, result.hotspots):
+        frame.collect()
+    assert counts["commits"].value == len(commits) and counts["commit_stats"].value == len(stats)
+    assert [rows["r0"].ai_estimate.total_commits, rows["r0"].churn.total_commits, rows["r0"].health_details.churn_by_window["0-6mo"].commits] == [20, 10, 30]
+    flagged = [c for c in commits if c[0] == "r0" and c[3] != "work"][:4]
+    known = [c for c in flagged if c[1] in {s[1] for s in stats}]
+    assert (rows["r0"].ai_estimate.ai_commits, rows["r0"].ai_estimate.ai_additions) == (4, 10 * len(known))
