@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from tallyforge.functions.calendar import MONTHLY, WEEKLY
 from tallyforge.operators import authorship, churn, codestats, health, license, ranking, selection, trends
 from tallyforge.plans import reports, tables
 from tallyforge.plans.analyze import Options, analyze, analyze_trends
-from tallyforge.sinks.reports import diagnostic_lines
+from tallyforge.session import shared_folder
+from tallyforge.sinks.reports import diagnostic_lines, write_report, write_trends_report
 from tallyforge.sources import archives, bitbucket, github, gitlab
 from tallyforge.sources import reports as report_source
 
@@ -876,6 +878,59 @@ def trends_report(s: Standin) -> DataFrame:
     return totals.select("period_no", "period", "repos", "code", "code_delta")
 
 
+def _written(s: Standin, name: str) -> str:
+    return f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "report_round_trip",
+    """SELECT slug AS repository, project, k.license, t.files, t.code, t.comments, t.complexity, category, n.total_commits, f.path AS top_file, w.windows, ai_commits
+       FROM repos r JOIN totals t ON r.repo = t.repo LEFT JOIN licenses k ON r.repo = k.repo LEFT JOIN health h ON r.repo = h.repo
+            LEFT JOIN (SELECT repo, count(*) AS total_commits FROM commits GROUP BY repo) n ON r.repo = n.repo
+            LEFT JOIN (SELECT repo, path FROM top_files WHERE rank = 1) f ON r.repo = f.repo
+            LEFT JOIN (SELECT * FROM ai WHERE repo NOT IN (SELECT repo FROM failures WHERE stage = 'ai-estimate')) a ON r.repo = a.repo
+            LEFT JOIN (SELECT repo, count(*) AS windows FROM windows WHERE repo NOT IN (SELECT repo FROM failures WHERE stage = 'health') GROUP BY repo) w ON r.repo = w.repo
+       WHERE r.repo NOT IN (SELECT repo FROM failures WHERE stage = 'files')""",
+)
+def report_round_trip(s: Standin) -> DataFrame:
+    """A report that was written, read again and taken apart."""
+    result, folder = _analysis(s, hotspots=False), _written(s, "report")
+    write_report(folder, result.head, result.rows, result.errors)
+    frames = report_source.report_frames(report_source.read_report(s.spark, folder))
+    windows = frames["windows"].groupBy("repo").agg(F.count(F.lit(1)).alias("windows"))
+    ai = report_source.read_report(s.spark, folder).repositories.select(
+        F.concat_ws(":", "provider", "url").alias("repo"), "ai_estimate.ai_commits"
+    )
+    parts = [
+        frames["totals"], frames["licenses"], frames["health"], frames["scanned"], ai, windows,
+        frames["top_files"].where("rank = 1").select("repo", F.col("path").alias("top_file")),
+    ]
+    out = frames["repos"]
+    for part in parts:
+        out = out.join(part, "repo", "left")
+    return out.select(
+        F.col("slug").alias("repository"), "project", "license", "files", "code", "comments", "complexity", "category", "total_commits", "top_file", "windows", "ai_commits"
+    )
+
+
+@query(
+    "trends_round_trip",
+    """SELECT t.period_no, t.period, t.repos, t.code, l.code AS go_code, r.code AS largest
+       FROM trend_total t LEFT JOIN (SELECT period_no, code FROM trend_lang WHERE language = 'Go') l ON t.period_no = l.period_no
+            LEFT JOIN (SELECT period_no, max(code) AS code FROM trend_repo GROUP BY period_no) r ON t.period_no = r.period_no""",
+)
+def trends_round_trip(s: Standin) -> DataFrame:
+    tables_, folder = s.portfolio(), _written(s, "trends")
+    tables_.files, tables_.failures = s.trees(), None
+    result = analyze_trends(tables_, Options(include_archived=True, include_forks=True), SINCE, UNTIL, MONTHLY)
+    write_trends_report(folder, result.head, result.rows, result.repository_rows, result.errors)
+    frames = report_source.trend_frames(report_source.read_report(s.spark, folder))
+    go = frames["by_language"].where("language = 'Go'").select("period_no", F.col("code").alias("go_code"))
+    largest = frames["by_repo"].groupBy("period_no").agg(F.max("code").alias("largest"))
+    joined = frames["totals"].join(go, "period_no", "left").join(largest, "period_no", "left")
+    return joined.select("period_no", "period", "repos", "code", "go_code", "largest")
+
+
 @query(
     "number_labels",
     """SELECT o_orderkey, format('{:,}', o_totalprice::BIGINT * (CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END)) AS price_label,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,55 +36,115 @@ REPOSITORY = (
 _CATEGORY = "struct<repos bigint, code bigint, code_percent double>"
 HEALTH_SUMMARY = f"struct<active {_CATEGORY}, maintained {_CATEGORY}, abandoned {_CATEGORY}, failed {_CATEGORY}>"
 ERRORS = "array<struct<repository string, error string>>"
-REPORT = (
+HEAD = (
     "generated_at string, provider string, workspace string, organization string,"
     " filters struct<projects array<string>, repos array<string>, exclude array<string>>,"
-    f" repositories array<{REPOSITORY}>, totals {TOTALS}, by_language {LANGUAGES}, errors {ERRORS},"
-    f" ai_estimate {AI_ESTIMATE}, health_summary {HEALTH_SUMMARY},"
-    " since string, until string, `interval` string, periods array<string>,"
-    f" snapshots array<struct<period string, repositories array<{REPOSITORY}>, totals {TOTALS}, by_language {LANGUAGES}>>"
+    f" totals {TOTALS}, by_language {LANGUAGES}, ai_estimate {AI_ESTIMATE}, health_summary {HEALTH_SUMMARY},"
+    " since string, until string, `interval` string, periods array<string>"
 )
+SNAPSHOT = f"struct<period string, totals {TOTALS}, by_language {LANGUAGES}>"
+ERROR = "struct<repository string, error string>"
 
 
-def report_type(snapshots: Column) -> Column:
-    """A report with snapshots is about trends, any other is a standard one."""
-    return F.when(F.size(snapshots) > 0, F.lit("trends")).otherwise(F.lit("standard"))
+def _fields(struct: str) -> str:
+    return struct.removeprefix("struct<").removesuffix(">")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per report file, either kind, with its ``report_type``."""
-    reports = spark.read.schema(REPORT).option("multiLine", True).json(path)
-    return reports.withColumn("report_type", report_type(F.col("snapshots")))
+@dataclass
+class Report:
+    """One or more reports of a kind (``standard`` or ``trends``), as rows: none of the frames has a whole report in a row."""
+
+    kind: str
+    head: DataFrame
+    repositories: DataFrame  # of trends with ``period``
+    errors: DataFrame
+    snapshots: DataFrame | None = None
+
+
+# Documents: each a whole report.
 
 
 def parse_reports(texts: DataFrame) -> DataFrame:
-    """The same from a frame with the report text in ``value``; other columns are passed on."""
+    """Reports from a frame with the report text in ``value``: ``document`` as a VARIANT, which has no fixed type, with its ``report_type``.
+
+    A report with snapshots is about trends, any other is a standard one; a text that is no JSON is none. Other columns are passed on.
+    """
     kept = [c for c in texts.columns if c != "value"]
-    parsed = texts.select(*kept, F.from_json("value", f"struct<{REPORT}>").alias("_report")).select(*kept, "_report.*")
-    return parsed.withColumn("report_type", report_type(F.col("snapshots")))
+    snapshots = F.try_variant_get("document", "$.snapshots", "array<variant>")
+    kind = F.when(F.size(snapshots) > 0, F.lit("trends")).otherwise(F.lit("standard"))
+    parsed = texts.select(*kept, F.try_parse_json("value").alias("document")).filter(F.col("document").isNotNull())
+    return parsed.withColumn("report_type", kind)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files of one report each."""
+    return parse_reports(spark.read.option("wholetext", True).text(path))
+
+
+def _elements(documents: DataFrame, column: str, path: str, kind: str, *kept: Column) -> DataFrame:
+    """A row for each element of an array inside a document, as ``e`` of a type, with its ``place``; the document itself goes no further."""
+    found = F.try_variant_get(F.col(column).outer(), path, "variant")
+    exploded = documents.lateralJoin(documents.sparkSession.tvf.variant_explode(found))
+    return exploded.select(*kept, F.col("pos").alias("place"), F.try_variant_get("value", "$", kind).alias("e"))
+
+
+def _organization() -> Column:
+    return F.try_variant_get("document", "$.organization", "string").alias("organization")
 
 
 def report_repositories(reports: DataFrame) -> DataFrame:
     """Repository rows of standard reports."""
     standard = reports.filter(F.col("report_type") == "standard")
-    return standard.select("organization", F.inline("repositories"))
+    return _elements(standard, "document", "$.repositories", REPOSITORY, _organization()).select("organization", "e.*")
 
 
 def report_snapshots(reports: DataFrame) -> DataFrame:
     """Period rows of trends reports, numbered."""
     trends = reports.filter(F.col("report_type") == "trends")
-    return trends.select("organization", F.posexplode("snapshots").alias("_place", "s")).select(
-        "organization", (F.col("_place") + 1).alias("period_no"), "s.*"
+    return _elements(trends, "document", "$.snapshots", SNAPSHOT, _organization()).select(
+        "organization", (F.col("place") + 1).alias("period_no"), "e.*"
     )
 
 
-def report_frames(reports: DataFrame) -> dict[str, DataFrame]:
-    """Standard reports taken apart into the frames that report tables are made of.
+def of_documents(reports: DataFrame, kind: str) -> Report:
+    """All reports of a kind, taken apart."""
+    own = reports.filter(F.col("report_type") == kind)
+    head = own.select(F.try_variant_get("document", "$", f"struct<{HEAD}>").alias("h")).select("h.*")
+    errors = _elements(own, "document", "$.errors", ERROR).select("e.*")
+    if kind == "standard":
+        return Report(kind, head, report_repositories(own).drop("organization"), errors)
+    periods = _elements(own, "document", "$.snapshots", "variant").select((F.col("place") + 1).alias("period_no"), F.col("e").alias("snapshot"))
+    period = F.try_variant_get("snapshot", "$.period", "string").alias("period")
+    rows = _elements(periods, "snapshot", "$.repositories", REPOSITORY, F.col("period_no"), period).select("period_no", "period", "e.*")
+    return Report(kind, head, rows, errors, report_snapshots(own).drop("organization"))
+
+
+# Folders, as this package writes them.
+
+
+def read_report(spark: SparkSession, folder: str) -> Report:
+    """A report that was written as folders of JSON lines. One that has snapshots is about trends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshots")
+    trends = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def lines(name: str, fields: str) -> DataFrame:
+        return spark.read.schema(fields).json(f"{folder}/{name}")
+
+    numbered = "period_no int, period string, "
+    head, errors = lines("head", HEAD), lines("errors", _fields(ERROR))
+    rows = lines("repositories", (numbered if trends else "") + _fields(REPOSITORY))
+    if not trends:
+        return Report("standard", head, rows, errors)
+    return Report("trends", head, rows, errors, lines("snapshots", "period_no int, " + _fields(SNAPSHOT)))
+
+
+def report_frames(report: Report) -> dict[str, DataFrame]:
+    """A standard report taken apart into the frames that report tables are made of.
 
     The key of a repository is made of provider and URL as ever; several reports may be read at once.
     """
-    standard = reports.filter(F.col("report_type") == "standard")
-    rows = standard.select(F.inline("repositories")).withColumn("repo", repo_key(F.col("provider"), F.col("url")))
+    standard = report.head
+    rows = report.repositories.withColumn("repo", repo_key(F.col("provider"), F.col("url")))
     files = ["path", "changes", "additions", "deletions", "complexity", "hotspot"]
 
     def ranked(column: str) -> DataFrame:
@@ -131,26 +193,16 @@ def report_frames(reports: DataFrame) -> dict[str, DataFrame]:
         "scanned": rows.filter(F.col("churn").isNotNull()).select("repo", "churn.total_commits"),
         "top_files": ranked("churn.top_files"),
         "hotspots": ranked("churn.hotspots"),
-        "errors": standard.select(F.inline("errors")),
+        "errors": report.errors,
     }
 
 
-def trend_frames(reports: DataFrame) -> dict[str, DataFrame]:
-    """Trends reports taken apart: totals, language sums and repository sums per period."""
-    periods = report_snapshots(reports)
-    by_language = periods.select("period_no", "period", F.inline("by_language")).withColumnRenamed("name", "language")
-    repositories = periods.select("period_no", "period", F.explode("repositories").alias("r"))
+def trend_frames(report: Report) -> dict[str, DataFrame]:
+    """A trends report taken apart: totals, language sums and repository sums per period."""
+    rows, periods = report.repositories, report.snapshots
     measures = [F.col(f"totals.{m}").alias(m) for m in MEASURES]
     return {
         "totals": periods.select("period_no", "period", F.coalesce("totals.repos", F.lit(0)).alias("repos"), *measures),
-        "by_language": by_language,
-        "by_repo": repositories.select(
-            "period_no", "period", repo_key(F.col("r.provider"), F.col("r.url")).alias("repo"),
-            F.col("r.repository").alias("repository"), *[F.col(f"r.totals.{m}").alias(m) for m in MEASURES],
-        ),
+        "by_language": periods.select("period_no", "period", F.inline("by_language")).withColumnRenamed("name", "language"),
+        "by_repo": rows.select("period_no", "period", repo_key(F.col("provider"), F.col("url")).alias("repo"), "repository", *measures),
     }
-
-
-def read_repository_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Repository rows of a report that this package wrote as JSON lines."""
-    return spark.read.schema(REPOSITORY.removeprefix("struct<").removesuffix(">")).json(f"{folder}/repositories")

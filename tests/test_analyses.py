@@ -171,7 +171,7 @@ def test_tables_of_a_read_report_equal_those_of_the_analysis(spark, tmp_path):
     nested["repositories"] = [r.asDict(recursive=True) for r in result.rows.drop("repo").collect()]
     nested["errors"] = [r.asDict() for r in result.errors.drop("repo").collect()]
     (tmp_path / "report.json").write_text(json.dumps(nested))
-    read = report_tables(report_source.report_frames(report_source.read_reports(spark, str(tmp_path / "report.json"))))
+    read = report_tables(report_source.report_frames(report_source.of_documents(report_source.read_reports(spark, str(tmp_path / "report.json")), "standard")))
     direct = result.tables()
     assert set(read) == set(direct)
     for name, table in direct.items():
