@@ -7,8 +7,10 @@ visited yet of any tree, by the sum of squared distances to the splits on its wa
 How many are enough depends on the vectors: some of the sample are searched in the rest by brute force, and so many leaves
 are visited as find ``RECALL`` of their true neighbours. (Vectors without any structure need about half of all leaves.)
 
-Spark joins blocks of neighbouring leaves with the queries that ask for leaves in them; a matrix product gives cosines in
-double precision, and the best of each block are merged. A block with very many vectors is dealt to several tasks by salt.
+Spark joins blocks of neighbouring leaves with the queries that ask for leaves in them; a matrix product gives cosines whose last bits depend on
+the shape of the block, so the best of each block are kept with all that come within ``MARGIN`` of them. Of these few the vectors are
+fetched by id and their cosines computed once more, component by component in order, which alone decides scores, ranks and ties. Of equal vectors in a block
+only those with the smallest ids go on. A block with very many vectors is dealt to several tasks by salt.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.session import stage
@@ -33,6 +35,8 @@ RECALL, TRIALS = 0.96, 100
 BLOCK = 128
 #: Vectors of a block that one task takes at a time.
 PART = 16_000
+#: More than the rounding of a cosine.
+MARGIN = 1e-9
 
 
 @dataclass
@@ -185,7 +189,7 @@ def _asked(forest):
 
 
 def _best(top: int):
-    """The nearest vectors of the visited leaves of a block (or part of it) to each query."""
+    """The nearest vectors of the visited leaves of a block (or part of it) to each query, with all that are as near but for rounding."""
 
     def run(key, asked: pa.Table, placed: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -193,6 +197,8 @@ def _best(top: int):
             queries, ids = asked.column("query_id").to_numpy(), placed.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, leaf, vectors = ids[order], placed.column("leaf").to_numpy()[order], _vectors(placed.column("embedding"))[order]
+            few = _first_copies(vectors, top + 1)  # one may be the query itself
+            ids, leaf, vectors = ids[few], leaf[few], vectors[few]
             size = np.linalg.norm(vectors, axis=1)
             points = _vectors(asked.column("embedding"))
             bits = np.unpackbits(np.frombuffer(b"".join(asked.column("leaves").to_pylist()), np.uint8).reshape(len(queries), -1), axis=1)
@@ -201,17 +207,36 @@ def _best(top: int):
                 some = points[mine]
                 cosine = (some @ vectors.T) / np.linalg.norm(some, axis=1)[:, None] / size
                 cosine[(bits[mine][:, leaf] == 0) | (queries[mine, None] == ids)] = -np.inf
-                best = np.argsort(-cosine, axis=1, kind="stable")[:, :top]
-                score = np.take_along_axis(cosine, best, 1)
-                keep = np.isfinite(score)
-                out["query_id"].append(np.repeat(queries[mine], keep.sum(1)))
-                out["vec_id"].append(ids[best][keep])
-                out["score"].append(score[keep])
+                least = -np.partition(-cosine, min(top, cosine.shape[1]) - 1, axis=1)[:, min(top, cosine.shape[1]) - 1]
+                row, column = np.nonzero(np.isfinite(cosine) & (cosine >= least[:, None] - MARGIN))
+                out["query_id"].append(queries[mine][row])
+                out["vec_id"].append(ids[column])
+                out["score"].append(cosine[row, column])
         return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.float64() if k == "score" else pa.int64()) for k, v in out.items()})
 
     return run
 
 
+def _first_copies(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Places of the first ``count`` of each set of equal vectors, ascending."""
+    bits = np.ascontiguousarray(vectors + 0.0)  # -0.0 is 0.0
+    rows = bits.view(np.dtype((np.void, bits.dtype.itemsize * bits.shape[1]))).ravel()
+    _, number = np.unique(rows, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(number[order])) + 1]
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[place < count])
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays, summed in the order of components, so equal vectors have equal cosines wherever they are."""
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda v, w: v.cast("double") * w.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the nearest vectors to each query, but itself; ties go to the smaller id.
 
@@ -246,8 +271,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     asked, placed = asked.drop("salts"), placed.drop("salts")
     best = asked.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(_best(top), "query_id long, vec_id long, score double")
     merged = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    least = F.min(F.when(F.col("_place") <= top, F.col("score"))).over(Window.partitionBy("query_id"))
+    few = merged.withColumn("_place", place).withColumn("_least", least).where(F.col("score") >= F.col("_least") - MARGIN).select("query_id", "vec_id")
+    few = few.join(usable.withColumnRenamed("embedding", "_found"), "vec_id").join(wanted.toDF("query_id", "_asked"), "query_id")
+    exact = few.groupBy("query_id", "vec_id").agg(F.max(_cosine(F.col("_asked"), F.col("_found"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -257,4 +287,11 @@ def _usable(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite & F.exists("embedding", lambda x: x != 0))
+    rows = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite & F.exists("embedding", lambda x: x != 0))
+    if rows.schema["embedding"].dataType.simpleString() == "array<float>":
+        return rows
+    # Squares of very large or small doubles are out of range; powers of two take them back without rounding.
+    largest = F.array_max(F.transform("embedding", F.abs))
+    half = F.floor(F.log2(largest) / 2)
+    scaled = F.transform("embedding", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -half))
+    return rows.withColumn("embedding", F.when(largest.between(1e-100, 1e100), F.col("embedding")).otherwise(scaled))

@@ -1,8 +1,10 @@
 """Nearest vectors, conversations, components and the pipeline."""
 
+import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import chats, neighbours
 from tallyforge.llm.components import components
@@ -45,6 +47,39 @@ def test_nearest_vectors_against_brute_force(spark):
     assert {r.query_id for r in found} == set(range(0, 600, 50)) and hits >= 0.9 * total
 
 
+def plain_cosine(a, b):
+    def dot(x, y):
+        total = 0.0
+        for v, w in zip(x, y):
+            total += float(v) * float(w)
+        return total
+
+    return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+
+@pytest.mark.parametrize("part", [16_000, 70])
+def test_ties_go_to_smaller_ids_whatever_the_blocks(spark, monkeypatch, part):
+    monkeypatch.setattr(neighbours, "PART", part)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(500, 24)).astype(np.float32)
+    points[40:440] = points[40]
+    points[450:] = points[445] * 3  # parallel, with another length
+    table = spark.createDataFrame([(i, p.tolist(), 0, 0, 0.0) for i, p in enumerate(points)], VECTORS)
+    found = neighbours.nearest(table, table.where("vec_id % 50 = 0")).collect()
+    for q in range(50, 440, 50):
+        own = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)]
+        assert own == [(i, plain_cosine(points[q], points[i])) for i in [i for i in range(40, 60) if i != q][:5]]
+    assert all(r.score == plain_cosine(points[r.query_id], points[r.vec_id]) for r in found)
+
+
+def test_components_out_of_the_range_of_squares(spark):
+    vectors = [(0, [1e200, 0.0]), (1, [3e-200, 3e-200]), (2, [0.0, 5e-324]), (3, [-1e308, 1e300]), (4, [2.0, 1e-3])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, table.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [4, 1, 2, 3]
+    assert np.allclose([r.score for r in found], [1 / math.sqrt(1 + 2.5e-7), math.sqrt(0.5), 0.0, -1.0])
+
+
 def test_nearest_vectors_of_tiny_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<double>")
     found = neighbours.nearest(few, few.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
