@@ -78,7 +78,7 @@ def parse_reports(texts: DataFrame) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """The same from files of one report each."""
-    return parse_reports(spark.read.option("wholetext", True).text(path))
+    return parse_reports(spark.read.text(path, wholetext=True))
 
 
 def _elements(documents: DataFrame, column: str, path: str, kind: str, *kept: Column) -> DataFrame:
