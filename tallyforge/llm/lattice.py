@@ -2,10 +2,12 @@
 
 The subword model takes the pieces of an existing vocabulary and their scores. A word is a lattice: every way to cut it
 into pieces (bytes where no piece fits) is a path, and the forward recursion in log space adds up the probabilities of all
-paths. The scores of the vocabulary, ranks here, give first probabilities (one over the rank); one pass of expected
-counts over all training words, with these as weights of the paths, gives those that are used. Training words themselves
-are one more arc each, with their own frequency; its share is one less the share of words seen once (Good and Turing).
-As no piece goes beyond a word, the probability of a document is the product over its words and its end.
+paths. The scores of the vocabulary, ranks here, weight the pieces (one over the rank, made to add up to one): that is ``score``. As no piece goes beyond a word, the
+probability of a document is the product over its words and its end; how often a word is the last comes from training documents.
+
+``adapted_score`` is the same recursion with other weights: expected counts of the pieces, in one pass over all training words under the
+weights above. In it training words themselves are one more arc each, with their own frequency; its share is one less the share of words seen once
+(Good and Turing).
 
 Words meet in Spark by their hash. Frequent words, a bounded list, are scored where the documents are read; all other
 words of a document ask the range of the lexicon that has them, and the answers are summed by document.
@@ -29,7 +31,7 @@ from tallyforge.session import stage
 ADDED = 0.1
 #: Words held by a task before it sends them on.
 HELD = 1_500_000
-#: Words that are scored where documents are read; bounds what is broadcast (24 bytes each).
+#: Words that are scored where documents are read; bounds what is broadcast (40 bytes each).
 FREQUENT = 1 << 17
 #: Weight of the first piece probabilities, in pieces, against the expected counts.
 PRIOR = 1_000.0
@@ -104,8 +106,8 @@ class Pieces:
         n, into = self.arcs(word)
         return self.forward(n, into)[n]
 
-    def expect(self, word: str, weight: float, counts: np.ndarray) -> None:
-        """Add the expected numbers of the pieces of a word that occurs ``weight`` times."""
+    def expect(self, word: str, weight: float, counts: np.ndarray) -> float:
+        """Add the expected numbers of the pieces of a word that occurs ``weight`` times; returns its marginal."""
         n, into = self.arcs(word)
         at = self.forward(n, into)
         back = [-math.inf] * (n + 1)
@@ -123,6 +125,7 @@ class Pieces:
                 if old < here:
                     old, here = here, old
                 back[a] = old + math.log1p(math.exp(here - old))
+        return total
 
 
 _pieces: dict[str, Pieces] = {}
@@ -153,7 +156,7 @@ def _words_out(parts: int):
         where, blobs = [], []
         for part, a, b in exchange.cut(key, parts):
             where.append(part)
-            blobs.append(_lexicon_bytes(key[a:b], count[a:b], size[a:b], _gather(body, start[a:b], size[a:b])))
+            blobs.append(_lexicon_bytes(key[a:b], count[a:b], np.zeros(0), size[a:b], _gather(body, start[a:b], size[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +190,19 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)].tobytes()
 
 
-def _lexicon_bytes(key: np.ndarray, count: np.ndarray, size: np.ndarray, body: bytes) -> bytes:
+def _lexicon_bytes(key: np.ndarray, count: np.ndarray, value: np.ndarray, size: np.ndarray, body: bytes) -> bytes:
+    """Words with their counts, and their marginals once these are known."""
     return b"".join(
-        [np.array([len(key)], "<u4").tobytes(), exchange.planes(key), exchange.planes(count.astype(np.int64)), exchange.planes(size.astype("<u4")), body]
+        [np.array([len(key), len(value)], "<u4").tobytes(), exchange.planes(key), exchange.planes(count.astype(np.int64)), value.tobytes(), exchange.planes(size.astype("<u4")), body]
     )
 
 
-def _lexicon_from(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data[:4], "<u4")[0])
-    cuts = np.cumsum([4, 8 * n, 8 * n, 4 * n])
-    key, count, size = (exchange.from_planes(data[a:b], k) for a, b, k in zip(cuts[:-1], cuts[1:], ("u8", "i8", "u4")))
-    return key, count, size.astype(np.int64), np.frombuffer(data[cuts[-1] :], np.uint8)
+def _lexicon_from(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, valued = np.frombuffer(data[:8], "<u4").tolist()
+    cuts = np.cumsum([8, 8 * n, 8 * n, 8 * valued, 4 * n])
+    parts = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    key, count, size = (exchange.from_planes(part, kind) for part, kind in zip((parts[0], parts[1], parts[3]), ("u8", "i8", "u4")))
+    return key, count, np.frombuffer(parts[2], "f8"), size.astype(np.int64), np.frombuffer(data[cuts[-1] :], np.uint8)
 
 
 def _text(body: np.ndarray, start: int, size: int) -> str:
@@ -209,12 +214,11 @@ LEXICON = "part int, words binary, tokens long, distinct long, once long, levels
 
 
 def _lexicon(path: str):
-    """Words of a range with their counts, sums over them, and expected counts of pieces."""
+    """Words of a range with their counts and marginals, sums over them, and expected counts of pieces."""
 
     def run(table: pa.Table) -> pa.Table:
         found = [_lexicon_from(b.as_py()) for b in table.column("blob")]
-        key, count, size = (np.concatenate([f[i] for f in found]) for i in range(3))
-        body = np.concatenate([f[3] for f in found])
+        key, count, size, body = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3, 4))
         start = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
         at, _ = exchange.runs(key[order])
@@ -222,13 +226,15 @@ def _lexicon(path: str):
         key, size, start = key[lead], size[lead], start[lead]
         own, expected = pieces(path), np.zeros(pieces(path).size)
         own.use(own.first)
-        for i in np.flatnonzero((count > 0) & (key != _END)):
-            own.expect(_text(body, start[i], size[i]), float(count[i]), expected)
+        value = np.zeros(len(key))
+        for i in np.flatnonzero(key != _END):
+            word = _text(body, start[i], size[i])
+            value[i] = own.expect(word, float(count[i]), expected) if count[i] else own.marginal(word)
         levels = np.bincount(np.frexp(count.astype(float))[1], minlength=64)
         return pa.table(
             {
                 "part": table.column("part").slice(0, 1).cast(pa.int32()),
-                "words": pa.array([_lexicon_bytes(key, count, size, _gather(body, start, size))], pa.binary()),
+                "words": pa.array([_lexicon_bytes(key, count, value, size, _gather(body, start, size))], pa.binary()),
                 "tokens": pa.array([int(count.sum())]), "distinct": pa.array([int((count > 0).sum())]),
                 "once": pa.array([int((count == 1).sum())]),
                 "levels": pa.array([levels.tolist()], pa.list_(pa.int64())), "expected": pa.array([expected.tobytes()], pa.binary()),
@@ -244,18 +250,18 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _valued(path: str, model):
-    """(hash, count, marginal) of the words of a range, packed."""
+    """(hash, count, marginal, marginal under the expected counts) of the words of a range, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (share, least) = pieces(path), model.value
         own.use(share)
         for batch in batches:
             for part, blob in zip(batch.column(0), batch.column(1)):
-                key, count, size, body = _lexicon_from(blob.as_py())
+                key, count, value, size, body = _lexicon_from(blob.as_py())
                 start = np.cumsum(size) - size
-                value = np.array([0.0 if k == _END else own.marginal(_text(body, s, n)) for k, s, n in zip(key, start, size)])
+                adapted = np.array([0.0 if k == _END else own.marginal(_text(body, s, n)) for k, s, n in zip(key, start, size)], float)
                 top = count >= least
-                packed = [b"".join([k.tobytes(), c.tobytes(), v.tobytes()]) for k, c, v in ((key, count, value), (key[top], count[top], value[top]))]
+                packed = [b"".join(column[chosen].tobytes() for column in (key, count, value, adapted)) for chosen in (slice(None), top)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.as_py()], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["part", "words", "top"]
                 )
@@ -263,9 +269,12 @@ def _valued(path: str, model):
     return run
 
 
-def _triples(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data) // 24
-    return np.frombuffer(data[: 8 * n], "u8"), np.frombuffer(data[8 * n : 16 * n], "i8"), np.frombuffer(data[16 * n :], "f8")
+def _values(data: bytes) -> list[np.ndarray]:
+    n = len(data) // 32
+    return [np.frombuffer(data[8 * n * i : 8 * n * (i + 1)], kind) for i, kind in enumerate(_KINDS)]
+
+
+_KINDS = ("u8", "i8", "f8", "f8")
 
 
 class Model:
@@ -279,7 +288,11 @@ class Model:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + ADDED) / (self.tokens + ADDED * (self.distinct + 1)))
 
-    def score(self, count: np.ndarray, marginal: np.ndarray) -> np.ndarray:
+    def score(self, marginal: np.ndarray) -> np.ndarray:
+        """log10 of the probability of words over all their segmentations, none being the end."""
+        return marginal / math.log(10) + math.log10(max(1 - self.end, 1e-300))
+
+    def adapted(self, count: np.ndarray, marginal: np.ndarray) -> np.ndarray:
         """log10 of the probability of words, over the arc of the word itself and all paths of pieces."""
         with np.errstate(divide="ignore"):
             whole = np.log(self.words * count / max(self.tokens, 1))
@@ -290,9 +303,9 @@ class Model:
         return math.log10(max(self.end, 1e-300))
 
 
-ASKED = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, blob binary"
-_ASKED = ["part", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "blob"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+ASKED = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, adapted double, blob binary"
+_ASKED = ["part", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "adapted", "blob"]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
 
 
 def _scored(parts: int, model: Model, top):
@@ -311,7 +324,7 @@ def _scored(parts: int, model: Model, top):
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.nulls(len(where), t) for t in _TYPES[1:-1]), pa.array(blobs, pa.binary())], _ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, base, score = top.value
+        keys, counts, base, score, adapted = top.value
         held, size = [], 0
         for batch in batches:
             row, doc, out, texts = batch.columns
@@ -323,12 +336,12 @@ def _scored(parts: int, model: Model, top):
                 at[at == len(keys)] = 0
                 hit = keys[at] == words.hash if len(keys) else np.zeros(len(text), bool)
                 own, place = text[hit], at[hit]
-                sums = [np.bincount(own, weights=w[place], minlength=b - a) for w in (base, score, counts > 0)]
+                sums = [np.bincount(own, weights=w[place], minlength=b - a) for w in (base, score, adapted, counts > 0)]
                 number = np.diff(words.first) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row[a:b] % parts, pa.int32()), pa.array(row[a:b]), doc.slice(a, b - a), out.slice(a, b - a), pa.array(number, pa.int64()),
-                        pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.nulls(b - a, pa.binary()),
+                        pa.array(sums[3].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.nulls(b - a, pa.binary()),
                     ],
                     _ASKED,
                 )
@@ -347,7 +360,7 @@ def _scored(parts: int, model: Model, top):
     return run
 
 
-ANSWERED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+ANSWERED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, adapted double"
 
 
 def _answered(model: Model):
@@ -367,11 +380,11 @@ def _answered(model: Model):
         if not questions[0]:
             return told
         word, row, times = (np.concatenate(q) for q in questions)
-        keys, counts, marginal = _triples(lexicon.column("words")[0].as_py())
+        keys, counts, marginal, adapted = _values(lexicon.column("words")[0].as_py())
         at = np.searchsorted(keys, word)  # every word of a document is in the lexicon
         order = np.argsort(row, kind="stable")
         begin, _ = exchange.runs(row[order])
-        sums = [np.add.reduceat((times * v[at])[order], begin) for v in (counts > 0, model.base(counts), model.score(counts, marginal))]
+        sums = [np.add.reduceat((times * v[at])[order], begin) for v in (counts > 0, model.base(counts), model.score(marginal), model.adapted(counts, adapted))]
         n = len(begin)
         return pa.concat_tables(
             [
@@ -379,7 +392,7 @@ def _answered(model: Model):
                 pa.table(
                     {
                         "row": row[order][begin], "doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()),
-                        "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
+                        "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2], "adapted": sums[3],
                     }
                 ),
             ]
@@ -389,7 +402,7 @@ def _answered(model: Model):
 
 
 def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; logarithms to base 10.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, adapted_score`` of every row; logarithms to base 10.
 
     Learns from rows whose crc32 of the id as text is not 0 modulo 10; rows without an id are held out. Tokens are words
     with A-Z as a-z, and one end for every row, also for null and empty texts. Each row is scored by itself: repeated rows
@@ -418,15 +431,15 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     expected = own.first * PRIOR + sum((np.frombuffer(r[0]) for r in slots.collect()), np.zeros(own.size))  # SLOTS rows
     share = spark.sparkContext.broadcast((expected / expected.sum(), 1 << (least - 1)))
     valued = stage(lexicon.select("part", "words").mapInArrow(_valued(path, share), "part int, words binary, top binary"), "word-values")
-    found = [_triples(r[0]) for r in valued.select("top").collect()]  # FREQUENT words at most
-    keys, counts, marginal = (np.concatenate([f[i] for f in found]) if found else np.empty(0, k) for i, k in enumerate(("u8", "i8", "f8")))
-    order = np.argsort(keys)
-    keys, counts, marginal = keys[order], counts[order], marginal[order]
+    found = [_values(r[0]) for r in valued.select("top").collect()]  # FREQUENT words at most
+    frequent = [np.concatenate([f[i] for f in found]) if found else np.empty(0, kind) for i, kind in enumerate(_KINDS)]
+    order = np.argsort(frequent[0])
+    keys, counts, marginal, adapted = (column[order] for column in frequent)
     ends = int(counts[keys == _END].sum())
     if not ends and sums[0]:
         ends = rows.where("NOT held_out").count()
     model = Model(sums[0] or 0, sums[1] or 0, sums[2] or 0, ends)
-    top = spark.sparkContext.broadcast((keys, counts, model.base(counts), model.score(counts, marginal)))
+    top = spark.sparkContext.broadcast((keys, counts, model.base(counts), model.score(marginal), model.adapted(counts, adapted)))
     asked = rows.mapInArrow(_scored(parts, model, top), ASKED)
     answers = asked.groupBy("part").cogroup(valued.select("part", "words").groupBy("part")).applyInArrow(_answered(model), ANSWERED)
     end_base = float(model.base(np.array([ends]))[0])
@@ -434,4 +447,5 @@ def score(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         (F.sum("known") + int(ends > 0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.sum("base") + end_base).alias("base_score"), (F.sum("score") + model.end_score()).alias("score"),
+        (F.sum("adapted") + model.end_score()).alias("adapted_score"),
     ).drop("row")

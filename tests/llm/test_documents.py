@@ -177,7 +177,24 @@ def test_scores_equal_brute_force(spark):
         base = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in ws)
         expected[i, not learn(i), len(ws), sum(count[w] > 0 for w in ws), total, round(base, 4)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == expected
-    assert all(r.score <= 0 and math.isfinite(r.score) for r in found)
+    # Both scores from a plain pass over the words; marginals and expected counts of one word are compared with all its segmentations below.
+    own = lattice.Pieces(vocabulary("piece_bpe_32k.model"))
+    low = {w: w.encode().decode("utf-8", "replace") for _, ws in tokens for w in ws if w is not None}
+    first = {w: own.marginal(x) for w, x in low.items()}
+    expected = own.first * lattice.PRIOR
+    for w in low:
+        if count[w]:
+            own.expect(low[w], count[w], expected)
+    own.use(expected / expected.sum())
+    adapted = {w: own.marginal(x) for w, x in low.items()}
+    end = count[None] / total
+    words_share = 1 - sum(n == 1 for n in count.values()) / total
+    plain = Counter()
+    for i, ws in tokens:
+        score = sum(first[w] + math.log(1 - end) for w in ws[:-1]) + math.log(end)
+        other = sum(math.log(words_share * count[w] / total + (1 - words_share) * (1 - end) * math.exp(adapted[w])) for w in ws[:-1]) + math.log(end)
+        plain[i, len(ws), round(score / math.log(10), 4), round(other / math.log(10), 4)] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 4), round(r.adapted_score, 4)) for r in found) == plain
 
 
 def test_lattice_adds_up_all_segmentations():
