@@ -1,9 +1,9 @@
 """Fingerprints of texts: all hashes of five-word shingles below a fixed share of the hash range.
 
-What is kept grows with the text, so the fingerprint of a text holds those of its parts: fingerprints of parts merge by union,
-and how much of one lies in another estimates containment also between texts of very different length. Copies have
-equal fingerprints. A text whose shingles all lie above the threshold keeps its smallest hash, so only texts without
-words have an empty fingerprint. All of it is Spark functions.
+What is kept grows with the text, and how much of one fingerprint lies in another estimates containment also between texts of very
+different length. Copies have equal fingerprints. A text whose shingles all lie above the threshold keeps its smallest hash, so only texts without
+words have an empty fingerprint. Fingerprints merge (:func:`merge`): that of all shingles of two texts is made of theirs alone. All of
+it is Spark functions.
 """
 
 from __future__ import annotations
@@ -42,6 +42,14 @@ def sketch(hashes: Column) -> Column:
     return F.element_at(F.transform(F.array(low), lambda s: F.when(F.size(s) > 0, s).otherwise(least)), 1)
 
 
+def merge(a: Column, b: Column) -> Column:
+    """The fingerprint of the shingles of two texts together, from their fingerprints; exact, in any order and any grouping.
+
+    A hash above the threshold stands for a text that has none below it, so it goes where there is one below, and else the smallest stays.
+    """
+    return sketch(F.array_distinct(F.concat(a, b)))
+
+
 def as_text(fingerprint: Column) -> Column:
     """A fingerprint as hexadecimal text, 16 digits a hash."""
     return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")), "")

@@ -115,6 +115,48 @@ def test_fingerprints_equal_brute_force(spark):
         assert n < 500 or abs(len(r.kept) * fingerprints.SHARE / n - 1) < 0.25
 
 
+def _plain_sketch(text):
+    """Spark's hash of a text or of hashes, from 42 on, over the runs of five words; those below the threshold, or the smallest."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in words(text)]
+    hashes = set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        hashes.add(signed(h))
+    return sorted(h for h in hashes if h < fingerprints.THRESHOLD) or sorted(hashes)[:1]
+
+
+def test_sketches_equal_plain_hashes_and_merge(spark):
+    found = fingerprints.fingerprints(table(spark)).withColumns(
+        {"near": fingerprints.likeness(fingerprints.F.col("kept"), fingerprints.F.col("edited_kept")), "inside": fingerprints.containment(fingerprints.F.col("kept"), fingerprints.F.col("edited_kept")),
+         "near_next": fingerprints.likeness(fingerprints.F.col("kept"), fingerprints.F.col("next_kept"))}
+    ).collect()
+    docs = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is not None, x[0], x[1]))
+    following = {}
+    for k, (i, text) in enumerate(docs):
+        following.setdefault((i, len(text)), []).append((text, docs[(k + 1) % len(docs)][1]))
+    for r in found:
+        text, after = next(x for x in following[r.doc_id, r.n_chars] if _plain_sketch(x[0]) == list(r.kept) and _plain_sketch(x[1]) == list(r.next_kept))
+        a, b, c = set(r.kept), set(_plain_sketch(r.edited)), set(_plain_sketch(after))
+        assert list(r.edited_kept) == sorted(b) and b == set(_plain_sketch(r.edited))
+        assert r.near == (len(a & b) / len(a | b) if a | b else 1) and r.inside == (len(a & b) / len(a) if a else 1)
+        assert r.near_next == (len(a & c) / len(a | c) if a | c else 1)
+    # The fingerprint of two texts from theirs, also of texts too short to have a hash below the threshold.
+    rng = np.random.default_rng(6)
+    pairs = [tuple(" ".join(rng.choice(["a", "b", "c", "d"], int(n))) for n in rng.integers(0, 14, 2)) for _ in range(300)]
+    F = fingerprints.F
+    made = lambda c: fingerprints.sketch(fingerprints.shingle_hashes(F.col(c)))
+    both = fingerprints.sketch(F.array_distinct(F.concat(fingerprints.shingle_hashes(F.col("a")), fingerprints.shingle_hashes(F.col("b")))))
+    out = spark.createDataFrame(pairs, "a string, b string").select(made("a").alias("x"), made("b").alias("y"), both.alias("z"))
+    out = out.select("x", "y", "z", fingerprints.merge(F.col("x"), F.col("y")).alias("m"), fingerprints.merge(F.col("y"), F.col("x")).alias("n")).collect()
+    assert all(r.m == r.z == r.n for r in out)
+    assert sum(bool(r.x) and r.x[0] >= fingerprints.THRESHOLD for r in out) > 50
+
+
 def _base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
