@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import views_sql
 from checks.standin import NOW, Standin
+
 from checks.views_sql import sql
 from tallyforge.functions import text as T
 from tallyforge.functions.calendar import MONTHLY, WEEKLY
@@ -333,6 +335,17 @@ def file_rules(s: Standin) -> DataFrame:
     return codestats.file_stats(s.ruled_files()).select("repo", "path", "status")
 
 
+@query(
+    "language_candidates",
+    f"""SELECT repo, CASE WHEN regexp_matches(text, '{views_sql._MARKED}') THEN NULL ELSE first(language ORDER BY total DESC, place) END AS language
+       FROM (SELECT repo, a.text, language, place, sum(CASE WHEN contains(a.text, sign) THEN weight ELSE 0 END)
+                    + max(CASE WHEN language = 'Prolog' AND starts_with(a.text, '#!/usr/bin/env swipl') THEN 1000000 ELSE 0 END) AS total
+             FROM ambiguous a JOIN signs s ON a.extension = s.extension GROUP BY ALL) GROUP BY repo, text""",
+)
+def language_candidates(s: Standin) -> DataFrame:
+    return codestats.file_stats(s.ambiguous_files()).select("repo", "language")
+
+
 @query("line_stats", "SELECT repo, path, language, lines, code, comments, blanks, complexity FROM source_counts")
 def line_stats(s: Standin) -> DataFrame:
     return codestats.file_stats(s.documents()).filter(F.col("status") == codestats.COUNTED).drop("status")

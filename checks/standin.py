@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from checks.licenses import TEXTS
 from checks.ruled_paths import CASES
+from checks.snippets import CASES as SNIPPETS
 from tallyforge.plans.analyze import Portfolio
 
 NOW = "2001-08-31 10:00:00"  # a 31st, so that six months before runs over into March
@@ -196,6 +197,16 @@ class Standin:
             F.concat(F.lit("doc"), text("doc_id")).alias("repo"), "path", F.concat("text", "added").cast("binary").alias("content")
         )
 
+    def ambiguous_files(self) -> DataFrame:
+        """Every document with a text after it that speaks for one of several languages; a few are scripts."""
+        cases = self.spark.createDataFrame([(i, *case) for i, case in enumerate(SNIPPETS)], "kind long, extension string, added string")
+        docs = self.table("documents").select("doc_id", "text", (F.col("doc_id") % len(SNIPPETS)).alias("kind"))
+        script = F.when(F.col("doc_id") % 50 == 0, "#!/usr/bin/env swipl\n").otherwise("")
+        return docs.join(F.broadcast(cases), "kind").select(
+            F.concat(F.lit("doc"), text("doc_id")).alias("repo"), F.concat(F.lit("src/a"), "extension").alias("path"),
+            F.concat(script, "text", F.lit("\n"), "added").cast("binary").alias("content"),
+        )
+
     def license_candidates(self) -> DataFrame:
         """License files, and every document as the license file of a repository of its own."""
         return self.license_files().unionByName(self.document_files())

@@ -6,6 +6,8 @@ import re
 
 from checks.licenses import TEXTS
 from checks.ruled_paths import CASES
+from checks.snippets import CASES as SNIPPETS
+from tallyforge.rules.languages import LANGUAGES
 
 _MATCHED = """
         SELECT f.id AS repo, c.id AS spdx, count(*)::DOUBLE / (f.n + c.n - count(*)) AS confidence
@@ -240,6 +242,12 @@ VIEWS: dict[str, str] = {
         SELECT 'doc' || doc_id AS repo, path, CASE WHEN status <> 'filtered' AND regexp_matches(text, '{_MARKED}') THEN 'filtered' ELSE status END AS status
         FROM documents JOIN (VALUES {", ".join(f"({i}, {_literal(path)}, {_literal(status) if status else 'NULL'})" for i, (path, _, status) in enumerate(CASES))}) t(kind, path, status)
              ON doc_id % {len(CASES)} = kind WHERE status IS NOT NULL""",
+    "ambiguous": f"""
+        SELECT 'doc' || doc_id AS repo, extension, CASE WHEN doc_id % 50 = 0 THEN '#!/usr/bin/env swipl' || chr(10) ELSE '' END || text || chr(10) || added AS text
+        FROM documents JOIN (VALUES {", ".join(f"({i}, {_literal(e)}, {_literal(t)})" for i, (e, t) in enumerate(SNIPPETS))}) t(kind, extension, added) ON doc_id % {len(SNIPPETS)} = kind""",
+    "signs": f"""
+        SELECT * FROM (VALUES {", ".join(f"({_literal(key)}, {_literal(lang.name)}, {place}, {_literal(sign)}, {weight})" for place, lang in enumerate(LANGUAGES) for key in lang.keys for sign, weight in [*lang.signs.items(), ("", 0)])})
+             s(extension, language, place, sign, weight)""",
     "notices": """
         SELECT * FROM (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
                               ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),

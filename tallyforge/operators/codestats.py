@@ -103,6 +103,24 @@ def rule_key(path: Column, text: Column) -> Column:
     )
 
 
+def choose_language(candidates: Column, text: Column) -> Column:
+    """The candidate that a text speaks for; most files have but one.
+
+    A script goes to the language whose interpreter it names. Any other text goes to the language whose signs weigh most: each sign that occurs, however
+    often, adds its weight. The first candidate wins ties, so it is what a text without any sign is taken for.
+    """
+    interpreter = F.regexp_extract(text, _INTERPRETER, 1)
+
+    def weight(candidate: Column) -> Column:
+        named = F.when(F.array_contains(candidate["interpreters"], interpreter), F.lit(1_000_000)).otherwise(F.lit(0))
+        signs = F.transform(candidate["signs"], lambda s: F.when(F.contains(text, s["sign"]), s["weight"]).otherwise(F.lit(0)))
+        return F.aggregate(signs, named, lambda total, w: total + w)
+
+    weighed = F.transform(candidates, lambda c, i: F.struct((-weight(c)).alias("less"), i.alias("place"), c.alias("rule")))
+    first = F.try_element_at(candidates, F.lit(1))
+    return F.when(F.size(candidates) > 1, F.array_min(F.transform(weighed, lambda w: F.struct(w["less"], w["place"], w["rule"])))["rule"]).otherwise(first)
+
+
 def visible_files(files: DataFrame) -> DataFrame:
     """Files outside pruned directories; tests the path only, before any content is touched."""
     return files.filter(~in_pruned_directory(F.col("path")))
@@ -119,13 +137,7 @@ def file_stats(files: DataFrame, *, minified_line_length: int = P.MINIFIED_LINE_
     passed = [c for c in files.columns if c != "content"]
     text = F.make_valid_utf8(F.col("content").cast("string"))
     keyed = visible_files(files).withColumn("_text", text).withColumn("_key", rule_key(F.col("path"), F.col("_text")))
-    chosen = F.when(
-        F.size("candidates") > 1,
-        F.try_element_at(
-            F.filter("candidates", lambda c: c["keyword"].isNull() | F.regexp_like(F.col("_text"), c["keyword"])),
-            F.lit(1),
-        ),
-    ).otherwise(F.try_element_at(F.col("candidates"), F.lit(1)))
+    chosen = choose_language(F.col("candidates"), F.col("_text"))
     status = (
         F.when(is_vendored(F.col("path")) | is_generated(F.col("path"), F.col("_text"), minified_line_length), F.lit(FILTERED))
         .when(F.col("_rule").isNull(), F.lit(UNKNOWN))

@@ -31,12 +31,12 @@ class Syntax:
 
 @dataclass(frozen=True)
 class Language:
-    """One language; ``keyword`` picks it among several that share a file extension."""
+    """One language; ``signs`` speak for it among several that share a file extension."""
 
     name: str
     syntax: Syntax
     keys: tuple[str, ...]
-    keyword: str | None = None
+    signs: dict[str, int] = field(default_factory=dict)
     interpreters: tuple[str, ...] = field(default=())
 
 
@@ -91,16 +91,29 @@ _NIX = Syntax(("#",), ("/*", "*/"), '"', branches=("if ", "else ", "|| ", "&& ",
 _VIM = Syntax(('"',), None, "'", branches=("for ", "while ", "if ", "elseif ", "else "))
 _PHP_LIKE = Syntax(("//", "#"), ("/*", "*/"), "\"'")
 _TEX = Syntax(("%",))
+_PROLOG = Syntax(("%",), ("/*", "*/"), "\"'", branches=("-> ", "; "))
+
+# Texts that speak for a language, with their weights, where an extension leads to several. A documented choice of this package.
+_CPP_SIGNS = {"class ": 1, "namespace ": 2, "template<": 2, "template <": 2, "using ": 1, "public:": 1, "private:": 1, "std::": 2, "virtual ": 1, "constexpr ": 1, "#include <iostream>": 2}
+_OBJECTIVE_SIGNS = {"#import": 2, "@interface": 3, "@implementation": 3, "@end": 1, "@property": 2, "@protocol": 2, "NSString": 1}
+_MATLAB_SIGNS = {"function ": 1, "end\n": 1, "disp(": 1, "zeros(": 1, "fprintf(": 1, "%%": 1}
+_PERL_SIGNS = {"use strict": 2, "my $": 2, "my @": 2, "sub ": 1, "@_": 1, "$_": 1, "=~": 1, "package ": 1}
+_PROLOG_SIGNS = {":- ": 3, ":-\n": 2, "?- ": 2, "\\+": 1, "atom(": 1, "assertz(": 2, "findall(": 2}
+_R_SIGNS = {"<- ": 2, "function(": 1, "library(": 2, "data.frame": 2, "c(": 1, "%>%": 2}
+_REBOL_SIGNS = {"REBOL [": 4, "Rebol [": 4, "func [": 2, "print [": 1, "either ": 1}
+_TYPESCRIPT_SIGNS = {"import ": 1, "export ": 1, "interface ": 1, ": string": 1, ": number": 1, "=> ": 1, "const ": 1}
+_TRANSLATION_SIGNS = {"<!DOCTYPE TS": 5, "<TS ": 3, "<context>": 2, "<translation": 2}
 
 # Languages and the file-name keys that lead to them. A key that starts with a dot is
-# an extension, any other a whole file name. Of several languages with one key, the one whose
-# keyword occurs is taken, else the one without keyword.
+# an extension, any other a whole file name. Of several languages with one key, a script goes to the one whose interpreter it names, any other
+# file to the one whose signs weigh most; the first listed wins ties.
 LANGUAGES: list[Language] = [
     Language("Go", _GO, (".go",)),
     Language("Python", _PY, (".py", ".pyw", ".pyi"), interpreters=("python",)),
     Language("JavaScript", _C_TICK, (".js", ".mjs", ".cjs"), interpreters=("node",)),
     Language("JSX", _C_TICK, (".jsx",)),
-    Language("TypeScript", _C_TICK, (".ts", ".tsx", ".mts", ".cts")),
+    Language("TypeScript", _C_TICK, (".ts", ".tsx", ".mts", ".cts"), _TYPESCRIPT_SIGNS),
+    Language("Qt Translation", _MARKUP, (".ts",), _TRANSLATION_SIGNS),
     Language("TypeScript Typings", _C_TICK, (".d.ts",)),
     Language("Java", _C, (".java",)),
     Language("Kotlin", _C, (".kt", ".kts")),
@@ -108,22 +121,24 @@ LANGUAGES: list[Language] = [
     Language("Groovy", _C, (".groovy", ".grt", "jenkinsfile")),
     Language("Gradle", _C, (".gradle",)),
     Language("C", _C, (".c", ".ec")),
-    Language("C++ Header", _C, (".h", ".hh", ".hpp", ".hxx"), keyword=r"(?dm)^\s*(?:class|namespace|template|using)\b"),
     Language("C Header", _C, (".h",)),
+    Language("C++ Header", _C, (".h", ".hh", ".hpp", ".hxx"), _CPP_SIGNS),
     Language("C++", _C, (".cc", ".cpp", ".cxx", ".c++")),
     Language("C#", _C, (".cs",)),
-    Language("Objective C", _C, (".m", ".mm"), keyword=r"(?dm)^\s*(?:#import|@interface|@implementation|@end)\b"),
-    Language("MATLAB", _MATLAB, (".m",)),
+    Language("MATLAB", _MATLAB, (".m",), _MATLAB_SIGNS),
+    Language("Objective C", _C, (".m", ".mm", ".h"), _OBJECTIVE_SIGNS),
     Language("Swift", _C_DOUBLE, (".swift",)),
     Language("Rust", _C_DOUBLE, (".rs",)),
     Language("Dart", _C, (".dart",)),
     Language("PHP", _PHP, (".php", ".phtml"), interpreters=("php",)),
     Language("Ruby", _RB, (".rb", "rakefile", "gemfile"), interpreters=("ruby",)),
-    Language("Perl", _SH, (".pl", ".pm"), interpreters=("perl",)),
+    Language("Perl", _SH, (".pl", ".pm"), _PERL_SIGNS, interpreters=("perl",)),
+    Language("Prolog", _PROLOG, (".pl", ".prolog"), _PROLOG_SIGNS, interpreters=("swipl",)),
     Language("Shell", _SH, (".sh",), interpreters=("sh", "dash", "ksh", "zsh")),
     Language("BASH", _SH, (".bash", ".bashrc"), interpreters=("bash",)),
     Language("Lua", _LUA, (".lua",), interpreters=("lua",)),
-    Language("R", _R, (".r",), interpreters=("Rscript",)),
+    Language("R", _R, (".r",), _R_SIGNS, interpreters=("Rscript",)),
+    Language("Rebol", _SEMI, (".r", ".reb"), _REBOL_SIGNS),
     Language("Julia", _R, (".jl",)),
     Language("Elixir", _HASH, (".ex", ".exs"), interpreters=("elixir",)),
     Language("Erlang", _ERLANG, (".erl", ".hrl")),
@@ -207,7 +222,13 @@ SYNTAXES = list(dict.fromkeys(lang.syntax for lang in LANGUAGES))
 LANGUAGE_RULE_SCHEMA = pa.schema(
     [
         ("key", pa.string()),
-        ("candidates", pa.list_(pa.struct([("language", pa.string()), ("keyword", pa.string()), ("syntax", pa.int32())]))),
+        (
+            "candidates",
+            pa.list_(pa.struct([
+                ("language", pa.string()), ("syntax", pa.int32()), ("interpreters", pa.list_(pa.string())),
+                ("signs", pa.list_(pa.struct([("sign", pa.string()), ("weight", pa.int32())]))),
+            ])),
+        ),
     ]
 )
 
@@ -276,14 +297,17 @@ def branch_rule(syntax: Syntax) -> str | None:
 def _candidates() -> dict[str, list[dict]]:
     by_key: dict[str, list[dict]] = {}
     for lang in LANGUAGES:
-        row = {"language": lang.name, "keyword": lang.keyword, "syntax": SYNTAXES.index(lang.syntax)}
+        row = {
+            "language": lang.name, "syntax": SYNTAXES.index(lang.syntax), "interpreters": list(lang.interpreters),
+            "signs": [{"sign": sign, "weight": weight} for sign, weight in lang.signs.items()],
+        }
         for key in [*lang.keys, *(f"#!{i}" for i in lang.interpreters)]:
             by_key.setdefault(key, []).append(row)
-    return {key: sorted(rows, key=lambda r: r["keyword"] is None) for key, rows in sorted(by_key.items())}
+    return dict(sorted(by_key.items()))
 
 
 def language_rules(spark: SparkSession) -> DataFrame:
-    """Rule table: one row per file-name key with its candidate languages, best first."""
+    """Rule table: one row per file-name key with its candidate languages in order of the list."""
     rules = _candidates()
     table = pa.table([list(rules), list(rules.values())], schema=LANGUAGE_RULE_SCHEMA)
     return spark.createDataFrame(table)
