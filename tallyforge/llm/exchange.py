@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 RANGES_A_PARTITION = 4
-#: Rows in an Arrow batch; bounds the memory of a Python worker when texts are long.
+#: Rows in an Arrow batch, unless the session says otherwise. Batches of long texts are cut by bytes already (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = "1000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows: a thousand whole texts rather than ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Let Arrow batches hold few rows, a thousand texts rather than ten thousand, where the user has not set their number."""
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
 
 
 def range_count(spark: SparkSession, each: int = RANGES_A_PARTITION) -> int:

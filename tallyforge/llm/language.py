@@ -91,7 +91,7 @@ class Model:
         if len(row):
             at, _ = exchange.runs(row)
             total[row[at]] = np.add.reduceat(self.log[column], at, axis=0, dtype=np.float64)
-        total = total / len(ORDERS) + self.prior  # each letter is in as many n-grams as there are orders
+        total += self.prior
         best = total.argmax(1)
         share = np.exp(total - total.max(1, keepdims=True))
         score = 1 / share.sum(1)

@@ -208,6 +208,51 @@ def test_language_on_held_out_rows(spark):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def _plain_grams(text):
+    """Hashed columns of the n-grams of a text, one by one."""
+    symbols, gap = [], False
+    for c in text.lower():
+        if c.isalpha():
+            symbols.append(ord(c) + 1)
+        elif not gap:
+            symbols.append(1)
+        gap = not c.isalpha()
+    out = Counter()
+    for order in language.ORDERS:
+        for i in range(len(symbols) - order + 1):
+            value = 0
+            for s in symbols[i : i + order]:
+                value = (value * 0x110003 + s) % (1 << 64)
+            x = (value + (order << 60)) % (1 << 64)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> shift)) * factor % (1 << 64)
+            out[x % language.COLUMNS] += 1
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    rng = np.random.default_rng(9)
+    own = {"aa": ["kala", "mana", "tala", "ÄÖ"], "bb": ["kalam", "chump", "drift", "über"], "cc": ["日本", "kala", "drift"]}
+    docs = [(i, " ".join(rng.choice(own[x], 1 + i % 5)) + "!! 12"[: i % 4], x, *[None] * 8) for i, x in enumerate(["aa", "bb", "cc", "aa"] * 60)] + [(900, None, "aa", *[None] * 8), (901, "12 !", "bb", *[None] * 8), (902, "", None, *[None] * 8)]
+    df = table(spark, docs)
+    model = language.fit(df.where("doc_id % 3 > 0").select(language.F.col("doc_id").alias("key"), "text", "lang"))
+    taught = [d for d in docs if d[0] % 3 and d[1] is not None and d[2] is not None]
+    seen, number = {}, Counter()
+    for d in taught:
+        seen.setdefault(d[2], Counter()).update(_plain_grams(d[1]))
+        number[d[2]] += 1
+    for r in language.predict(df, model).select("row.doc_id", "row.text", "lang_pred", "score").collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = {}
+        for name, counts in seen.items():
+            whole = sum(counts.values()) + language.SMOOTHING * language.COLUMNS
+            total[name] = math.log(number[name] / len(taught)) + sum(n * math.log((counts[c] + language.SMOOTHING) / whole) for c, n in _plain_grams(r.text).items())
+        best = min(total, key=lambda name: (-total[name], name))
+        assert r.lang_pred == best and math.isclose(r.score, 1 / sum(math.exp(t - total[best]) for t in total.values()), rel_tol=1e-4)
+
+
 def test_scores_equal_brute_force(spark):
     found = lattice.score(table(spark), vocabulary("piece_bpe_32k.model")).collect()
     tokens = [(r[0], [*words(r[1], lower=True), None]) for r in rows()]
@@ -297,6 +342,8 @@ def test_empty_tables(spark):
     assert secrets.find(none).collect() == []
     assert lattice.score(none, vocabulary("piece_bpe_32k.model")).collect() == []
     assert packing.pack(none, WORDS_BPE).collect() == []
+    empty = language.fit(none.select(language.F.col("doc_id").alias("key"), "text", "lang"))
+    assert language.predict(none, empty).collect() == []
 
 
 def test_packed_digest_is_of_32_bit_ids(spark):
