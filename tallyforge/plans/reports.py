@@ -151,7 +151,7 @@ def report_head(
 ) -> DataFrame:
     """One row over all repositories: labels, totals, languages, AI estimate, health summary.
 
-    Empty labels are left out. Nothing in it grows with the number of repositories.
+    Empty labels are left out. Nothing in it grows with the number of repositories, but for the lists of names in ``filters``.
     """
     filtered = _zero_to_null("filtered_files").alias("filtered_files")
     parts = [

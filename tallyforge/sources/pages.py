@@ -14,7 +14,7 @@ PAGE_STRIDE = 1_000_000
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed file: ``value``, ``page`` from the digits of its name, and its directory keys.
+    """One row per landed file: ``value``, ``page`` from the last digits of its name (twelve at most; none: 0), and its directory keys.
 
     Requests about one repository or commit are landed below ``repo=<key>/`` and ``hash=<hash>/``.
     """
@@ -23,7 +23,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     keys = [c for c in pages.columns if c != "value"]
     return pages.select(
         *[F.col(c).cast("string").alias(c) for c in keys],
-        F.coalesce(F.try_to_number(F.nullif(number, F.lit("")), F.lit("999999999")).cast("long"), F.lit(0)).alias("page"),
+        F.coalesce(F.right(number, F.lit(12)).try_cast("long"), F.lit(0)).alias("page"),
         "value",
     )
 

@@ -159,6 +159,13 @@ def test_reports(spark, tmp_path):
     assert [(r.period_no, r.period, r.totals.code) for r in reports.report_snapshots(read).collect()] == [(1, "2025-01", 5)]
 
 
+def test_page_numbers(spark, tmp_path):
+    for name in ("page-2.json", "page-10.json", "page-1700000000123.json", "page.json", "x9-00000000000000000000000007.json"):
+        land(tmp_path, name, name)
+    got = [(r.value, r.page) for r in pages.read_pages(spark, str(tmp_path)).orderBy("page").collect()]
+    assert got == [("page.json", 0), ("page-2.json", 2), ("x9-00000000000000000000000007.json", 7), ("page-10.json", 10), ("page-1700000000123.json", 700000000123)]
+
+
 def test_diagnostics(spark, tmp_path):
     rows = spark.createDataFrame([("health", "a", "status 403")], "category string, repo string, message string")
     assert write_diagnostics(str(tmp_path / "log"), rows)
