@@ -92,12 +92,14 @@ def _profiles(parts: int):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen, done = [], 0, set(), 0
         for ids, sets in _batches(batches):
             signs = [_signature(s) for s in sets]
+            # These rows pass the groups as they are; dealt in turn, so copies of one text do not meet.
             yield pa.RecordBatch.from_pylist(
-                [{"part": abs(a) % parts, "doc_id": i, "n": len(s), "s1": a, "s2": b} for i, s, (a, b) in zip(ids, sets, signs)], schema
+                [{"part": (done + k) % parts, "doc_id": i, "n": len(s), "s1": a, "s2": b} for k, (i, s, (a, b)) in enumerate(zip(ids, sets, signs))], schema
             )
+            done += len(sets)
             for s, sign in zip(sets, signs):
                 if sign not in seen:
                     seen.add(sign)

@@ -225,9 +225,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         rows.select("doc_id", F.col("row")[text_column].alias("text")).mapInArrow(_windows(parts), "part int, doc_id long, spans binary, blob binary")
         .groupBy("part").applyInArrow(_repeats, "doc_id long, spans binary")
     )
+    # Rows without an id meet no spans, and are dealt in turn.
+    dealt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
     schema = T.StructType([rows.schema["row"]]).add("kept", "string").add("n_words", "long").add("n_removed", "long")
     return (
-        rows.select(part, "doc_id", "row").groupBy("part")
+        rows.select(F.pmod(dealt, F.lit(parts)).alias("part"), "doc_id", "row").groupBy("part")
         .cogroup(spans.select(part, "doc_id", "spans").groupBy("part")).applyInArrow(without, schema)
     )
