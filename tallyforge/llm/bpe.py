@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, models
 from tallyforge.llm import exchange
 
 #: Words kept by a worker, in each of two generations.
-KEPT = 250_000
+KEPT = 100_000
 #: Documents encoded at a time.
 ROWS = 200
 
