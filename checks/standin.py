@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.licenses import TEXTS
+from tallyforge.rules.licenses import TEXTS
 from checks.ruled_paths import CASES
 from checks.snippets import CASES as SNIPPETS
+from tallyforge.operators.license import public_corpus
 from tallyforge.plans.analyze import Portfolio
 
 NOW = "2001-08-31 10:00:00"  # a 31st, so that six months before runs over into March
@@ -222,7 +223,7 @@ class Standin:
 
     def corpus(self) -> DataFrame:
         """Full texts of licenses."""
-        return self.spark.createDataFrame(list(TEXTS.items()), "spdx string, text string")
+        return public_corpus(self.spark)
 
     def license_files(self) -> DataFrame:
         """A license for each repository, signed by it; in most of them every so many words are replaced."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from checks.licenses import TEXTS
+from tallyforge.rules.licenses import TEXTS
 from checks.ruled_paths import CASES
 from checks.snippets import CASES as SNIPPETS
 from tallyforge.rules.languages import LANGUAGES

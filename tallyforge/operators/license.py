@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.setsim import similar_sets
+from tallyforge.rules.licenses import TEXTS
 from tallyforge.rules.paths import LICENSE_FILE
 
 # Least confidence of a match, words per shingle.
@@ -20,6 +21,11 @@ def license_files(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").rlike(LICENSE_FILE))
 
 
+def public_corpus(spark: SparkSession) -> DataFrame:
+    """Corpus of the short public licenses that this package has in full; longer ones are read from files (``sources.licenses``)."""
+    return spark.createDataFrame(list(TEXTS.items()), "spdx string, text string")
+
+
 def license_words(text: Column) -> Column:
     """Words of a license text in lower case, without copyright lines and punctuation."""
     body = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*copyright\b[^\n]*", " ")

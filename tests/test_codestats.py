@@ -32,6 +32,11 @@ CASES = [
         ("m.lua", "--[[ b\n c ]]\nlocal x = 1 -- t\n-- l\n", "Lua", 4, 1, 3, 0, 0),
         ("x.h", "class X {};\n", "C++ Header", 1, 1, 0, 0, 0),
         ("x.h", "int x;\n", "C Header", 1, 1, 0, 0, 0),
+        ("x.h", "#import <a.h>\n@interface X\n", "Objective C", 2, 2, 0, 0, 0),
+        ("x.m", "x = 1;\n", "MATLAB", 1, 1, 0, 0, 0),
+        ("x.pl", "#!/usr/bin/swipl\nuse strict; my $x\n", "Prolog", 2, 2, 0, 0, 0),
+        ("x.pl", "a :- b.\n% c\n", "Prolog", 2, 1, 1, 0, 0),
+        ("x.ts", "<!DOCTYPE TS>\n<TS/>\n", "Qt Translation", 2, 2, 0, 0, 0),
         ("x.d.ts", "let x: int;\n", "TypeScript Typings", 1, 1, 0, 0, 0),
         ("sub/Dockerfile", "# c\nFROM x\n", "Dockerfile", 2, 1, 1, 0, 0),
         ("run", "#!/usr/bin/env bash\necho hi\n", "BASH", 2, 1, 1, 0, 0),

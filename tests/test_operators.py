@@ -198,6 +198,20 @@ def test_license(spark):
     assert found == {"mit": "MIT"}
 
 
+def test_license_corpora(spark, tmp_path):
+    from tallyforge.sources.licenses import read_corpus
+
+    (tmp_path / "X11-like.txt").write_text(MIT.replace("sublicense", "lend") + "Not for advertising without permission of the holder.")
+    (tmp_path / "Own-1.0").write_text("Do as you like with it but tell your friends about it " * 9 + "and be kind.")
+    corpus = license.public_corpus(spark).unionByName(read_corpus(spark, str(tmp_path)))
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Unlicense", "Zlib", "BSL-1.0", "X11-like", "Own-1.0"} == {r.spdx for r in corpus.collect()}
+    texts = {r.spdx: r.text for r in corpus.collect()}
+    files = spark.createDataFrame([(spdx, None, "LICENSE", text.replace("<owner>", "Jo").upper().encode()) for spdx, text in texts.items()], schema.FILES)
+    found = {(r.repo, r.license) for r in license.repo_license(license.license_files(files), corpus).collect()}
+    assert found == {(spdx, spdx) for spdx in texts}
+    assert license.license_matches(license.license_files(files), corpus.where("false")).collect() == []
+
+
 def test_select_repos(spark):
     rows = [
         ("1", "github", "a", "", "https://h/org/a", False, False),
