@@ -110,7 +110,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[name] += np.bincount(column[mine[row]], minlength=COLUMNS)
     for name, count in seen.items():
         found = np.flatnonzero(count)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found)), "place": pa.array(found, pa.int32()), "n": count[found]})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(found), pa.string()), "place": pa.array(found, pa.int32()), "n": pa.array(count[found], pa.int64())})
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
