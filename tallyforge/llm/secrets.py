@@ -216,9 +216,14 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
     def hidden(kind: str) -> Callable[[Column], Column]:
         return lambda t: F.when(present[kind], masked(t, *KINDS[kind])).otherwise(t)
 
-    rest = F.translate(text, _MARK, " ")
-    for kind in KINDS:
-        rest = let(rest, hidden(kind))
+    # Most texts have no known form, and none has the mark in it.
+    unmarked = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
+
+    def rest(known: Column) -> Column:
+        marked = unmarked
+        for kind in KINDS:
+            marked = let(marked, hidden(kind))
+        return F.when(F.size(known) > 0, marked).otherwise(unmarked)
 
     def tested(s: Column) -> Column:
         return let(
@@ -229,8 +234,12 @@ def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
             ),
         )
 
-    candidates = let(rest, lambda t: spans(t, CANDIDATE, 0, 0))
-    return rows.select("row", F.concat(*(placed(kind) for kind in KINDS)).alias("known"), F.transform(candidates, tested).alias("random"))
+    def both(known: Column) -> Column:
+        candidates = let(rest(known), lambda t: spans(t, CANDIDATE, 0, 0))
+        return F.struct(known.alias("known"), F.transform(candidates, tested).alias("random"))
+
+    found = let(F.concat(*(placed(kind) for kind in KINDS)), both)
+    return rows.select("row", found.alias("found")).select("row", "found.known", "found.random")
 
 
 def thresholds(scanned: DataFrame) -> dict[tuple[str, int], float]:

@@ -26,7 +26,7 @@ from tallyforge.llm.words import slices, words_of
 
 WINDOW, ANCHOR = 20, 10
 #: Windows held by a task before it sends them on.
-HELD = 500_000
+HELD = 300_000
 #: Ranges of anchors for each shuffle partition; a range is what one task compares at a time.
 RANGES = 8
 

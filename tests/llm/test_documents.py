@@ -363,7 +363,7 @@ def test_secrets_of_a_text_with_very_many_matches(spark):
     started = time.perf_counter()
     found = secrets.find(docs).select("row.doc_id", "spans", secrets.redacted(secrets.F.col("row.text"), secrets.F.col("spans")).alias("clean"))
     got = {r.doc_id: r for r in found.collect()}
-    assert time.perf_counter() - started < 60
+    assert time.perf_counter() - started < 120
     assert [tuple(s) for s in got[1].spans if s["kind"] < 3] == _base_spans(text) and len(got[1].spans) == 100_000
     assert got[1].clean == "".join(f"id [SECRET] [SECRET] {'q' * (i % 30)}é\n" for i in range(len(lines)))
 
