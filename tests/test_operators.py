@@ -96,8 +96,9 @@ def test_health_classes(spark):
         "none": ("abandoned", -1, ""),
     }
     assert rows["broken"].error == "status 403"
-    first = {r.repo: r.days_since_commit for r in health.repo_health(repos(spark, "mixed"), df, NOW).collect()}
+    first = {r.repo: r.days_since_commit for r in health.repo_health(repos(spark, "mixed"), df, NOW, limit=1).collect()}
     assert first == {"mixed": 400}  # only the first listed commit is read
+    assert [r.days_since_commit for r in health.repo_health(repos(spark, "mixed"), df, NOW).collect()] == [10]  # all, unless asked otherwise
 
 
 def test_health_details(spark):
