@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.setsim import similar_sets
 from tallyforge.rules.licenses import TEXTS
 from tallyforge.rules.paths import LICENSE_FILE
+from tallyforge.session import stage
 
 # Least confidence of a match, words per shingle.
 CONFIDENCE = 0.85
@@ -60,7 +61,8 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     Candidates have a ``content`` and any key columns, which are passed on; the corpus has ``spdx`` and ``text``. The size of the sets is bounded first: a text
     with too few words is dropped before it is taken apart, one with too few or too many shingles before any of them moves. Most
     repositories share a handful of license texts, so equal texts become one, told by a digest of their words, and each distinct text is compared
-    once (:func:`similar_sets`). Only digests meet the candidates again. The least and the largest size in the corpus are fetched beforehand.
+    once (:func:`similar_sets`). Only digests meet the candidates again. The least and the largest size in the corpus are fetched beforehand, and
+    the sets of fitting size are written to the shared folder, so texts are read once.
     """
     keys = [c for c in candidates.columns if c != "content"]
     known = corpus.select(F.col("spdx").alias("id"), shingles(license_words(F.col("text"))).alias("members")).where(F.size("members") > 0)
@@ -71,6 +73,7 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     enough, fits = _fitting(F.col("_words"), sizes, threshold)
     worded = candidates.select(*keys, license_words(text).alias("_words")).where(enough)
     digested = worded.select(*keys, F.sha2(F.array_join("_words", " "), 256).alias("_digest"), shingles(F.col("_words")).alias("members")).where(fits)
+    digested = stage(digested, "license-sets")  # read twice below; only sets of fitting size
     distinct = digested.groupBy(F.col("_digest").alias("id")).agg(F.any_value("members").alias("members"))
     found = similar_sets(distinct, known, threshold)
     return digested.select(*keys, "_digest").join(found, F.col("_digest") == F.col("left_id")).select(

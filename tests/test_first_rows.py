@@ -31,8 +31,7 @@ def place(row):
     return (seq is None, seq or 0, micros is None, micros or 0, key.encode())
 
 
-@pytest.mark.parametrize("kind", ["mixed", "seq", "ts", "alike", "burst"])
-@pytest.mark.parametrize("count", [1, 60])
+@pytest.mark.parametrize("kind, count", [("mixed", 60), ("seq", 1), ("ts", 60), ("alike", 60), ("burst", 60)])
 def test_first_rows_equal_sorting(spark, kind, count):
     own = rows(kind)
     df = spark.createDataFrame(own, SCHEMA)
