@@ -85,7 +85,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_lm_score")
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.score(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    """``score`` is that of the weights learnt from training words; under the vocabulary's own ranks every text is far less likely."""
+    out = lattice.score(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return out.withColumnsRenamed({"score": "vocabulary_score", "adapted_score": "score"})
 
 
 @query("op7_secrets")

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, over odd cases."""
 
 import math
+import random
 import re
 import time
 import zlib
@@ -10,8 +11,8 @@ import numpy as np
 import pytest
 
 from tallyforge.llm import bpe, fingerprints, jaccard, language, lattice, packing, secrets, substrings
-from tallyforge.llm.queries import vocabulary
-from tests.llm.cases import odd_texts, rows, table, words
+from tallyforge.llm.queries import QUERIES, vocabulary
+from tests.llm.cases import odd_texts, prose, rows, table, words
 
 WORDS_BPE = vocabulary()
 
@@ -284,6 +285,16 @@ def test_scores_equal_brute_force(spark):
     assert Counter((r.doc_id, r.n_tokens, round(r.score, 4), round(r.adapted_score, 4)) for r in found) == plain
 
 
+def test_scores_of_held_out_texts_are_near_the_base(spark, tmp_path):
+    rng = random.Random(11)
+    spark.createDataFrame([(i, prose(rng, 150)) for i in range(120)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op8_lm_score"](spark, str(tmp_path)).where("held_out").collect()
+    assert found
+    for r in found:
+        assert math.isfinite(r.score) and r.score > r.base_score - 0.2 * r.n_tokens
+        assert r.vocabulary_score < r.score
+
+
 def test_lattice_adds_up_all_segmentations():
     own = lattice.Pieces(vocabulary("piece_bpe_32k.model"))
 
