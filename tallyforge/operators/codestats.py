@@ -6,7 +6,7 @@ their partial sums per repository and language travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,15 @@ BINARY = "binary"
 _INTERPRETER = r"\A#![ \t]*(?:\S*/env[ \t]+(?:-\S+[ \t]+)*|\S*/)?([A-Za-z]+)"
 
 
+def once(value: Column, result: Callable[[Column], Column]) -> Column:
+    """A result that names a value several times, with the value evaluated once.
+
+    A filter repeats what its columns are made of wherever they are named, and has all of it in one method of generated code, which is soon too large
+    to be compiled to machine code. What is inside a lambda takes no part in that.
+    """
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
 def file_name(path: Column) -> Column:
     """Last segment of a path."""
     return F.substring_index(path, "/", -1)
@@ -37,10 +46,13 @@ def parent_directory(path: Column) -> Column:
 
 def in_pruned_directory(path: Column) -> Column:
     """True below a version-control or vendored directory: any of its ancestors has a name that the rules have, or meets one of the few patterns."""
-    rules, folder = P.PRUNED_INDEX, parent_directory(path)
-    segments = F.split(folder, "/", -1)
-    named = F.arrays_overlap(segments, F.array(*map(F.lit, sorted(rules.directories))))
-    return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.other_directories)
+    rules = P.PRUNED_INDEX
+
+    def test(folder: Column, segments: Column) -> Column:
+        named = F.arrays_overlap(segments, F.array(*map(F.lit, sorted(rules.directories))))
+        return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.other_directories)
+
+    return once(path, lambda p: once(parent_directory(p), lambda folder: once(F.split(folder, "/", -1), lambda segments: test(folder, segments))))
 
 
 def is_vendored(path: Column) -> Column:

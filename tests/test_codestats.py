@@ -120,3 +120,12 @@ def test_cube_levels(spark):
     rows = codestats.stats_cube(by_language).filter("level = 3").collect()
     assert [(r.files, r.code) for r in rows] == [(3, 20)]
     assert codestats.stats_cube(by_language).groupBy("level").count().filter(F.col("level") == 1).first()["count"] == 2
+
+
+def test_path_is_evaluated_once_by_the_test_of_directories(spark):
+    """Where a path is computed, a filter would repeat what computes it wherever the path is named."""
+    rows = spark.range(4).select(F.concat(F.when(F.col("id") % 2 == 0, "vendor/").otherwise("src/"), F.lit("made"), "id").alias("path"))
+    seen = codestats.visible_files(rows)
+    assert sorted(r.path for r in seen.collect()) == ["src/made1", "src/made3"]
+    condition = next(line for line in seen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line)
+    assert condition.count("vendor/") == 1
