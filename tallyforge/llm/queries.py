@@ -87,7 +87,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``score`` is that of the weights learnt from training words; under the vocabulary's own ranks every text is far less likely."""
     out = lattice.score(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
-    return out.withColumnsRenamed({"score": "vocabulary_score", "adapted_score": "score"})
+    return out.withColumn("vocabulary_score", F.col("score")).withColumn("score", F.col("adapted_score"))
 
 
 @query("op7_secrets")
