@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.setsim import similar_sets
 from tallyforge.rules.licenses import TEXTS
 from tallyforge.rules.paths import LICENSE_FILE
-from tallyforge.session import stage
+from tallyforge.session import stage, with_computed
 
 # Least confidence of a match, words per shingle.
 CONFIDENCE = 0.85
@@ -30,7 +30,7 @@ def public_corpus(spark: SparkSession) -> DataFrame:
 def license_words(text: Column) -> Column:
     """Words of a license text in lower case, without copyright lines and punctuation."""
     body = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*copyright\b[^\n]*", " ")
-    return F.filter(F.split(body, r"[^\p{L}\p{N}.]+"), lambda w: F.regexp_replace(w, r"\.", "") != "")
+    return F.filter(F.split(body, r"[^\p{L}\p{N}.]+"), lambda w: F.replace(w, F.lit("."), F.lit("")) != "")
 
 
 def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
@@ -41,7 +41,8 @@ def shingles(words: Column, size: int = SHINGLE_WORDS) -> Column:
 
     def runs(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-        every = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+        # The hash of an array is that of its elements one after the other, and what is beyond its end is null and adds nothing.
+        every = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (n - 1)) for n in range(size)])))
         return F.when(F.size(words) > 0, every).otherwise(F.array().cast("array<long>"))
 
     return F.element_at(F.transform(F.array(words), runs), 1)
@@ -55,6 +56,16 @@ def _fitting(words: Column, sizes: Row, threshold: float) -> tuple[Column, Colum
     return (F.size(words) > 0) & (most >= least), n.between(least, F.lit(int(sizes["most"] / threshold + 1e-9)))
 
 
+def license_sets(candidates: DataFrame, sizes: Row, threshold: float = CONFIDENCE) -> DataFrame:
+    """Key columns, ``_digest`` of the words and ``members`` (shingles) of candidates of fitting size, with each text taken apart once."""
+    keys = [c for c in candidates.columns if c != "content"]
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    enough, fits = _fitting(F.col("_words"), sizes, threshold)
+    worded = with_computed(candidates, _words=license_words(text)).where(enough)
+    digested = with_computed(worded, _digest=F.sha2(F.array_join("_words", " "), 256), members=shingles(F.col("_words"))).where(fits)
+    return digested.select(*keys, "_digest", "members")
+
+
 def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
     """Licenses similar enough to each candidate, with their confidence: the Jaccard similarity of the shingle sets.
 
@@ -69,11 +80,7 @@ def license_matches(candidates: DataFrame, corpus: DataFrame, threshold: float =
     sizes = known.agg(F.min(F.size("members")).alias("least"), F.max(F.size("members")).alias("most")).first()
     if sizes["least"] is None:
         return candidates.select(*keys, F.lit("").alias("spdx"), F.lit(0.0).alias("confidence")).limit(0)
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    enough, fits = _fitting(F.col("_words"), sizes, threshold)
-    worded = candidates.select(*keys, license_words(text).alias("_words")).where(enough)
-    digested = worded.select(*keys, F.sha2(F.array_join("_words", " "), 256).alias("_digest"), shingles(F.col("_words")).alias("members")).where(fits)
-    digested = stage(digested, "license-sets")  # read twice below; only sets of fitting size
+    digested = stage(license_sets(candidates, sizes, threshold), "license-sets")  # read twice below; only sets of fitting size
     distinct = digested.groupBy(F.col("_digest").alias("id")).agg(F.any_value("members").alias("members"))
     found = similar_sets(distinct, known, threshold)
     return digested.select(*keys, "_digest").join(found, F.col("_digest") == F.col("left_id")).select(

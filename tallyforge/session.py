@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # UTC is required for results; the rest are defaults a cluster may override.
 SETTINGS = {
@@ -79,3 +80,12 @@ def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     adaptive execution splits skewed partitions. The rows that are kept are the same either way.
     """
     return df.join(keys, keys.columns, "left_semi")
+
+
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Further columns, each made once a row.
+
+    Spark moves a filter below the columns it speaks of and makes them there a second time, which is dear for what is made of whole texts. A generator
+    is passed by no filter on its output, and one of a single element leaves the number of rows.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[made.alias(name) for name, made in columns.items()]))))

@@ -199,6 +199,24 @@ def test_license(spark):
     assert found == {"mit": "MIT"}
 
 
+def test_license_texts_are_taken_apart_once(spark):
+    """A filter on the number of words or shingles would make them a second time."""
+    from pyspark.sql import Row
+
+    files = spark.createDataFrame([("a", "LICENSE", bytearray(MIT.encode())), ("b", "LICENSE", bytearray(b"few words")), ("c", "LICENSE", None)], "repo string, path string, content binary")
+    sets = license.license_sets(files, Row(least=20, most=400))
+    assert [r.repo for r in sets.collect()] == ["a"]
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("copyright"), plan.count("array_distinct")) == (1, 1)
+
+
+def test_shingles_are_hashes_of_runs_of_words(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "d", "b", "c", "d"],), (["a", "b"],), (["a"],), ([],)], "words array<string>")
+    runs = "IF(size(words) > 0, array_distinct(transform(sequence(1, greatest(size(words) - 2, 1)), i -> xxhash64(slice(words, i, 3)))), array())"
+    for row in rows.select(license.shingles(F.col("words")).alias("got"), F.expr(runs).alias("wanted")).collect():
+        assert row.got == row.wanted
+
+
 def test_license_corpora(spark, tmp_path):
     from tallyforge.sources.licenses import read_corpus
 
