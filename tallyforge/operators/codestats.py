@@ -15,6 +15,7 @@ from tallyforge.functions import lines as L
 from tallyforge.rules import paths as P
 from tallyforge.rules.languages import LONG_EXTENSIONS, NAME_KEYS, language_rules
 from tallyforge.schema import MEASURES
+from tallyforge.session import with_computed
 
 # What became of a file.
 COUNTED = "counted"
@@ -156,16 +157,12 @@ def file_stats(files: DataFrame, *, minified_line_length: int = P.MINIFIED_LINE_
         .when(is_binary(F.col("content")), F.lit(BINARY))
         .otherwise(F.lit(COUNTED))
     )
-    classified = (
-        keyed.join(rules, F.col("_key") == F.col("key"), "left")
-        .withColumn("_rule", chosen)
-        .withColumn("status", status)
-        .select(
-            *passed,
-            "status",
-            F.when(F.col("status") == COUNTED, F.col("_rule")).alias("_rule"),
-            F.when(F.col("status") == COUNTED, F.col("_text")).alias("_text"),
-        )
+    # A filter of the language or status is met after the file is classified, and not by classifying it a second time.
+    classified = with_computed(keyed.join(rules, F.col("_key") == F.col("key"), "left").withColumn("_rule", chosen), status=status).select(
+        *passed,
+        "status",
+        F.when(F.col("status") == COUNTED, F.col("_rule")).alias("_rule"),
+        F.when(F.col("status") == COUNTED, F.col("_text")).alias("_text"),
     )
     body, syntax = F.col("_text"), "_rule.syntax"
     marked = (

@@ -129,3 +129,10 @@ def test_path_is_evaluated_once_by_the_test_of_directories(spark):
     assert sorted(r.path for r in seen.collect()) == ["src/made1", "src/made3"]
     condition = next(line for line in seen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line)
     assert condition.count("vendor/") == 1
+
+
+def test_filter_of_languages_classifies_no_file_twice(spark):
+    files = spark.createDataFrame([("r", "a.go", bytearray(b"x := 1\n")), ("r", "b.go", bytearray(b"// Code generated x\n"))], "repo string, path string, content binary")
+    seen = codestats.languages_only(codestats.language_stats(codestats.file_stats(files)))
+    assert [(r.language, r.files, r.code) for r in seen.collect()] == [("Go", 1, 1)]
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Autogenerated by Thrift Compiler)") == 1
