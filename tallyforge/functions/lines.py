@@ -42,10 +42,17 @@ def _by_syntax(text: str, syntax: str, results: dict[int, str], otherwise: str)
 
     The choice is made inside a lambda, where only the branch taken is evaluated. Generated code would
     hold all branches in one method, too large to be compiled to machine code. Written as one SQL
-    expression, because building it call by call takes seconds on the driver.
+    expression, because building it call by call takes seconds on the driver. Numbers are found by halves, as there are dozens.
     """
-    branches = " ".join(f"WHEN {number} THEN {result}" for number, result in results.items())
-    return F.expr(f"element_at(transform(array({text}), t -> CASE {syntax} {branches} ELSE {otherwise} END), 1)")
+
+    def chosen(numbers: list[int]) -> str:
+        if len(numbers) <= 2:
+            branches = " ".join(f"WHEN {number} THEN {results[number]}" for number in numbers)
+            return f"CASE {syntax} {branches} ELSE {otherwise} END" if numbers else otherwise
+        middle = len(numbers) // 2
+        return f"IF({syntax} < {numbers[middle]}, {chosen(numbers[:middle])}, {chosen(numbers[middle:])})"
+
+    return F.expr(f"element_at(transform(array({text}), t -> {chosen(sorted(results))}), 1)")
 
 
 def unescape(text: Column) -> Column:

@@ -50,8 +50,8 @@ def in_pruned_directory(path: Column) -> Column:
     rules = P.PRUNED_INDEX
 
     def test(folder: Column, segments: Column) -> Column:
-        named = F.arrays_overlap(segments, F.array(*map(F.lit, sorted(rules.directories))))
-        return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.other_directories)
+        named = F.exists(segments, lambda segment: segment.isin(*sorted(rules.directories)))
+        return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.folder_search)
 
     return once(path, lambda p: once(parent_directory(p), lambda folder: once(F.split(folder, "/", -1), lambda segments: test(folder, segments))))
 
@@ -62,10 +62,13 @@ def is_vendored(path: Column) -> Column:
     Names are looked up whole. Patterns are looked up by extension, so a path meets those of its own extension alone, of which most have none.
     """
     rules, name = P.VENDOR_INDEX, file_name(path)
+    extension = F.substring_index(name, ".", -1)
     matched = F.lit(False)
     for pattern in dict.fromkeys(rules.by_extension.values()):
-        own = [extension for extension, held in rules.by_extension.items() if held == pattern]
-        matched = F.when(F.substring_index(name, ".", -1).isin(*own), path.rlike(pattern)).otherwise(matched)
+        own = [ending for ending, held in rules.by_extension.items() if held == pattern]
+        matched = F.when(extension.isin(*own), path.rlike(pattern)).otherwise(matched)
+    # Most files have an extension that no pattern is about, which one look-up tells.
+    matched = F.when(extension.isin(*rules.by_extension), matched).otherwise(F.lit(False))
     named = name.isin(*sorted(rules.names)) | path.isin(*sorted(rules.root_names)) | matched
     return named | path.rlike(rules.other_files) if rules.other_files else named
 

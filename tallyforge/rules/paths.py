@@ -220,6 +220,7 @@ class PathIndex:
     by_extension: dict[str, str]  # extension -> pattern of the paths
     other_directories: str  # pattern of directories that are told by more than one segment or by the end of one
     other_files: str
+    folder_search: str  # other_directories with the common start tried once a place
 
 
 _START, _LITERAL = r"(^|/)", re.compile(r"(?:[\w~ -]|\\\.)+")
@@ -236,6 +237,13 @@ def _spelled_out(rule: str) -> list[str]:
     return [rule]
 
 
+def _search(rules: list[str]) -> str:
+    """One pattern for all rules; those that start a segment share that start, so at most places of a path only it is tried."""
+    begun = [rule.removeprefix(_START) for rule in rules if rule.startswith(_START)]
+    shared = [f"(?:^|/){_one(begun)}"] if begun else []
+    return "|".join([*shared, *[rule for rule in rules if not rule.startswith(_START)]])
+
+
 def path_index(rules: list[str]) -> PathIndex:
     """Take rules to the keys they can be looked up by; every rule ends up in exactly one place."""
     sets: dict[str, set[str]] = {"directories": set(), "root_directories": set(), "names": set(), "root_names": set()}
@@ -258,7 +266,7 @@ def path_index(rules: list[str]) -> PathIndex:
     return PathIndex(
         **{name: frozenset(keys) for name, keys in sets.items()},
         by_extension={extension: "|".join(found) for extension, found in sorted(by_extension.items())},
-        other_directories="|".join(others["directories"]), other_files="|".join(others["files"]),
+        other_directories="|".join(others["directories"]), other_files="|".join(others["files"]), folder_search=_search(others["directories"]),
     )
 
 
