@@ -83,20 +83,25 @@ def raw_string_breaks(unescaped: str, syntax: str) -> Column:
     return _by_syntax(unescaped, syntax, results, "0L")
 
 
-# From the first character of a line that shows to the end of the line, so that a line matches once; no line is taken apart.
-_SPACES = r" \t\r\f\x0B"
-_SHOWS_CODE = rf"[^{_SPACES}\n{MARK}][^\n]*+"
-_SHOWS_ANYTHING = rf"[^{_SPACES}\n][^\n]*+"
+_SPACES = " \t\r\f\x0B"
+
+
+def _lines_of(characters: str, text: Column) -> Column:
+    """Lines that hold nothing but some of these characters. They are few, so they are looked for instead of all others, by the line feed before each; the first line has none."""
+    some = f"[{characters}]"
+    later = F.regexp_count(text, F.lit(rf"\n(?:{some}*+(?=\n)|{some}++\z)"))
+    rest = F.ltrim(text, F.lit(characters))
+    return later + F.when(F.startswith(rest, F.lit("\n")) | ((rest == "") & (text != "")), F.lit(1)).otherwise(F.lit(0))
 
 
 def code_lines(marked: Column) -> Column:
     """Lines of a marked text that show code."""
-    return F.regexp_count(marked, F.lit(_SHOWS_CODE)).cast("long")
+    return total_lines(marked) - _lines_of(_SPACES + MARK, marked)
 
 
 def blank_lines(marked: Column) -> Column:
     """Lines of a marked text that show nothing at all, not even a mark."""
-    return total_lines(marked) - F.regexp_count(marked, F.lit(_SHOWS_ANYTHING))
+    return _lines_of(_SPACES, marked).cast("long")
 
 
 def branch_count(marked: str, syntax: str) -> Column:

@@ -76,9 +76,13 @@ def is_vendored(path: Column) -> Column:
 def is_generated(path: Column, text: Column, minified_line_length: int = P.MINIFIED_LINE_LENGTH) -> Column:
     """True for a file that a tool wrote: by its path, by a marker anywhere in it, or by the mean length of its lines."""
     minified = path.rlike(P.MINIFIED_EXTENSION) & (F.length(text) > minified_line_length * F.greatest(L.total_lines(text), F.lit(1)))
-    marked = F.lit(False)
+    stemmed = marked = F.lit(False)
     for marker in P.GENERATED_MARKERS:
-        marked = marked | F.contains(text, F.lit(marker))
+        if P.GENERATED_STEM in marker:
+            stemmed = stemmed | F.contains(text, F.lit(marker))
+        else:
+            marked = marked | F.contains(text, F.lit(marker))
+    marked = marked | (F.contains(text, F.lit(P.GENERATED_STEM)) & stemmed)
     # The plain search spares nearly all files the one for whole words.
     return path.rlike(P.GENERATED_PATH) | minified | (marked & text.rlike(P.GENERATED_MARK))
 

@@ -131,3 +131,23 @@ def test_first_period(spark):
     assert number("2025-01-01 23:59:59.5", "2025-01-01", C.WEEKLY) == 2
     assert number("2025-01-08 10:00:00", "2025-01-01", C.WEEKLY) == 2
     assert number("2025-01-09 00:00:00", "2025-01-01", C.WEEKLY) == 3
+
+
+def test_lines_of_code_and_blank_lines_by_brute_force(spark):
+    import random
+
+    from tallyforge.functions import lines as L
+
+    draw = random.Random(5)
+    texts = ["", "\n", " ", " \n", "\n ", "\x01", "\x01\n\x01 ", "a\n\n\n", "\n\na", "a\n \t", "é\n \n\U0001f600 \n", None]
+    texts += ["".join(draw.choices(" \t\r\f\x0B\n\n\n\x01ab", k=draw.randint(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", L.code_lines(F.col("text")).alias("code"), L.blank_lines(F.col("text")).alias("blanks"))
+    for row in rows.collect():
+        if row.text is None:
+            assert (row.code, row.blanks) == (None, None)
+            continue
+        parts = row.text.split("\n")
+        shown = parts[:-1] if parts[-1] == "" else parts
+        blanks = sum(not line.strip(" \t\r\f\x0B") for line in shown)
+        code = sum(bool(line.strip(" \t\r\f\x0B\x01")) for line in shown)
+        assert (row.code, row.blanks) == (code, blanks), repr(row.text)
