@@ -84,31 +84,41 @@ def raw_string_breaks(unescaped: str, syntax: str) -> Column:
 
 
 _SPACES = " \t\r\f\x0B"
+_EMPTY_LINE = rf"\n(?:[{_SPACES + MARK}]*+(?=\n)|[{_SPACES + MARK}]++\z)"
 
 
-def _lines_of(characters: str, text: Column) -> Column:
-    """Lines that hold nothing but some of these characters. They are few, so they are looked for instead of all others, by the line feed before each; the first line has none."""
-    some = f"[{characters}]"
-    later = F.regexp_count(text, F.lit(rf"\n(?:{some}*+(?=\n)|{some}++\z)"))
-    rest = F.ltrim(text, F.lit(characters))
-    return later + F.when(F.startswith(rest, F.lit("\n")) | ((rest == "") & (text != "")), F.lit(1)).otherwise(F.lit(0))
+def led_by_feed(text: Column) -> Column:
+    """A text after a line feed, so that its first line begins like all others."""
+    return F.concat(F.lit("\n"), text)
 
 
-def code_lines(marked: Column) -> Column:
-    """Lines of a marked text that show code."""
-    return total_lines(marked) - _lines_of(_SPACES + MARK, marked)
+def empty_lines(led: Column) -> Column:
+    """Array of the lines of a marked text that show nothing but white space and marks, each after its line feed; the text is led by one.
 
+    They are few, so they are looked for instead of all others.
+    """
+    return F.regexp_extract_all(led, F.lit(_EMPTY_LINE), F.lit(0))
+
+
+def code_lines(marked: Column, empty: Column | None = None) -> Column:
+    """Lines of a marked text that show code: all but its :func:`empty_lines`, which are made here if they are not at hand."""
+    return total_lines(marked) - F.array_size(empty_lines(led_by_feed(marked)) if empty is None else empty)
 
-def blank_lines(marked: Column) -> Column:
+
+def blank_lines(marked: Column, empty: Column | None = None) -> Column:
     """Lines of a marked text that show nothing at all, not even a mark."""
-    return _lines_of(_SPACES, marked).cast("long")
+    empty = empty_lines(led_by_feed(marked)) if empty is None else empty
+    return F.array_size(F.filter(empty, lambda line: ~F.contains(line, F.lit(MARK)))).cast("long")
+
 
+def branch_count(led: str, syntax: str) -> Column:
+    """Branch tokens of a marked text that is led by a line feed, 0 for a syntax without any.
 
-def branch_count(marked: str, syntax: str) -> Column:
-    """Branch tokens of a marked text, 0 for a syntax without any."""
+    The pattern is the one white space before a token, a single byte, so the bytes that go with it are counted: there are many, and a list of them costs more.
+    """
     results = {}
     for number, rule in enumerate(SYNTAXES):
         pattern = branch_rule(rule)
         if pattern:
-            results[number] = f"CAST(regexp_count(t, {_literal(pattern)}) AS BIGINT)"
-    return _by_syntax(marked, syntax, results, "0L")
+            results[number] = f"CAST(octet_length(t) - octet_length(regexp_replace(t, {_literal(pattern)}, '')) AS BIGINT)"
+    return _by_syntax(led, syntax, results, "0L")

@@ -6,7 +6,9 @@ their partial sums per repository and language travel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,34 +28,14 @@ BINARY = "binary"
 _INTERPRETER = r"\A#![ \t]*(?:\S*/env[ \t]+(?:-\S+[ \t]+)*|\S*/)?([A-Za-z]+)"
 
 
-def once(value: Column, result: Callable[[Column], Column]) -> Column:
-    """A result that names a value several times, with the value evaluated once.
-
-    A filter repeats what its columns are made of wherever they are named, and has all of it in one method of generated code, which is soon too large
-    to be compiled to machine code. What is inside a lambda takes no part in that.
-    """
-    return F.element_at(F.transform(F.array(value), result), 1)
-
-
 def file_name(path: Column) -> Column:
     """Last segment of a path."""
     return F.substring_index(path, "/", -1)
 
 
-def parent_directory(path: Column) -> Column:
-    """Directory of a file with a trailing slash, empty in the root."""
-    return F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)))
-
-
 def in_pruned_directory(path: Column) -> Column:
     """True below a version-control or vendored directory: any of its ancestors has a name that the rules have, or meets one of the few patterns."""
-    rules = P.PRUNED_INDEX
-
-    def test(folder: Column, segments: Column) -> Column:
-        named = F.exists(segments, lambda segment: segment.isin(*sorted(rules.directories)))
-        return named | F.get(segments, F.lit(0)).isin(*sorted(rules.root_directories)) & (folder != "") | folder.rlike(rules.folder_search)
-
-    return once(path, lambda p: once(parent_directory(p), lambda folder: once(F.split(folder, "/", -1), lambda segments: test(folder, segments))))
+    return path.rlike(P.PRUNED_SEARCH)
 
 
 def is_vendored(path: Column) -> Column:
@@ -78,11 +60,12 @@ def is_generated(path: Column, text: Column, minified_line_length: int = P.MINIF
     minified = path.rlike(P.MINIFIED_EXTENSION) & (F.length(text) > minified_line_length * F.greatest(L.total_lines(text), F.lit(1)))
     stemmed = marked = F.lit(False)
     for marker in P.GENERATED_MARKERS:
-        if P.GENERATED_STEM in marker:
+        if any(stem in marker for stem in P.GENERATED_STEMS):
             stemmed = stemmed | F.contains(text, F.lit(marker))
         else:
             marked = marked | F.contains(text, F.lit(marker))
-    marked = marked | (F.contains(text, F.lit(P.GENERATED_STEM)) & stemmed)
+    held = reduce(or_, [F.contains(text, F.lit(stem)) for stem in P.GENERATED_STEMS])
+    marked = marked | (held & stemmed)
     # The plain search spares nearly all files the one for whole words.
     return path.rlike(P.GENERATED_PATH) | minified | (marked & text.rlike(P.GENERATED_MARK))
 
@@ -175,15 +158,17 @@ def file_stats(files: DataFrame, *, minified_line_length: int = P.MINIFIED_LINE_
     marked = (
         classified.withColumn("_unescaped", L.unescape(body))
         .withColumn("_marked", L.mark_tokens("_unescaped", syntax))
+        .withColumn("_led", L.led_by_feed(F.col("_marked")))
+        .withColumn("_empty", L.empty_lines(F.col("_led")))
     )
     counted = marked.select(
         *passed,
         "status",
         F.col("_rule.language").alias("language"),
         L.total_lines(body).alias("lines"),
-        (L.code_lines(F.col("_marked")) + L.raw_string_breaks("_unescaped", syntax)).alias("code"),
-        L.blank_lines(F.col("_marked")).alias("blanks"),
-        F.when(body.isNotNull(), L.branch_count("_marked", syntax)).alias("complexity"),
+        (L.code_lines(F.col("_marked"), F.col("_empty")) + L.raw_string_breaks("_unescaped", syntax)).alias("code"),
+        L.blank_lines(F.col("_marked"), F.col("_empty")).alias("blanks"),
+        F.when(body.isNotNull(), L.branch_count("_led", syntax)).alias("complexity"),
     )
     comments = F.col("lines") - F.col("code") - F.col("blanks")
     return counted.select(*passed, "status", "language", "lines", "code", comments.alias("comments"), "blanks", "complexity")

@@ -282,16 +282,16 @@ def token_rule(syntax: Syntax) -> tuple[str | None, str | None, int]:
         return None, None, 0
     # The look-ahead rejects most places of a text by one character.
     starts = {mark[0] for mark in [*syntax.line, *syntax.raw, *syntax.quotes, *(syntax.block or ())[:1]]}
-    starts |= {" ", "\t"} if syntax.docstrings else set()
-    return f"(?dm)(?={_character_class(starts)})(?:" + "|".join(alternatives) + ")", MARK + "".join(f"${g}" for g in kept) + MARK, raw_group
+    indented = r"|^[ \t]" if syntax.docstrings else ""
+    return f"(?dm)(?={_character_class(starts)}{indented})(?:" + "|".join(alternatives) + ")", MARK + "".join(f"${g}" for g in kept) + MARK, raw_group
 
 
 def branch_rule(syntax: Syntax) -> str | None:
-    """Pattern of one branch token that starts a word."""
+    """Pattern of the white space before a branch token; tokens start a word, and white space is what most places of a text are rejected by."""
     if not syntax.branches:
         return None
     starts = _character_class({b[0] for b in syntax.branches})
-    return f"(?={starts})" + r"(?<!\S)(?:" + "|".join(re.escape(b) for b in syntax.branches) + ")"
+    return rf"\s(?={starts})(?=" + "|".join(re.escape(b) for b in syntax.branches) + ")"
 
 
 def _candidates() -> dict[str, list[dict]]:

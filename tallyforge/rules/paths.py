@@ -191,8 +191,8 @@ GENERATED_MARKERS = [
     "GENERATED CODE",
 ]
 
-# Fixed value: what most markers contain, so that one search spares nearly all files those for each.
-GENERATED_STEM = "enerated"
+# What most markers contain, so that these searches spare nearly all files those for each. They start with letters that are rare in texts.
+GENERATED_STEMS = ("generated", "Generated")
 
 # Scripts and style sheets whose lines are longer than this on average were minified.
 MINIFIED_EXTENSION = r"\.(?:js|css)$"
@@ -275,3 +275,19 @@ def path_index(rules: list[str]) -> PathIndex:
 
 PRUNED_INDEX = path_index([rule for rule in [*VERSION_CONTROL, *VENDORED] if rule.endswith("/")])
 VENDOR_INDEX = path_index([rule for rule in VENDORED if not rule.endswith("/")])
+
+
+def _directory_search(rules: PathIndex) -> str:
+    """One pattern of paths for all rules of an index about directories; what it finds ends in a slash, so the name of a file is never part of it.
+
+    A segment is compared with the names only if one of them starts as it does.
+    """
+
+    def names(directories: frozenset[str]) -> str:
+        starts = "".join(sorted({re.escape(name[0]) for name in directories}))
+        return f"(?=[{starts}]){_one(sorted(re.escape(name) for name in directories))}/"
+
+    return f"(?:^|/){names(rules.directories)}|^{names(rules.root_directories)}|{rules.folder_search}"
+
+
+PRUNED_SEARCH = _directory_search(PRUNED_INDEX)

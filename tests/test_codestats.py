@@ -136,3 +136,19 @@ def test_filter_of_languages_classifies_no_file_twice(spark):
     seen = codestats.languages_only(codestats.language_stats(codestats.file_stats(files)))
     assert [(r.language, r.files, r.code) for r in seen.collect()] == [("Go", 1, 1)]
     assert seen._jdf.queryExecution().optimizedPlan().toString().count("Autogenerated by Thrift Compiler)") == 1
+
+
+def test_paths_are_tested_for_directories_by_one_compiled_search(spark):
+    """Functions of lambdas are evaluated call by call, and with them all that computes the path."""
+    rows = spark.range(4).select(F.concat(F.when(F.col("id") % 2 == 0, "deps/").otherwise("a/deps/"), F.lit("made"), "id").alias("path"))
+    seen = codestats.visible_files(rows)
+    assert sorted(r.path for r in seen.collect()) == ["a/deps/made1", "a/deps/made3"]
+    assert "lambda" not in seen._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_marked_text_is_searched_for_empty_lines_once(spark):
+    files = spark.createDataFrame([("r", "a.go", bytearray(b"\n \n// c\nx := 1\n\t\n"))], "repo string, path string, content binary")
+    seen = codestats.file_stats(files)
+    assert [(r.lines, r.code, r.comments, r.blanks) for r in seen.collect()] == [(5, 1, 1, 3)]
+    searches = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert searches.count("]*+(?=\\n)|") == 1

@@ -151,3 +151,27 @@ def test_lines_of_code_and_blank_lines_by_brute_force(spark):
         blanks = sum(not line.strip(" \t\r\f\x0B") for line in shown)
         code = sum(bool(line.strip(" \t\r\f\x0B\x01")) for line in shown)
         assert (row.code, row.blanks) == (code, blanks), repr(row.text)
+
+
+def test_branches_of_every_syntax_by_brute_force(spark):
+    """A token counts where a word starts, at the start of a text too, and adjoining tokens each count."""
+    import random
+    import re
+
+    from tallyforge.functions import lines as L
+    from tallyforge.rules.languages import SYNTAXES
+
+    draw = random.Random(7)
+    rows = []
+    for number, syntax in enumerate(SYNTAXES):
+        pieces = [*syntax.branches, *" \t\n\r\x0B\f\xa0\u2003", "x", "é", "=", "(", "\x01"]
+        rows += [(number, "".join(draw.choices(pieces, k=draw.randint(0, 9)))) for _ in range(60)]
+    frame = spark.createDataFrame([*rows, (0, None)], "syntax int, text string").withColumn("led", L.led_by_feed(F.col("text")))
+    got = frame.select("syntax", "text", L.branch_count("led", "syntax").alias("n")).collect()
+    for row in got:
+        branches = SYNTAXES[row.syntax].branches
+        if row.text is None:
+            assert row.n is None
+            continue
+        pattern = r"(?<![^ \t\n\x0B\f\r])(?:" + "|".join(re.escape(b) for b in branches) + ")"
+        assert row.n == (len(re.findall(pattern, row.text)) if branches else 0), repr(row.text)
