@@ -16,6 +16,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from operator import add
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,15 @@ from tokenizers import Tokenizer, models
 from tallyforge.llm import exchange
 
 #: Words kept by a worker, in each of two generations.
-KEPT = 100_000
+KEPT = 150_000
+#: Fragments, and words that stand inside longer ones, kept beside them.
+KEPT_PARTS = 50_000
 #: Documents encoded at a time.
 ROWS = 200
 
+#: Marks that follow words; an apostrophe may belong to them.
+_TAIL = punctuation.replace("'", "")
+
 #: Characters before this one are composed already, and Python and the library agree on their lower case.
 LATIN_END = chr(0x130)
 
@@ -69,8 +75,9 @@ class Coder:
         self.library.no_truncation()
         self.library.no_padding()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.end)
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
+        # Words are kept here, so the models need not keep them as well.
+        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.end, cache_capacity=0)
+        self.inner = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         size = 1 + max([*model["vocab"].values(), *(t["id"] for t in described["added_tokens"])])
         self.tokens = [""] * size
         for text, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in described["added_tokens"])]:
@@ -79,6 +86,7 @@ class Coder:
         self.mark = os.path.commonprefix(self.special)
         self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         self.letters = byte_letters()
+        self.shown = "".join(self.letters[b] for b in range(256))
         self.split = regex.compile(described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # Pairs of letters inside tokens; at the end of a word the second letter carries the mark.
         self.pairs, self.last_pairs = set(), set()
@@ -88,9 +96,20 @@ class Coder:
             self.pairs.update(body[i : i + 2] for i in range(len(body) - 1 - whole))
             if whole and len(body) > 1:
                 self.last_pairs.add(body[-2:])
+        self.odd = self._odd_letters()
+        self.tails: dict[str, bytes] = {}
         self.fragments: dict = {}
         self.kept = Kept(self)
 
+    def _odd_letters(self) -> set[str]:
+        """Letters without which every pair of letters of the vocabulary is in ``pairs``: a word with none of them is cut nowhere but at its end."""
+        letters = sorted({letter for pair in self.pairs for letter in pair})
+        lacking = np.array([[a + b not in self.pairs for b in letters] for a in letters], bool).reshape(len(letters), -1)
+        left = np.ones(len(letters), bool)
+        while (missing := (lacking[:, left].sum(1) + lacking[left].sum(0)) * left).any():
+            left[missing.argmax()] = False
+        return set(self.letters.values()).difference(letter for letter, stays in zip(letters, left) if stays)
+
     def fragment(self, letters: str, last: bool = True) -> bytes:
         """Ids of a fragment; ``last`` if it ends its word."""
         tokens = (self.last if last else self.inner).tokenize(letters)
@@ -100,17 +119,21 @@ class Coder:
         """Ids of a word given by the letters of its bytes: cut at forced boundaries, encoded, joined."""
         found = self.fragments.get(letters)
         if found is None:
-            if len(self.fragments) >= KEPT:
+            # A word that occurred by itself is kept as such; only letters whose bytes they are can be looked up there.
+            found = self.kept.get(letters) if letters.isascii() and letters.isalpha() else None
+            if found is None:
+                found = self.cut(letters)
+            if len(self.fragments) >= KEPT_PARTS:
                 self.fragments.clear()
-            found = self.fragments[letters] = self.cut(letters)
+            self.fragments[letters] = found
         return found
 
     def cut(self, letters: str) -> bytes:
         """Ids of a word that is not known yet."""
         pairs, end = self.pairs, len(letters) - 1
         whole = not end or letters[-2:] in self.last_pairs
-        if whole and pairs.issuperset(map(add, letters[:-2], letters[1:-1])):
-            return self.fragment(letters)
+        if whole and (self.odd.isdisjoint(letters) or pairs.issuperset(map(add, letters[:-2], letters[1:-1]))):
+            return array(self.code, [t.id for t in self.last.tokenize(letters)]).tobytes()
         cuts = [i for i in range(1, end) if letters[i - 1 : i + 1] not in pairs] + [end] * (not whole)
         out = []
         for a, b in zip([0, *cuts], cuts):
@@ -123,25 +146,42 @@ class Coder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece of text without spaces and line ends."""
-        plain = piece.isascii() and piece.isprintable()
-        if plain and piece.isalpha():
-            return self.word(piece.lower())
+        ascii_only = piece.isascii()
+        if ascii_only and piece.isalpha():
+            if not piece.islower():
+                return self.word(piece.lower())
+            found = self.fragments.get(piece)
+            return self.cut(piece) if found is None else found
         if self.mark in piece and any(s in piece for s in self.special):
             return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-        if plain:
-            return b"".join(map(self.word, self.split.findall(piece.lower())))
-        if piece and piece.isprintable() and max(piece) < LATIN_END:
-            words = [piece.lower()] if piece.isalpha() else self.split.findall(piece.lower())
-            return b"".join([self.word(w.encode().decode("latin-1").translate(self.letters)) for w in words])
+        if piece.isprintable() and (ascii_only or max(piece) < LATIN_END):
+            piece = piece.lower()
+            stem = piece.rstrip(_TAIL)
+            # Letters with marks after them are most of what is not a bare word.
+            if stem.isalpha():
+                word = self.word(stem if ascii_only else stem.encode().decode("latin-1").translate(self.shown))
+                return word + self.tail(piece[len(stem) :]) if len(stem) < len(piece) else word
+            words = self.split.findall(piece)
+            return b"".join(map(self.word, words if ascii_only else [w.encode().decode("latin-1").translate(self.shown) for w in words]))
         piece = self.library.normalizer.normalize_str(piece)
         return b"".join(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece))
 
+    def tail(self, tail: str) -> bytes:
+        """Ids of marks that follow letters."""
+        found = self.tails.get(tail)
+        if found is None:
+            if len(self.tails) >= KEPT_PARTS:
+                self.tails.clear()
+            found = self.tails[tail] = b"".join(map(self.word, self.split.findall("a" + tail)[1:]))
+        return found
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as bytes of ``kind``."""
         if not text:
             return b""
         if len(self.kept) > KEPT:
-            self.kept = Kept(self, dict(self.kept))
+            self.kept.older = {}
+            self.kept = Kept(self, self.kept)
         return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
 
     def decode(self, ids: np.ndarray) -> str:

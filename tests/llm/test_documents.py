@@ -76,6 +76,22 @@ def test_repeated_passages_equal_brute_force(spark, monkeypatch, held):
     assert sum(r[2] for r in got) > 1_000
 
 
+def test_marks_after_letters_are_split_once():
+    coder = bpe.Coder(WORDS_BPE)
+    texts = ["other, Words! été, façade. thea*** isn't. it's, x'll. a_ 1.2, ß!? word\u0300.", "qzfx, Xylophone; <|endoftext|>."]
+    for text in texts:
+        assert np.frombuffer(coder.encode(text), coder.kind).tolist() == coder.library.encode(text, add_special_tokens=False).ids
+    coder.split = None  # needed no more for marks that were seen
+    again = "gather, nearby! éclair, plural.*** thea***".replace(".***", "***")
+    assert np.frombuffer(coder.encode(again), coder.kind).tolist() == coder.library.encode(again, add_special_tokens=False).ids
+
+
+def test_words_without_odd_letters_are_cut_only_at_their_end():
+    coder = bpe.Coder(WORDS_BPE)
+    even = [x for x in coder.letters.values() if x not in coder.odd]
+    assert even and all(a + b in coder.pairs for a in even for b in even)
+
+
 def test_bpe_equals_the_library(spark):
     coder = bpe.Coder(WORDS_BPE)
     texts = odd_texts() + ["<|endoftext|>a<|startoftext|> İstanbul ΟΔΥΣΣΕΥΣ é it's 'S we'RE ½ \x1c\x85x ǅ ﬁ 🙂🙂", "a" * 5000]
