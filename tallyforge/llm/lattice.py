@@ -66,27 +66,37 @@ class Pieces:
                 self.id[text] = i
                 self.first[i] = 1 / (1 - max(model.get_score(i), worst))
         self.first /= self.first.sum()
-        self.longest = max(map(len, self.id))
+        #: Pieces, and None for what only begins one: a text that is neither is begun by no piece.
+        self.begun: dict[str, tuple[int] | None] = {text[:i]: None for text in self.id for i in range(1, len(text))}
+        self.begun.update((text, (i,)) for text, i in self.id.items())
         self.use(self.first)
 
     def use(self, share: np.ndarray) -> None:
         """Take these probabilities of the pieces."""
         self.log = np.log(np.maximum(share, 1e-300)).tolist()
+        self.weight = {text: parts and self.log[parts[0]] for text, parts in self.begun.items()}
+
+    def spelled(self, letter: str) -> tuple[int, ...]:
+        """The bytes of a letter, as pieces."""
+        return tuple([self.byte[x] for x in letter.encode("utf-8", "surrogatepass")])
 
     def arcs(self, word: str) -> tuple[int, list[list[tuple[int, float, tuple[int, ...]]]]]:
         """For each end in the marked word: (start, log probability, pieces) of the arcs that end there."""
         text = START + word
         n = len(text)
         into: list[list] = [[] for _ in range(n + 1)]
-        known, log, longest = self.id, self.log, self.longest
+        begun, log = self.begun, self.log
         for a in range(n):
-            for b in range(a + 1, min(n, a + longest) + 1):
-                i = known.get(text[a:b])
-                if i is not None:
-                    into[b].append((a, log[i], (i,)))
-                elif b == a + 1:
-                    parts = tuple(self.byte[x] for x in text[a].encode("utf-8", "surrogatepass"))
-                    into[b].append((a, sum(log[i] for i in parts), parts))
+            for b in range(a + 1, n + 1):
+                parts = begun.get(text[a:b], ())
+                if parts:
+                    into[b].append((a, log[parts[0]], parts))
+                else:
+                    if b == a + 1:
+                        spelled = self.spelled(text[a])
+                        into[b].append((a, sum([log[i] for i in spelled]), spelled))
+                    if parts is not None:
+                        break
         return n, into
 
     def forward(self, n: int, into: list) -> list[float]:
@@ -102,9 +112,28 @@ class Pieces:
         return at
 
     def marginal(self, word: str) -> float:
-        """Natural logarithm of the probability of a word over all its segmentations."""
-        n, into = self.arcs(word)
-        return self.forward(n, into)[n]
+        """Natural logarithm of the probability of a word over all its segmentations: :meth:`forward`, with the arcs of a place made when it is reached."""
+        text = START + word
+        n = len(text)
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        weight, log, exp, at = self.weight, self.log, math.exp, 0.0
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                w = weight.get(text[a:b], 1.0)  # no logarithm of a probability is above 0
+                if w is not None and w <= 0:
+                    terms[b].append(at + w)
+                else:
+                    if b == a + 1:
+                        terms[b].append(at + sum([log[i] for i in self.spelled(text[a])]))
+                    if w is not None:
+                        break
+            found = terms[a + 1]
+            if len(found) == 1:
+                at = found[0]
+            else:
+                top = max(found)
+                at = top + math.log(sum([exp(t - top) for t in found]))
+        return at
 
     def expect(self, word: str, weight: float, counts: np.ndarray) -> float:
         """Add the expected numbers of the pieces of a word that occurs ``weight`` times; returns its marginal."""

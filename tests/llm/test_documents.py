@@ -442,3 +442,25 @@ def test_p_values_and_thresholds_equal_plain_python(spark):
                 expected[key] = at / secrets.STEPS
                 break
     assert secrets.thresholds(scanned) == expected and expected
+
+
+def test_lattice_stops_where_no_piece_goes_on():
+    own = lattice.Pieces(vocabulary("piece_bpe_32k.model"))
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    for word in ("", "the", "internationally", "été", "😀x", "\u4e00" * 9, "qzxj" * 25):
+        n, into = own.arcs(word)
+        assert own.marginal(word) == own.forward(n, into)[n]
+        for b in range(1, n + 1):
+            text = lattice.START + word
+            pieces = [(a, (own.id[text[a:b]],)) for a in range(b) if text[a:b] in own.id]
+            assert [(a, parts) for a, _, parts in into[b] if text[a:b] in own.id] == pieces
+    own.weight = Counted(own.weight)
+    own.marginal("qzxj" * 25)
+    assert Counted.asked <= 5 * 101
