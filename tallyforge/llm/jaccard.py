@@ -3,8 +3,8 @@
 Every link is found, and checked on whole sets:
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets (copies) become one class at once.
-2. Shingles are counted over the corpus; the most frequent ones (a bounded list) are put last in the order of tokens.
-   The order decides how much work there is, never the result.
+2. Shingles are counted over the corpus. A filter whose bits follow their number tells those in several texts, and about in
+   how many, and the order of tokens puts them last. The order decides how much work there is, never the result.
 3. The token-group matrix: two sets of Jaccard at least 0.75 share a token among the first n - ceil(0.75 n) + 1 of each,
    and so many of them that the sizes tell. Sets that do fall into one group (connected by such shared tokens; a token
    of very many sets connects them in a star, not in pairs).
@@ -34,8 +34,10 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles held by a task before it sends them on.
 HELD = 800_000
-#: Most frequent shingles that are put last; bounds what is broadcast (9 bytes each).
-FREQUENT = 1 << 18
+#: Bits of the order filter for each entry, and hashes that it is looked up by: one in 50 others passes.
+ORDER_BITS_EACH, ORDER_HASHES = 10, 3
+#: Bits of the whole order filter at most, which bounds what is broadcast. Where they do not suffice, the lowest levels of shingles are left out.
+ORDER_BITS = 1 << 28
 #: Sets with a token in common up to which they are counted in pairs; beyond, they form a star.
 PAIRED = 16
 #: Sets in a part of a large group, and queries that go to a part at once.
@@ -113,54 +115,106 @@ def _profiles(parts: int):
     return run
 
 
-def _merge_profiles(table: pa.Table) -> pa.Table:
-    """Documents as they are; of the shingles those in at least four documents."""
-    docs = table.filter(table.column("blob").is_null()).select(["doc_id", "n", "s1", "s2"])
-    keys, counts = [], []
-    for blob in table.column("blob"):
-        if blob.is_valid:
-            data = blob.as_py()
-            k = len(data) // 12
-            keys.append(exchange.from_planes(data[: 8 * k], "u8"))
-            counts.append(exchange.from_planes(data[8 * k :], "u4"))
-    if keys:
-        key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        at, _ = exchange.runs(key)
-        key, count = key[at], np.add.reduceat(count, at)
-        key, count = key[count >= 4].astype(np.int64), count[count >= 4]
-    else:
-        key = count = np.empty(0, np.int64)
-    none = lambda n: pa.nulls(n, pa.int64())
-    return pa.table(
-        {
-            **{c: pa.chunked_array([*docs.column(c).chunks, none(len(key))]) for c in docs.column_names},
-            "token": pa.chunked_array([none(len(docs)), pa.array(key)]),
-            "df": pa.chunked_array([none(len(docs)), pa.array(count)]),
-        }
-    )
+def _entry(tokens: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    """First hash of the entry that tokens (of which 40 bits count) are of a level or above; the next ones are made by ``mix``."""
+    return mix((tokens >> _U(24)) * _U(64) + np.asarray(level, np.uint64))
+
+
+def order_segment(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tuple[int, bytes]:
+    """The segment of the order filter for a range of tokens: the lowest level it knows, and at most ``limit`` bits.
+
+    The level of a token is the number of binary digits of its count. It is entered for all levels up to its own, so a look-up climbs.
+    """
+    levels = np.frexp(counts.astype(float))[1]
+    most = int(levels.max(initial=0))
+    least, entries = most + 1, 0
+    for level in range(most, 0, -1):
+        entries += int((levels >= level).sum())
+        if entries * ORDER_BITS_EACH > limit or level < levels.min():
+            break
+        least = level
+    entries = sum(int((levels >= level).sum()) for level in range(least, most + 1))
+    bits = np.zeros(entries * ORDER_BITS_EACH // 8 * 8, np.uint8)
+    for level in range(least, most + 1):
+        x = _entry(tokens[levels >= level], level)
+        for _ in range(ORDER_HASHES):
+            bits[(x >> _U(32)) * _U(len(bits)) >> _U(32)] = 1
+            x = mix(x)
+    return least, np.packbits(bits, bitorder="little").tobytes()
+
+
+class Order:
+    """The whole order filter: segments of ranges of tokens, one after the other."""
+
+    def __init__(self, segments: list[tuple[int, int, bytes]], parts: int):
+        self.least, self.size, self.start = (np.zeros(parts, np.uint64) for _ in range(3))
+        at = 0
+        for part, least, bits in segments:
+            self.least[part], self.size[part], self.start[part] = least, 8 * len(bits), 8 * at
+            at += len(bits)
+        self.bits = np.frombuffer(b"".join(bits for _, _, bits in segments), np.uint8)
+
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        """0, or about the number of binary digits of each token's count; where the filter errs, more. Equal tokens get equal numbers."""
+        out = np.zeros(len(tokens), np.uint64)
+        part = exchange.range_of(tokens, len(self.size))
+        at = np.flatnonzero(self.size[part])
+        part = part[at]
+        level = self.least[part]
+        while len(at):
+            x = _entry(tokens[at], level)
+            for _ in range(ORDER_HASHES):
+                bit = self.start[part] + ((x >> _U(32)) * self.size[part] >> _U(32))
+                there = np.flatnonzero(self.bits[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8) & np.uint8(1))
+                at, part, level, x = at[there], part[there], level[there], mix(x[there])
+            out[at] = level
+            going = level < _U(63)
+            at, part, level = at[going], part[going], level[going] + _U(1)
+        return out
+
+
+def _merge_profiles(parts: int):
+    """Documents as they are; of the shingles the segment of the order filter that knows those in at least four documents."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        docs = table.filter(table.column("blob").is_null()).select(["doc_id", "n", "s1", "s2"])
+        keys, counts = [], []
+        for blob in table.column("blob"):
+            if blob.is_valid:
+                data = blob.as_py()
+                k = len(data) // 12
+                keys.append(exchange.from_planes(data[: 8 * k], "u8"))
+                counts.append(exchange.from_planes(data[8 * k :], "u4"))
+        rows = {"part": [], "least": [], "bits": []}
+        if keys:
+            token, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(token, kind="stable")
+            token, count = token[order], count[order]
+            at, _ = exchange.runs(token)
+            token, count = token[at], np.add.reduceat(count, at)
+            least, bits = order_segment(token[count >= 4] << _U(24), count[count >= 4], ORDER_BITS // parts)
+            if bits:
+                rows = {"part": [key[0].as_py()], "least": [least], "bits": [bits]}
+        more = {"part": pa.int32(), "least": pa.int32(), "bits": pa.binary()}
+        new = len(rows["part"])
+        return pa.table(
+            {
+                **{c: pa.chunked_array([*docs.column(c).chunks, pa.nulls(new, pa.int64())]) for c in docs.column_names},
+                **{c: pa.chunked_array([pa.nulls(len(docs), kind), pa.array(rows[c], kind)]) for c, kind in more.items()},
+            }
+        )
+
+    return run
 
 
-def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (40 bits each, sorted) and the power of two of their counts; at most FREQUENT."""
-    tokens = profile.where("token IS NOT NULL")
-    level = F.length(F.bin("df"))
-    sizes = dict(tokens.groupBy(level.alias("level")).count().collect())  # at most 63 rows
-    least, total = 64, 0
-    while least > 1 and total + sizes.get(least - 1, 0) <= FREQUENT:
-        least -= 1
-        total += sizes.get(least, 0)
-    rows = tokens.where(level >= least).select("token", level.alias("level")).toArrow() if total else None
-    if rows is None:
-        return np.empty(0, np.uint64), np.empty(0, np.uint8)
-    key, level = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.uint8)
-    order = np.argsort(key)
-    return key[order], level[order]
+def _order(profile: DataFrame, parts: int) -> Order:
+    """The segments, which have at most ORDER_BITS bits together, as one filter."""
+    rows = profile.where("part IS NOT NULL").select("part", "least", "bits").toArrow()
+    return Order(list(zip(*(rows.column(c).to_pylist() for c in rows.column_names))), parts)
 
 
 def _prefixes(parts: int, frequent):
-    """Packed first tokens of each set, in the order that has frequent tokens last."""
+    """Packed first tokens of each set, in the order that has frequent tokens last, the most frequent ones at the end."""
 
     def pack(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -177,11 +231,12 @@ def _prefixes(parts: int, frequent):
         yield pa.RecordBatch.from_pydict({"part": pa.array(where, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, levels = frequent.value
         held: dict = {}
         size = 0
         for ids, sets in _batches(batches):
-            for doc, tokens in zip(ids, sets):
+            every = frequent.value.levels(np.concatenate(sets)) if sets else None
+            ends = np.cumsum([len(s) for s in sets])
+            for doc, tokens, end in zip(ids, sets, ends):
                 n = len(tokens)
                 if not n or doc is None:
                     continue
@@ -189,13 +244,9 @@ def _prefixes(parts: int, frequent):
                 if sign in held:
                     held[sign][1] = min(held[sign][1], doc)
                     continue
-                if len(keys):
-                    short = tokens >> _U(24)
-                    at = np.searchsorted(keys, short)
-                    at[at == len(keys)] = 0
-                    level = np.where(keys[at] == short, levels[at], 0).astype(np.uint64)
-                    if level.any():
-                        tokens = tokens[np.argsort(level << _U(56) | tokens >> _U(8))]
+                level = every[end - n : end]
+                if level.any():
+                    tokens = tokens[np.argsort(level << _U(56) | tokens >> _U(8))]
                 first = tokens[: n - -(-NUMERATOR * n // DENOMINATOR) + 1].copy()
                 held[sign] = [first, doc, n, sign[0]]
                 size += len(first)
@@ -379,13 +430,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     profile = stage(
         rows.mapInArrow(_profiles(parts), PROFILE).groupBy("part")
-        .applyInArrow(_merge_profiles, "doc_id long, n long, s1 long, s2 long, token long, df long"),
+        .applyInArrow(_merge_profiles(parts), "doc_id long, n long, s1 long, s2 long, part int, least int, bits binary"),
         "shingle-profile",
     )
-    sets = profile.where("token IS NULL").drop("token", "df")
+    sets = profile.where("part IS NULL").drop("part", "least", "bits")
     classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
 
-    frequent = spark.sparkContext.broadcast(_frequent(profile))
+    frequent = spark.sparkContext.broadcast(_order(profile, parts))
     edges = stage(
         rows.mapInArrow(_prefixes(parts, frequent), "part int, blob binary").groupBy("part")
         .applyInArrow(_edges, "a long, b long, need long, hits long")

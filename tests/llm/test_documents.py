@@ -46,6 +46,53 @@ def test_large_groups_are_cut_and_still_whole(spark, monkeypatch):
     test_shingle_groups_equal_brute_force(spark)
 
 
+def test_documents_that_share_only_passages_are_not_grouped(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{k}q{i}" for i in range(40)) for k in range(30)]
+    texts = []
+    for d in range(240):  # each passage in some 24 texts
+        own = [f"d{d}w{i}" for i in range(160)]
+        places = zip((0, 60, 120), rng.choice(30, 3, replace=False))
+        texts.append(" ".join(" ".join(own[at : at + 40]) + " " + passages[k] for at, k in places))
+    texts += [t + " one more" for t in texts[:5]]
+    # The order of tokens once came from a list of bounded length, which a large corpus outgrew.
+    monkeypatch.setattr(jaccard, "FREQUENT", 0, raising=False)
+    grouped, inner = {}, jaccard.components
+
+    def components(edges, name):
+        out = inner(edges, name)
+        grouped[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "components", components)
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i % 240 for i in range(245)}
+    assert grouped["shingle-groups"] <= 20
+
+
+def test_order_filter_knows_every_frequent_token_or_those_of_the_highest_levels():
+    rng = np.random.default_rng(6)
+    tokens = np.unique(rng.integers(0, 1 << 40, 300_000, dtype=np.uint64)) << np.uint64(24)
+    counts = (4 / rng.random(len(tokens))).astype(np.int64)
+    digits = np.array([int(c).bit_length() for c in counts])
+    seldom = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2)
+
+    def order(bits):
+        segments = [(part, *jaccard.order_segment(tokens[a:b], counts[a:b], bits // 32)) for part, a, b in jaccard.exchange.cut(tokens, 32)]
+        return segments, jaccard.Order(segments, 32)
+
+    segments, every = order(jaccard.ORDER_BITS)
+    assert {least for _, least, _ in segments} == {3}
+    found = every.levels(tokens | np.uint64(77))
+    assert (found >= digits).all() and (found > digits).mean() < 0.03
+    assert (every.levels(seldom) > 0).mean() < 0.03
+    segments, few = order(1 << 19)
+    assert 8 * sum(len(bits) for _, _, bits in segments) <= 1 << 19 and {least for _, least, _ in segments} <= {7, 8, 9}
+    found = few.levels(tokens)
+    assert (found[digits >= 9] >= digits[digits >= 9]).all() and (few.levels(seldom) > 0).mean() < 0.03
+    assert not jaccard.Order([], 8).levels(tokens).any() and jaccard.order_segment(tokens[:0], counts[:0], 100)[1] == b""
+
+
 def test_bound_opens_only_groups_that_qualify():
     a, b = np.arange(100, dtype=np.uint64), np.arange(50, 150, dtype=np.uint64)
     assert list(jaccard.linked([a], [b])) == []
