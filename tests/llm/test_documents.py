@@ -46,15 +46,20 @@ def test_large_groups_are_cut_and_still_whole(spark, monkeypatch):
     test_shingle_groups_equal_brute_force(spark)
 
 
-def test_documents_that_share_only_passages_are_not_grouped(spark, monkeypatch):
+def passage_texts() -> list[str]:
+    """240 texts, each passage in some 24 of them, and near copies of the first five."""
     rng = np.random.default_rng(4)
     passages = [" ".join(f"p{k}q{i}" for i in range(40)) for k in range(30)]
     texts = []
-    for d in range(240):  # each passage in some 24 texts
+    for d in range(240):
         own = [f"d{d}w{i}" for i in range(160)]
         places = zip((0, 60, 120), rng.choice(30, 3, replace=False))
         texts.append(" ".join(" ".join(own[at : at + 40]) + " " + passages[k] for at, k in places))
-    texts += [t + " one more" for t in texts[:5]]
+    return texts + [t + " one more" for t in texts[:5]]
+
+
+def count_grouped(monkeypatch) -> dict[str, int]:
+    """Number of documents in groups, by the name of the groups, filled in later."""
     # The order of tokens once came from a list of bounded length, which a large corpus outgrew.
     monkeypatch.setattr(jaccard, "FREQUENT", 0, raising=False)
     grouped, inner = {}, jaccard.components
@@ -65,7 +70,13 @@ def test_documents_that_share_only_passages_are_not_grouped(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard, "components", components)
-    got = {r.doc_id: r.component_id for r in jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return grouped
+
+
+def test_documents_that_share_only_passages_are_not_grouped(spark, monkeypatch):
+    grouped = count_grouped(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(passage_texts())), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
     assert got == {i: i % 240 for i in range(245)}
     assert grouped["shingle-groups"] <= 20
 

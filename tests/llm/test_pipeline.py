@@ -10,6 +10,7 @@ import corpus_pipeline
 from tallyforge.llm import bpe, secrets
 from tallyforge.llm.queries import vocabulary
 from tests.llm.cases import odd_texts, table, words
+from tests.llm.test_documents import count_grouped, passage_texts
 
 
 def documents():
@@ -82,3 +83,11 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     for r in found:
         got.update((r.doc_id, r.doc_tokens, r.start + k, x) for k, x in enumerate(np.frombuffer(r.ids, "<u4").tolist()))
     assert got == expected
+
+
+def test_near_copies_stage_does_not_group_documents_that_share_only_passages(spark, monkeypatch):
+    grouped = count_grouped(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(passage_texts())), "doc_id long, text string")
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(240))
+    assert grouped["shingle-groups"] <= 20
